@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import op1_mixing, op2_chat, op3_sharding, op5_langid, op6_fingerprint, op9_packing
+from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op8_ann, op9_packing, op10_setsketch
 from crestline.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -38,6 +38,10 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_sharding.shard_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return op5_langid.identify(docs, docs.where(~op5_langid.held_out()))
@@ -47,13 +51,21 @@ def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op5_language_id, op6_merkle_fingerprint, op9_best_fit_packing)
+    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates)
 }
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
