@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op8_ann, op9_packing, op10_setsketch
+from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op7_suffix, op8_ann, op9_packing, op10_setsketch
 from crestline.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -51,6 +51,10 @@ def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -65,7 +69,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates)
+    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op7_suffix_dedup, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates)
 }
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
