@@ -14,7 +14,10 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -28,12 +31,15 @@ from pyspark.sql import functions as F
 from crestline.llm.common import cut
 
 WINDOW, END_ID = 4096, 2
-#: Words whose ids a worker keeps; the store is emptied when full.
-KEPT_WORDS = 200_000
+#: Words of a generation whose ids a worker keeps, and texts whose words are looked up together.
+KEPT_WORDS, TOGETHER = 450_000, 250
 #: Pieces of one length that are ranked in one group, about.
 RANKED_TOGETHER = 512
 
 
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
 class Tree:
     """Smallest used room at or above a length, by a segment tree over rooms 0 to size."""
 
@@ -107,34 +113,91 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> list[tu
     return rows
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str) -> object:
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class WordIds:
-    """Ids of whole texts, by words that were met before."""
+    """Ids of whole texts, by words that were met before. Of two generations of words the older one is dropped when the
+    younger is full; a word that is met again moves to the younger."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> None:
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.young[w] = array("I", e.ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Puts words, none of which is in the younger generation, there."""
+        young, old = self.young, self.old
+        unknown = set()
+        for w in words:
+            if (ids := old.get(w)) is not None:
+                young[w] = ids
+            else:
+                unknown.add(w)
+        # marks after a letter are a token stretch of their own
+        marked = []
+        for w in unknown:
+            if w[-1] in string.punctuation and (core := w.rstrip(string.punctuation)) and core[-1].isalpha():
+                marked.append((w, core, w[len(core) :]))
+        new = unknown.difference(w for w, _, _ in marked)
+        for _, core, tail in marked:
+            new.update(part for part in (core, tail) if part not in young)
+        new = list(new)
+        letters = [w for w in new if w.isalpha()]
+        self._encode([w for w in new if not w.isalpha()])
+        # a word of letters is one stretch and ends with its only end-of-word token, so many are encoded as one text
+        groups = [letters[a : a + 256] for a in range(0, len(letters), 256)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                blob, a = ids.tobytes(), 0
+                for w, b in zip(some, ends, strict=True):
+                    young[w] = blob[a:b]
+                    a = b
+            else:
+                self._encode(some)
+        for w, core, tail in marked:
+            young[w] = young[core] + young[tail]
+
+    def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        if len(self.young) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        get = self.young.get
+        split, missing = [], set()
+        for t in texts:
+            # lower case is what the tokenizer makes of its input first; done here where it can only mean A to Z
+            t = t.lower() if t.isascii() else t
+            # these four count as space for str.split, but not for the tokenizer
+            words = t.split() if not any(c in t for c in _SEPARATORS) else [w for line in t.split("\n") for w in line.split(" ") if w]
+            found = list(map(get, words))
+            if None in found:
+                missing.update(w for w, ids in zip(words, found, strict=True) if ids is None)
+                split.append((words, None))
+            else:
+                split.append((None, found))
+        self._learn(missing)
+        get = self.young.__getitem__
+        for text, (words, found) in zip(texts, split, strict=True):
+            if any(s in text for s in self.special):  # those strings are found before words are
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+            else:
+                yield np.frombuffer(b"".join(map(get, words) if found is None else found), np.uint32)
+
 
-    def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):  # those strings are found before words are
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = [w for line in text.split("\n") for w in line.split(" ") if w]
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > KEPT_WORDS:
-                known.clear()
-                new = list(set(words))
-            for a in range(0, len(new), 10_000):
-                part = new[a : a + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -142,14 +205,17 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def _pieces(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(path)
+        words = _word_ids(path)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.append(words.ids(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
+            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            for a in range(0, len(texts), TOGETHER):
+                some = [t or "" for t in texts[a : a + TOGETHER]]
+                for doc_id, own in zip(doc_ids[a : a + TOGETHER], words.ids(some), strict=True):
+                    ids = np.append(own, np.uint32(END_ID)).astype("<u4")
+                    for start in range(0, len(ids), window):
+                        piece = ids[start : start + window]
+                        out.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
             names = [c.split()[0] for c in PIECES.split(", ")]
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
