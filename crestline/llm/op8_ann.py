@@ -82,7 +82,7 @@ def _count(rows: pd.DataFrame) -> pd.DataFrame:
     for code in asks["code"].to_numpy():
         a, b = _ranges(held, code)
         out.append((b - a).tolist())
-    return pd.DataFrame({"rep": asks["rep"].to_numpy(), "counts": out})
+    return pd.DataFrame({"rep": asks["rep"].to_numpy(), "counts": pd.Series(out, dtype=object)})
 
 
 def _vectors(blobs: pd.Series, dims: int) -> np.ndarray:
