@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import RollingHash, cut, mix64, shuffle_partitions
+from crestline.llm.common import RollingHash, arrow_rows, cut, mix64, shuffle_partitions
 from crestline.llm.graph import components
 
 REGISTERS, BAND = 128, 4
@@ -41,6 +41,8 @@ MARGIN = 6.0
 BLOCK = 256
 #: Bits of the map of candidates.
 MAP_BITS = 1 << 25
+#: Rows that Python gets at once.
+BATCH = 1000
 #: Bytes of texts that are hashed in one go.
 TOGETHER = 1 << 18
 _SPACE = np.zeros(256, bool)
@@ -257,6 +259,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row; links need 100 * common >= percent * all shingles."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, width, percent)
+
+
+def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     threshold = percent / 100
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = cut(docs.mapInArrow(_sketcher(width), "doc_id long, n long, key binary, registers binary"), "near-sketches")
@@ -288,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = rest.repartition(shuffle_partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = cut(rest.mapInArrow(_block_pairs(threshold), "v long, u long").distinct().select("u", "v"), "near-rest")
     if not more.isEmpty():
-        more = _verified(more, classes, docs, width, percent)
+        more = cut(_verified(more, classes, docs, width, percent), "near-links")
         found = components(links.unionByName(more.select("u", "v")))
 
     of_class = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
