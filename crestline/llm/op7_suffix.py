@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import BUCKET_BYTES, RollingHash, cut, mix64, runs, shuffle_partitions, text_bytes
+from crestline.llm.common import BUCKET_BYTES, RollingHash, arrow_rows, cut, mix64, runs, shuffle_partitions, text_bytes
 
 THRESHOLD = 400
 #: Bytes of a text that are handled at once, and windows that a task settles at once.
 PIECE, FLUSH = 1 << 20, 1 << 20
+#: Rows that Python gets at once.
+BATCH = 1000
 MAP_BITS = 1 << 25
 
 
@@ -307,6 +309,11 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row."""
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _remove_repeats(docs, threshold)
+
+
+def _remove_repeats(docs: DataFrame, threshold: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     info = docs.select("doc_id", text_bytes().alias("n_bytes"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
@@ -332,7 +339,7 @@ def remove_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     hit = cut(left.where("n = 1").select("sha", "rep", "class").join(found, "class"), "repeats-found")
 
     cleaned = _with_text(docs, hit).select("sha", "text", "starts", "counts")
-    cleaned = cleaned.mapInArrow(_remover(threshold), "sha string, n_removed long, n_spans long, kept_sha256 string")
+    cleaned = cut(cleaned.mapInArrow(_remover(threshold), "sha string, n_removed long, n_spans long, kept_sha256 string"), "repeats-cleaned")
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= threshold)
     result = classes.join(cleaned, "sha", "left").select(
         "sha",
