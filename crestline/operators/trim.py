@@ -49,11 +49,11 @@ def trim_report(runs: DataFrame) -> DataFrame:
 def trimmed(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """Samples that stay, frames numbered anew without gaps. Kept runs next to each other are one stretch, so a track has
     one stretch more than it has cuts and the join on (track, range) tests few stretches a sample."""
-    kept = runs.where(~F.col("drop_all") & (F.col("drop_first") < F.col("length")))
     order = Window.partitionBy("track_id").orderBy("run")
     cuts = F.sum((F.col("drop_first") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = runs.withColumn("stretch", cuts).where(~F.col("drop_all") & (F.col("drop_first") < F.col("length")))
     first = F.col("first_frame") + F.col("drop_first")
-    kept = kept.withColumn("stretch", cuts).groupBy(F.col("track_id").alias("run_track"), "stretch").agg(
+    kept = kept.groupBy(F.col("track_id").alias("run_track"), "stretch").agg(
         F.min(first).alias("from_frame"), F.max(F.col("first_frame") + F.col("length")).alias("to_frame")
     )
     before = Window.partitionBy("run_track").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)

@@ -346,7 +346,7 @@ def edge_trim_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trim.trimmed(adapters.samples_of_events(spark, sf_dir), _trim_runs(spark, sf_dir)).select("track_id", "channel", "frame_idx", *rounded("sample"))
 
 
-@query("SELECT o_orderkey, ceil((o_orderkey % 2000) / 1000 * 44100)::BIGINT AS frames, round(least(greatest((o_orderkey % 2000) * 0.33, 50), 200), 6) AS hysteresis_ms FROM orders")
+@query("SELECT o_orderkey, ceil((o_orderkey % 2000) / 1000 * 44100)::BIGINT AS frames, round(least(greatest((o_orderkey % 2000) * 0.33::DOUBLE, 50), 200), 6) AS hysteresis_ms FROM orders")
 def trim_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.col("o_orderkey") % 2000
     return table(spark, sf_dir, "orders").select("o_orderkey", describe.frames_of_ms(ms, F.lit(44100)).alias("frames"), F.round(describe.hysteresis_ms(ms), 6).alias("hysteresis_ms"))

@@ -148,6 +148,19 @@ def _levels(path: str, win: int, block: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _WINDOW_TYPES.types, strict=True)], schema=_WINDOW_TYPES)
 
 
+def empty_files(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
+    """META rows for files without a byte, which Spark's file source leaves out."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(directory)
+    found = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(top, recursive)
+    paths = []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            paths.append(status.getPath().toString())
+    return spark.createDataFrame([dict.fromkeys(_META_TYPES.names) | {"path": p, "error": "empty file", "error_kind": "FormatError"} for p in paths], META)
+
+
 def contents(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
     return files.select("path", "content")
@@ -188,7 +201,7 @@ def analyse(spark: SparkSession, directory: str, recursive: bool = False, silenc
     from crestline.operators import channels, windows
 
     files = contents(spark, directory, recursive)
-    meta = probe_files(files)
+    meta = probe_files(files).unionByName(empty_files(spark, directory, recursive))
     good = meta.where("error IS NULL")
     raw = window_files(files).join(good.select("path", "sample_rate", "channels"), "path").withColumnRenamed("path", "track_id")
     raw = raw.withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n")))
