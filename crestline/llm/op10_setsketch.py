@@ -8,9 +8,9 @@ clearly below the threshold is verified on the full sets.
 
 Equal sets are one class from the start and take part through their smallest doc_id. In each band bucket every member is
 first tested against the smallest member (a star, so a bucket of any size gives one edge a member, joined with
-skew handling); members that then still lie in different components of their bucket are compared block by block on their
-registers, so no link inside a bucket is left out, no task holds more than two blocks, and only pairs that may link and
-are not yet connected are emitted. A pair at the threshold of 0.85 shares no bucket with probability 6e-11, at 0.8 5e-8.
+skew handling); members that then still lie in different components of their bucket are compared block by block, first on
+their registers, then on their sets, so no link inside a bucket is left out, no task holds more than two blocks, and what
+leaves a block are only links that connect parts of it. A pair at the threshold of 0.85 shares no bucket with probability 6e-11, at 0.8 5e-8.
 
 Sets are 64-bit hashes of shingles, made again from the texts of candidates only; a bit map of fixed size tells those
 while scanning (when it saturates, more texts than needed are read, none is missed).
@@ -37,8 +37,8 @@ REGISTERS, BAND = 128, 4
 SCALE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Standard errors below the threshold from which on an estimate settles that there is no link.
 MARGIN = 6.0
-#: Members of a band bucket that are compared with each other in one piece.
-BLOCK = 256
+#: Members of a band bucket, and shingles of all of them, that are compared with each other in one piece, on average.
+BLOCK, BLOCK_ITEMS = 4096, 1 << 19
 #: Bits of the map of candidates.
 MAP_BITS = 1 << 25
 #: Rows that Python gets at once.
@@ -205,32 +205,42 @@ def _pruner(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return prune
 
 
-def _block_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows come by (key, i, j); within a group those of block i are compared with those of block j."""
+def _block_links(threshold: float, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between members of block i and block j of a bucket that are not connected yet; of those that connect the same
+    parts one is given. Rows come by (key, i, j)."""
+    least = REGISTERS * (threshold - MARGIN * np.sqrt(threshold * (1 - threshold) / REGISTERS))
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
         i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
-        if not left or not right:
-            return []
-        regs = [np.frombuffer(b"".join(r[7] for r in side), np.uint16).reshape(-1, REGISTERS) for side in (left, right)]
-        ids, comps, sizes = ([np.array([r[c] for r in side]) for side in (left, right)] for c in (4, 5, 6))
+        rows.sort(key=lambda r: (r[3] != i, r[4]))
+        first = sum(r[3] == i for r in rows)
+        registers = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, REGISTERS)
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        part = np.unique([r[5] for r in rows], return_inverse=True)[1]
+        here = np.zeros(flat.max() + 1, bool)
         out = []
-        for k in range(len(left)):
-            ok = (comps[1] != comps[0][k]) & (2 * np.minimum(sizes[1], sizes[0][k]) > np.maximum(sizes[1], sizes[0][k]))
-            if i == j:
-                ok[: k + 1] = False
-            at = np.flatnonzero(ok)
-            at = at[(regs[1][at] == regs[0][k]).sum(axis=1) >= REGISTERS * (threshold - 0.5)]
-            if len(at):
-                at = at[_may_link(np.broadcast_to(regs[0][k], (len(at), REGISTERS)), regs[1][at], np.full(len(at), sizes[0][k]), sizes[1][at], threshold)]
-                out += [(min(a, b), max(a, b)) for a, b in zip(ids[1][at].tolist(), [int(ids[0][k])] * len(at), strict=True)]
+        for k in range(first):
+            other = part != part[k]
+            other[: k + 1 if i == j else first] = False
+            at = np.flatnonzero(other & (100 * np.minimum(sizes, sizes[k]) >= percent * np.maximum(sizes, sizes[k])))
+            at = at[(registers[at] == registers[k]).sum(axis=1) >= least]
+            if not len(at):
+                continue
+            here[flat[edges[k] : edges[k + 1]]] = True
+            common = np.array([np.count_nonzero(here[flat[edges[x] : edges[x + 1]]]) for x in at])
+            here[flat[edges[k] : edges[k + 1]]] = False
+            for x in at[100 * common >= percent * (sizes[at] + sizes[k] - common)]:
+                if part[x] != part[k]:
+                    part[part == part[x]] = part[k]
+                    out.append((max(rows[k][4], rows[x][4]), min(rows[k][4], rows[x][4])))
         return out
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        names = ("key", "i", "j", "block", "id", "component", "n", "registers")
+        names = ("key", "i", "j", "block", "id", "component", "n", "registers", "items")
         for batch in batches:
             found: list[tuple[int, int]] = []
             for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
@@ -239,22 +249,18 @@ def _block_pairs(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     held = []
                 held.append(row)
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["v", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
         if held and (found := compare(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["v", "u"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["u", "v"])
 
-    return pairs
+    return links
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of class representatives whose sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id, items: the sets of the documents with those ids."""
     bits = _bit_map(ids)
     hashed = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS)).alias("bit"))
-    sets = hashed.mapInArrow(_set_maker(width, bits), "id long, items binary").join(classes.select("id"), "id", "left_semi")
-    sets = cut(sets, "near-sets")
-    held = pairs.join(sets.select(F.col("id").alias("v"), F.col("items").alias("y")), "v").join(sets.select(F.col("id").alias("u"), F.col("items").alias("x")), "u")
-    return held.select("u", "v", "x", "y").mapInArrow(_verifier(percent), "u long, v long")
+    return hashed.mapInArrow(_set_maker(width, bits), "id long, items binary").join(ids, "id", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -271,32 +277,33 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"), F.max("registers").alias("registers")), "near-classes")
 
     slices = [F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * BAND * k, 2 * BAND)) for k in range(REGISTERS // BAND)]
-    bands = classes.select("id", F.explode(F.array(*slices)).alias("key"))
-    shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("size")).where("hub < last").drop("last")
-    members = cut(bands.join(shared, "key"), "near-members")
+    bands = classes.select("id", "n", F.explode(F.array(*slices)).alias("key"))
+    shared = bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("size"), F.sum("n").alias("shingles")).where("hub < last").drop("last")
+    members = cut(bands.drop("n").join(shared, "key"), "near-members")
 
     light = classes.select("id", "n", "registers")
     star = members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
     star = star.join(light.select(F.col("id").alias("v"), F.col("n").alias("ny"), F.col("registers").alias("ry")), "v")
     star = star.join(light.select(F.col("id").alias("u"), F.col("n").alias("nx"), F.col("registers").alias("rx")), "u")
     star = cut(star.select("u", "v", "nx", "ny", "rx", "ry").mapInArrow(_pruner(threshold), "u long, v long"), "near-star")
-    links = cut(_verified(star, classes, docs, width, percent), "near-links")
+    sets = cut(_sets(docs, members.select("id").distinct(), width), "near-sets")
+    held = star.join(sets.select(F.col("id").alias("v"), F.col("items").alias("y")), "v").join(sets.select(F.col("id").alias("u"), F.col("items").alias("x")), "u")
+    links = cut(held.select("u", "v", "x", "y").mapInArrow(_verifier(percent), "u long, v long"), "near-links")
     found = components(links)
 
     # buckets of three or more whose members are not all connected yet
-    wide = members.where("size > 2").select("key", "id", "size")
+    wide = members.where("size > 2").select("key", "id", "size", "shingles")
     placed = wide.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_ITEMS)).cast("int")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rest = placed.join(open_keys, "key", "left_semi").join(light, "id").withColumn("blocks", blocks).withColumn("block", block)
-    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component", "n", "registers")
+    rest = placed.join(open_keys, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", block)
+    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(light, "id").join(sets, "id")
+    rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component", "n", "registers", "items")
     rest = rest.repartition(shuffle_partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = cut(rest.mapInArrow(_block_pairs(threshold), "v long, u long").distinct().select("u", "v"), "near-rest")
+    more = cut(rest.mapInArrow(_block_links(threshold, percent), "u long, v long").distinct(), "near-rest")
     if not more.isEmpty():
-        more = cut(_verified(more, classes, docs, width, percent), "near-links")
-        found = components(links.unionByName(more.select("u", "v")))
+        found = components(links.unionByName(more))
 
     of_class = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
     of_class = of_class.select("key", F.coalesce("component", "id").alias("component"))
