@@ -15,7 +15,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import string
+import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ KEPT_WORDS, TOGETHER = 450_000, 250
 RANKED_TOGETHER = 512
 
 
+#: The stretches of a lower-case text that the tokenizer (see its file) encodes each by itself.
+_STRETCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
@@ -117,7 +120,8 @@ class WordIds:
     """Ids of whole texts, by words that were met before. Of two generations of words the older one is dropped when the
     younger is full; a word that is met again moves to the younger."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        self.kept = kept
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks run side by side already
         from tokenizers import Tokenizer
 
@@ -144,15 +148,11 @@ class WordIds:
                 young[w] = ids
             else:
                 unknown.add(w)
-        # marks after a letter are a token stretch of their own
-        marked = []
-        for w in unknown:
-            if w[-1] in string.punctuation and (core := w.rstrip(string.punctuation)) and core[-1].isalpha():
-                marked.append((w, core, w[len(core) :]))
-        new = unknown.difference(w for w, _, _ in marked)
-        for _, core, tail in marked:
-            new.update(part for part in (core, tail) if part not in young)
-        new = list(new)
+        # a word is the stretches the tokenizer would cut it into, where nothing else would happen to it before that
+        cut = {w: _STRETCHES.findall(w) for w in unknown if not w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower()}
+        new = unknown.difference(cut)
+        for parts in cut.values():
+            new.update(part for part in parts if part not in young)
         letters = [w for w in new if w.isalpha()]
         self._encode([w for w in new if not w.isalpha()])
         # a word of letters is one stretch and ends with its only end-of-word token, so many are encoded as one text
@@ -167,17 +167,17 @@ class WordIds:
                     a = b
             else:
                 self._encode(some)
-        for w, core, tail in marked:
-            young[w] = young[core] + young[tail]
+        for w, parts in cut.items():
+            young[w] = b"".join([young[part] for part in parts])
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        if len(self.young) > KEPT_WORDS:
+        if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
         get = self.young.get
         split, missing = [], set()
         for t in texts:
-            # lower case is what the tokenizer makes of its input first; done here where it can only mean A to Z
-            t = t.lower() if t.isascii() else t
+            # lower case is what the tokenizer makes of its input first; only this letter's depends on its neighbours here
+            t = t.lower() if "\u03a3" not in t else t
             # these four count as space for str.split, but not for the tokenizer
             words = t.split() if not any(c in t for c in _SEPARATORS) else [w for line in t.split("\n") for w in line.split(" ") if w]
             found = list(map(get, words))
@@ -196,16 +196,16 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def _word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def _word_ids(path: str, kept: int) -> WordIds:
+    return WordIds(path, kept)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def _pieces(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _pieces(path: str, window: int, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _word_ids(path)
+        words = _word_ids(path, kept)
         for batch in batches:
             out = []
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
@@ -223,9 +223,9 @@ def _pieces(path: str, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return pieces
 
 
-def tokenized_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, window: int = WINDOW, kept: int = KEPT_WORDS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of each piece: full windows and a rest."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, window), PIECES)
+    return docs.select("doc_id", "text").mapInArrow(_pieces(path, window, kept), PIECES)
 
 
 def _placer(plan: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -259,5 +259,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     return ranked.mapInPandas(_placer(plan), PIECES + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
-    return pack(tokenized_pieces(docs, path, window), window)
+def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, kept: int = KEPT_WORDS) -> DataFrame:
+    """Pieces of all documents with their places. kept: words of a generation that a worker remembers; fewer need less
+    memory and more time, and change no result."""
+    return pack(tokenized_pieces(docs, path, window, kept), window)

@@ -208,7 +208,7 @@ def test_packing(spark, sf_dir):
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    extra = [(-1, None), (-2, ""), (-3, "a<|endoftext|> b\x1cq. \x1d, r2. é.. it's. x., A. . ,\tÉ́ x  'LL've"), (-4, "word " * 9000), (-4, "word " * 9000)]
+    extra = [(-1, None), (-2, ""), (-3, "a<|endoftext|> b\x1cq. \x1d, r2. é.. it's. x., A. . , don't 'Twas 3.14% ΑΣ ÉCOLE İx naïve’s a1b2_c3 '''ll re've\tÉ́ x  'LL've"), (-4, "word " * 9000), (-4, "word " * 9000)]
     frame = frame.unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     given = [(r["doc_id"], [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in frame.collect()]
     got = op9_packing.pack_documents(frame, queries.tokenizer_path()).collect()
