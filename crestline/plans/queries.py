@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions import describe, levels, pcm
-from crestline.operators import batches, channels, layouts, packets, report, tracks, trim, windows
+from crestline.operators import batches, channels, export, layouts, packets, report, tracks, trim, windows
 from crestline.schema import format_error
 from crestline.sources import adapters
 
@@ -103,6 +103,20 @@ def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("track_id", F.lit(7).alias("channels"), F.array(F.lit(3)).alias("lfe_indices"), F.lit(True).alias("has_channel_layout_metadata"))
 
 
+_CODECS = ["FLAC", "WAV/PCM", "MP3", "AAC", "Unknown"]
+_TRACKS_SQL = f"""WITH k AS (SELECT o_orderkey, {_CODECS}[o_orderkey % 5 + 1] AS codec, (o_totalprice * 100)::BIGINT AS bytes, o_orderkey * 1013 % 90000000 AS frames, [44100, 48000, 96000][o_orderkey % 3 + 1] AS rate,
+    o_orderkey % 7 + 1 AS channels, [16, 24, 32][o_orderkey % 3 + 1] AS bits, o_orderkey % 11 = 0 AS dsd, o_orderkey % 13 = 0 AS partial FROM orders)"""
+
+
+def _track_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (key % n).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", pick(_CODECS, 5).alias("codec"), F.round(F.col("o_totalprice") * 100).cast("long").alias("bytes"), (key * 1013 % 90_000_000).alias("frames"), pick([44100, 48000, 96000], 3).alias("rate"),
+        (key % 7 + 1).alias("channels"), pick([16, 24, 32], 3).alias("bits"), (key % 11 == 0).alias("dsd"), (key % 13 == 0).alias("partial"),
+    )
+
+
 # ---- windows and channels -------------------------------------------------------------------------------------------
 
 
@@ -310,6 +324,41 @@ def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.select("track_id", F.regexp_replace("report", r"\n(High|Medium) risk[^\n]*$", "").alias("table_text"))
 
 
+@query(f"""{_windows(LINEITEM, tail=False)}, {_tracks(True)}, q AS (SELECT *, peak <= 1e-6 OR rms <= 1e-6 AS quiet, channel = 3 AS lfe FROM dr),
+    l AS (SELECT track_id, channel, '| CH ' || (channel + 1) || CASE WHEN lfe OR quiet THEN ' [' || concat_ws(', ', CASE WHEN lfe THEN 'LFE' END, CASE WHEN quiet THEN 'Silent' END, 'excluded') || ']' ELSE '' END
+        || CASE WHEN quiet THEN ' | - | -' ELSE ' | DR' || round(dr_value)::INT || ' | ' || printf('%.2f', dr_value) END || ' |' AS line FROM q)
+    SELECT track_id, '## ' || CASE WHEN any_value(risk_level) IS NULL THEN track_id ELSE '*' || track_id || '*' END || chr(10) || chr(10) || '| Channel | Official | Precise |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY channel)
+        || coalesce(chr(10) || chr(10) || '**Official DR' || any_value(official_dr) || ' (excl. LFE)** · Precise ' || printf('%.2f', any_value(precise_dr)) || ' dB', '') AS head FROM l JOIN t USING (track_id) GROUP BY track_id""")
+def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown sections, without the risk line below them."""
+    found = _seven_channels(spark, sf_dir)
+    reports = export.markdown_exports(found, tracks.track_dr(found, exclude_lfe=True), exclude_lfe=True, hide_path=True)
+    return reports.select("track_id", F.regexp_replace("report", r"\n\n\*(High|Medium) risk[^\n]*$", "").alias("head"))
+
+
+@query(f"""{_windows(LINEITEM, tail=False)}, {_tracks(True)} SELECT track_id, t.official_dr, (channel + 1)::INT AS channel, round(dr_value)::INT AS dr_rounded, CASE WHEN peak <= 1e-6 OR rms <= 1e-6 THEN 'silent' WHEN channel = 3 THEN 'lfe' ELSE 'normal' END AS status,
+    peak <= 1e-6 OR rms <= 1e-6 OR channel = 3 AS excluded FROM dr JOIN t USING (track_id)""")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON exports, read back."""
+    found = _seven_channels(spark, sf_dir)
+    reports = export.json_exports(found, tracks.track_dr(found, exclude_lfe=True), exclude_lfe=True)
+    shape = "path string, officialDr int, channels array<struct<channel: int, drRounded: int, status: string, excluded: boolean>>"
+    r = reports.select(F.from_json("report", shape).alias("r")).select("r.path", "r.officialDr", F.inline("r.channels"))
+    return r.select(F.col("path").alias("track_id"), F.col("officialDr").alias("official_dr"), "channel", F.col("drRounded").alias("dr_rounded"), "status", "excluded")
+
+
+@query(f"""{_TRACKS_SQL}, f AS (SELECT *, CASE WHEN dsd THEN 5644800 END AS native, CASE WHEN o_orderkey % 22 = 0 THEN 128 END AS tier, CASE WHEN o_orderkey % 2 = 0 THEN 48000 END AS processed FROM k)
+    SELECT o_orderkey, CASE WHEN native IS NOT NULL THEN '5644800 Hz (DSD' || coalesce(tier::VARCHAR, '') || ')' ELSE rate || ' Hz' END || CASE WHEN processed <> rate THEN ' -> 48000 Hz' ELSE '' END AS rate_text,
+    CASE WHEN dsd THEN '1 (processed as 32-bit float)' ELSE bits::VARCHAR END AS bits_text, coalesce(CASE WHEN dsd OR partial THEN NULL WHEN codec IN ('FLAC', 'MP3', 'AAC') THEN CASE WHEN frames > 0 THEN round(bytes * 8.0::DOUBLE / (frames / rate) / 1000)::BIGINT END ELSE (rate * channels * bits) // 1000 END || ' kbps', 'N/A') AS bitrate_text FROM f""")
+def format_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    rows = _track_rows(spark, sf_dir).select(
+        "o_orderkey", "codec", "bytes", "channels", F.col("frames").alias("sample_count"), F.col("rate").alias("sample_rate"), F.col("bits").alias("bits_per_sample"), F.col("partial").alias("is_partial"),
+        F.when(F.col("dsd"), 5644800).alias("dsd_native_rate_hz"), F.when(key % 22 == 0, 128).alias("dsd_multiple_of_44k"), F.when(key % 2 == 0, 48000).alias("processed_sample_rate"),
+    )
+    return export.format_info(rows).select("o_orderkey", "rate_text", "bits_text", "bitrate_text")
+
+
 # ---- trimming -------------------------------------------------------------------------------------------------------
 
 _TRIM = f"""WITH {EVENTS}, f AS (SELECT track_id, frame_idx, max(abs(sample)) AS amplitude FROM s GROUP BY ALL),
@@ -411,20 +460,6 @@ def lfe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", text(describe.mask_lfe(F.col("o_orderkey") % 16)).alias("mask_lfe"), text(F.col("lfe_indices")).alias("label_lfe"))
 
 
-_CODECS = ["FLAC", "WAV/PCM", "MP3", "AAC", "Unknown"]
-_TRACKS_SQL = f"""WITH k AS (SELECT o_orderkey, {_CODECS}[o_orderkey % 5 + 1] AS codec, (o_totalprice * 100)::BIGINT AS bytes, o_orderkey * 1013 % 90000000 AS frames, [44100, 48000, 96000][o_orderkey % 3 + 1] AS rate,
-    o_orderkey % 7 + 1 AS channels, [16, 24, 32][o_orderkey % 3 + 1] AS bits, o_orderkey % 11 = 0 AS dsd, o_orderkey % 13 = 0 AS partial FROM orders)"""
-
-
-def _track_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    pick = lambda values, n: F.get(F.array(*map(F.lit, values)), (key % n).cast("int"))
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", pick(_CODECS, 5).alias("codec"), F.round(F.col("o_totalprice") * 100).cast("long").alias("bytes"), (key * 1013 % 90_000_000).alias("frames"), pick([44100, 48000, 96000], 3).alias("rate"),
-        (key % 7 + 1).alias("channels"), pick([16, 24, 32], 3).alias("bits"), (key % 11 == 0).alias("dsd"), (key % 13 == 0).alias("partial"),
-    )
-
-
 @query(f"""{_TRACKS_SQL} SELECT o_orderkey, codec IN ('FLAC', 'MP3', 'AAC') AS compressed, CASE WHEN dsd OR partial THEN NULL WHEN codec IN ('FLAC', 'MP3', 'AAC') THEN CASE WHEN frames > 0 THEN round(bytes * 8.0::DOUBLE / (frames / rate) / 1000)::BIGINT END ELSE (rate * channels * bits) // 1000 END AS kbps FROM k""")
 def bitrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
