@@ -14,24 +14,31 @@ def _finite() -> Column:
     return ~F.isnan("rms") & (F.col("rms") >= 0) & (F.col("rms") < float("inf"))
 
 
+def _bin() -> Column:
+    return F.floor(F.least(F.lit(float(BINS)), BINS * F.col("rms"))).cast("long")
+
+
 def histogram(found: DataFrame) -> DataFrame:
     """track_id, channel, bin, cnt: windows by their level, at most BINS + 1 rows a channel. Levels that are no finite
     number count in no bin, levels above 1 in the last."""
-    level = F.floor(F.least(F.lit(float(BINS)), BINS * F.col("rms"))).cast("long")
-    return found.where(_finite()).groupBy(*CHANNEL, level.alias("bin")).agg(F.count("*").alias("cnt"))
+    return found.where(_finite()).groupBy(*CHANNEL, _bin().alias("bin")).agg(F.count("*").alias("cnt"))
 
 
-def loudest_fifth(bins: DataFrame) -> DataFrame:
-    """rms of the loudest fifth (one window at least) from the histogram: bins from the top, as many windows as are left.
-    The sum is of integers, hence exact."""
+def _taken(bins: DataFrame) -> DataFrame:
+    """Adds total, k and take: of the loudest fifth (k windows, one at least) so many are in this bin."""
     channel = Window.partitionBy(*CHANNEL)
-    upto = channel.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    counted = bins.withColumn("windows", F.sum("cnt").over(channel)).withColumn("seen", F.sum("cnt").over(upto))
-    k = F.greatest(F.lit(1).cast("long"), F.expr("windows div 5"))
+    upto = channel.orderBy(F.desc_nulls_last("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = bins.withColumn("seen", F.sum("cnt").over(upto)).withColumn("total", F.sum("cnt").over(channel))
+    k = F.greatest(F.lit(1).cast("long"), F.expr("total div 5"))
     take = F.greatest(F.lit(0).cast("long"), F.least(F.col("cnt"), k - (F.col("seen") - F.col("cnt"))))
-    taken = counted.withColumn("k", k).withColumn("take", take)
+    return counted.withColumn("k", k).withColumn("take", take)
+
+
+def loudest_fifth(bins: DataFrame) -> DataFrame:
+    """rms of the loudest fifth from the histogram: bins from the top, as many windows as are left. The sum is of integers,
+    hence exact."""
     total = F.sum(F.col("take") * F.col("bin") * F.col("bin"))
-    return taken.groupBy(*CHANNEL).agg(F.max("windows").alias("windows"), F.max("k").alias("k"), F.sqrt(total * 1e-8 / F.max("k")).alias("rms"))
+    return _taken(bins).groupBy(*CHANNEL).agg(F.max("total").alias("windows"), F.max("k").alias("k"), F.sqrt(total * 1e-8 / F.max("k")).alias("rms"))
 
 
 def loudest_fifth_exact(found: DataFrame) -> DataFrame:
@@ -58,24 +65,35 @@ def channel_dr(
     rule: levels.PeakRule = levels.prefer_secondary,
     floor: float = 0.0,
 ) -> DataFrame:
-    """track_id, channel, dr_value, rms, peak, primary_peak, secondary_peak, sample_count of every channel.
-
-    Both branches (levels, peaks) start from one aggregation, which the planner reuses. A channel without any window that
-    counts has level, peak and range 0.
-    """
+    """track_id, channel, dr_value, rms, peak, primary_peak, secondary_peak, sample_count of every channel. A channel
+    without any window that counts has level, peak and range 0."""
     frames = window_frames(sample_rate)
-    raw = raw_windows(samples, frames)
-    kept = raw.where(complete(frames, flush_tail))
+    counts = complete(frames, flush_tail)
     if silence_db is not None:
-        kept = kept.where(F.isnan("rms") | ~below(silence_db))
-    return from_windows(raw, kept, rule, floor)
+        counts = counts & ~below(silence_db)
+    return from_windows(raw_windows(samples, frames), counts, rule, floor)
+
 
+def from_windows(raw: DataFrame, counts: Column, rule: levels.PeakRule = levels.prefer_secondary, floor: float = 0.0) -> DataFrame:
+    """channel_dr() from raw windows and the condition under which one counts.
 
-def from_windows(raw: DataFrame, kept: DataFrame, rule: levels.PeakRule = levels.prefer_secondary, floor: float = 0.0) -> DataFrame:
-    """channel_dr() from raw windows and those of them that count."""
-    counts = raw.groupBy(*CHANNEL).agg(F.sum("n").alias("sample_count"))
-    level = loudest_fifth(histogram(kept)).select(*CHANNEL, "rms")
-    out = counts.join(level, CHANNEL, "left").join(top_peaks(kept), CHANNEL, "left").fillna(0.0, ["rms", "primary_peak", "secondary_peak"])
+    One chain: after the windows are dealt by channel, ranks of peaks, the histogram and its running sums all stay in
+    their partition, so samples are read once and windows are shuffled once.
+    """
+    channel = Window.partitionBy(*CHANNEL)
+    placed = raw.withColumn("counts", F.coalesce(counts, F.lit(False)))
+    placed = placed.withColumn("place", F.row_number().over(channel.orderBy(F.desc("counts"), F.desc("peak"), "win")))
+    level = F.when(F.col("counts") & _finite(), _bin())
+    peak = lambda k: F.max(F.when(F.col("counts") & (F.col("place") == k), F.col("peak")))
+    bins = placed.groupBy(*CHANNEL, level.alias("bin")).agg(F.count("*").alias("windows"), F.sum("n").alias("frames"), peak(1).alias("first"), peak(2).alias("second"))
+    bins = bins.withColumn("cnt", F.when(F.col("bin").isNotNull(), F.col("windows")).otherwise(F.lit(0)).cast("long"))
+    taken = _taken(bins).groupBy(*CHANNEL).agg(
+        F.sum("frames").alias("sample_count"),
+        F.max("first").alias("primary_peak"),
+        F.max("second").alias("secondary_peak"),
+        F.coalesce(F.sqrt(F.sum(F.col("take") * F.col("bin") * F.col("bin")) * 1e-8 / F.max("k")), F.lit(0.0)).alias("rms"),
+    )
+    out = taken.withColumn("primary_peak", F.coalesce("primary_peak", F.lit(0.0))).withColumn("secondary_peak", F.coalesce("secondary_peak", "primary_peak"))
     out = out.withColumn("peak", rule(F.col("primary_peak"), F.col("secondary_peak")))
     out = out.withColumn("dr_value", levels.dynamic_range(F.col("rms"), F.col("peak"), floor))
     return out.select(*CHANNEL, "dr_value", "rms", "peak", "primary_peak", "secondary_peak", "sample_count")

@@ -31,7 +31,7 @@ def raw_windows(samples: DataFrame, frames: int) -> DataFrame:
     )
 
 
-def complete(frames: int, flush_tail: bool | Column) -> Column:
+def complete(frames: int | Column, flush_tail: bool | Column) -> Column:
     """Which windows count: whole ones, and a last one of two frames or more where tails are flushed at all."""
     flush = F.lit(flush_tail) if isinstance(flush_tail, bool) else flush_tail
     return (F.col("n") == frames) | (flush & (F.col("n") > 1))

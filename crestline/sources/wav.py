@@ -206,7 +206,7 @@ def analyse(spark: SparkSession, directory: str, recursive: bool = False, silenc
     raw = window_files(files).join(good.select("path", "sample_rate", "channels"), "path").withColumnRenamed("path", "track_id")
     raw = raw.withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n")))
     full = F.floor(F.col("sample_rate") * F.lit(windows.WINDOW_SECONDS))
-    kept = raw.where((F.col("n") == full) | ((F.col("channels") <= 2) & (F.col("n") > 1)))
+    counts = windows.complete(full, F.col("channels") <= 2)
     if silence_db is not None:
-        kept = kept.where(F.isnan("rms") | ~windows.below(silence_db))
-    return meta, channels.from_windows(raw, kept)
+        counts = counts & ~windows.below(silence_db)
+    return meta, channels.from_windows(raw, counts)
