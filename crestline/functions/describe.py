@@ -133,6 +133,18 @@ def opus_frames(bytes_: Column, rate: Column) -> Column:
 
 def mask_lfe(mask: Column) -> Column:
     """Indices of low-frequency channels (bits 0x8 and 0x800000) of a channel mask: set bits below each."""
+
     def index(bit: int) -> Column:
         return F.when(mask.bitwiseAND(F.lit(bit)) != 0, F.bit_count(mask.bitwiseAND(F.lit(bit - 1))))
+
     return F.array_compact(F.array(index(0x8), index(0x800000)))
+
+
+def progress(done: Column, total: Column) -> Column:
+    """Share of the work done; 0 while the total is not known."""
+    return F.when(total > 0, done / total).otherwise(F.lit(0.0))
+
+
+def sample_seconds(samples: Column, rate: Column, channels: Column) -> Column:
+    """Duration of interleaved samples; 0 for an invalid format."""
+    return F.when((rate > 0) & (channels > 0), samples / (rate * channels)).otherwise(F.lit(0.0))

@@ -106,3 +106,8 @@ def boundary_warning(official: Column, precise: Column) -> Column:
             risk["risk_level"], precise, risk["distance_db"], potential_official(official, risk["direction"]), official,
         ),
     )
+
+
+def square_sum(samples: Column) -> Column:
+    """Sum of squares of an array of samples, accumulated in double precision."""
+    return F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))

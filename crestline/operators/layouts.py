@@ -50,3 +50,18 @@ def lfe_of_labels(tracks: DataFrame) -> DataFrame:
     labels = F.transform(F.split("labels", r"\+"), lambda x: F.upper(F.trim(x)))
     at = F.filter(F.transform(labels, lambda x, i: F.when(x.isin("LFE", "LFE2"), i)), lambda i: i.isNotNull())
     return tracks.withColumn("lfe_indices", at)
+
+
+PROBE = "streams array<struct<sample_rate: string, channels: int, channel_layout: string, codec_name: string, duration: string>>, format struct<format_name: string, duration: string>"
+
+
+def of_probe_json(probes: DataFrame) -> DataFrame:
+    """Format columns from the JSON that an external probe prints (column probe): rate, channels, layout, codec, duration
+    and container of the first stream; rates and durations come as text there."""
+    p = F.from_json("probe", PROBE)
+    stream = F.get(p["streams"], F.lit(0))
+    seconds = F.coalesce(stream["duration"].try_cast("double"), p["format"]["duration"].try_cast("double"))
+    rate = F.coalesce(stream["sample_rate"].try_cast("int"), F.lit(44100))
+    out = probes.withColumn("sample_rate", rate).withColumn("channels", F.coalesce(stream["channels"], F.lit(2))).withColumn("layout", stream["channel_layout"])
+    out = out.withColumn("codec", stream["codec_name"]).withColumn("container", p["format"]["format_name"])
+    return out.withColumn("sample_count", F.coalesce(F.floor(seconds * F.col("sample_rate")).cast("long"), F.lit(0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,11 @@ def output_path(source: str) -> str:
     return str(Path(source).with_name(f"{Path(source).stem}_DR_Analysis.txt"))
 
 
+def batch_path(directory: str, now: datetime | None = None) -> str:
+    """Name of a batch report, by its directory and the UTC time."""
+    return f"{directory.rstrip('/')}_BatchDR_{(now or datetime.now(UTC)).strftime('%Y%m%d_%H%M%S')}.txt"
+
+
 def write_reports(reports: DataFrame, path: str) -> None:
     """A folder per track, written by the executors."""
     reports.repartition("track_id").write.mode("overwrite").partitionBy("track_id").text(path)

@@ -643,3 +643,29 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def resource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = batches.resource_summary(table(spark, sf_dir, "events").select(F.col("value").alias("cpu_percent"), F.col("user_id").alias("memory_kb")))
     return out.withColumn("peak_cpu_percent", F.round("peak_cpu_percent", 4)).withColumn("avg_cpu_percent", F.round("avg_cpu_percent", 4))
+
+
+@query("SELECT vec_id, round(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS sum_sq FROM embeddings")
+def square_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(levels.square_sum(F.col("embedding")), 6).alias("sum_sq"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 > 0 THEN round((o_orderkey % 7) / (o_orderkey % 10), 6) ELSE 0 END AS progress,
+    CASE WHEN o_orderkey % 5 > 0 THEN round((o_orderkey % 100000) / (44100 * (o_orderkey % 5)), 6) ELSE 0 END AS seconds, CASE WHEN o_orderkey % 4 > 0 THEN round(o_orderkey / (o_orderkey % 4), 6) ELSE 0 END AS per_second FROM orders""")
+def progress_and_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    seconds = describe.sample_seconds(key % 100_000, F.lit(44100), key % 5)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(describe.progress(key % 7, key % 10), 6).alias("progress"), F.round(seconds, 6).alias("seconds"), F.round(pcm.rate_per_second(key, key % 4), 6).alias("per_second"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 44100 ELSE 48000 END::INT AS sample_rate, (o_orderkey % 8 + 1)::INT AS channels, CASE WHEN o_orderkey % 3 = 0 THEN '5.1' END AS layout, 'ac3' AS codec, 'eac3' AS container,
+    CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE trunc((o_orderkey % 1000) / 8.0::DOUBLE * CASE WHEN o_orderkey % 5 = 0 THEN 44100 ELSE 48000 END)::BIGINT END AS sample_count FROM orders""")
+def probe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    stream = F.struct(
+        F.when(key % 5 == 0, "n/a").otherwise("48000").alias("sample_rate"), (key % 8 + 1).cast("int").alias("channels"), F.when(key % 3 == 0, "5.1").alias("channel_layout"), F.lit("ac3").alias("codec_name"),
+        F.when(key % 2 == 0, F.when(key % 7 == 0, "n/a").otherwise((key % 1000 / 8).cast("string"))).alias("duration"),
+    )
+    whole = F.struct(F.lit("eac3").alias("format_name"), F.when(key % 7 == 0, "n/a").otherwise((key % 1000 / 8).cast("string")).alias("duration"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.array(stream).alias("streams"), whole.alias("format"))).alias("probe"))
+    return layouts.of_probe_json(rows).drop("probe")

@@ -75,6 +75,18 @@ def test_samples_give_the_same(spark, folder):
     assert len(rows) == 4 and all(r["dr_value"] == pytest.approx(want[r["track_id"], r["channel"]]) for r in rows)
 
 
+def test_pieces_of_large_files(spark, folder):
+    from crestline.sources import ranges
+
+    ranges.register(spark)
+    key = lambda r: (r["path"].rsplit("/", 1)[1], r["channel"], r["win"])
+    want = {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in wav.window_files(wav.contents(spark, str(folder))).collect()}
+    for count in (1, 64):
+        pieces = spark.read.format("wav_windows").option("windows", count).load(str(folder))
+        assert {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in pieces.collect()} == want
+    assert want["edge_cases.wav", 0, 2][0] == 308700 - 2 * 132480
+
+
 def test_extensible_mask_and_encodings():
     fmt = struct.pack("<HHIIHHHHIH14s", wav.EXTENSIBLE, 6, 48000, 48000 * 12, 12, 16, 22, 16, 0x3F, 1, b"\0" * 14)
     data = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"junk" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", 40) + fmt + b"data" + struct.pack("<I", 24) + b"\0" * 24
