@@ -187,6 +187,7 @@ def test_neighbours_small(spark):
     rows = [(i, rng.normal(size=4).tolist(), "x") for i in range(60)]
     rows += [(i, [1.0, 2.0, 3.0, 4.0], "x") for i in range(100, 170)]
     rows += [(20_000, None, "x"), (20_020, [0.0] * 4, "x"), (20_040, [1.0, float("nan"), 0, 0], "x"), (20_060, [1.0, None, 0, 0], "x"), (20_080, [float("inf"), 0, 0, 0], "x"), (None, [1.0, 0, 0, 0], "x")]
+    rows = [(i, v and [x if x is None else float(x) for x in v], r) for i, v, r in rows]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
     got = defaultdict(list)
     for r in op8_ann.nearest(frame, F.col("vec_id") % 20 == 0, k=20).collect():
