@@ -21,6 +21,7 @@ doc_id count as one document for links; a null doc_id is linked only through an
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -45,6 +46,9 @@ MAP_BITS = 1 << 25
 BATCH = 1000
 #: Bytes of texts that are hashed in one go.
 TOGETHER = 1 << 18
+#: Bytes from which on a text is hashed in stretches.
+LONG = 1 << 20
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -61,15 +65,29 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return odd, rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
 
 
+def _stretches(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """A long text in stretches that end between words, with their starts."""
+    at = 0
+    while at < len(data):
+        end = at + LONG
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.start() if gap else len(data)
+        yield at, data[at:end]
+        at = end
+
+
 def _words(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word of texts joined by a space, and the number of the text it is in."""
-    raw = np.frombuffer(data, np.uint8)
-    space = _SPACE[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    a, b = edge[::2], edge[1::2]
-    roll = _rolling()
-    named = roll.spans(roll.sums(raw), a, b) ^ ((b - a).astype(np.uint64) << np.uint64(1))
-    return mix64(named), np.searchsorted(starts, a, side="right") - 1
+    roll, hashes, texts = _rolling(), [], []
+    for at, part in _stretches(data):
+        raw = np.frombuffer(part, np.uint8)
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[raw], [True])).view(np.int8)))
+        a, b = edge[::2], edge[1::2]
+        named = roll.spans(roll.sums(raw), a, b) ^ ((b - a).astype(np.uint64) << np.uint64(1))
+        hashes.append(mix64(named))
+        texts.append(np.searchsorted(starts, at + a, side="right") - 1)
+    return (np.concatenate(hashes), np.concatenate(texts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def shingle_sets(texts: list[str | None], width: int) -> Iterator[np.ndarray]:

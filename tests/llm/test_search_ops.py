@@ -278,6 +278,17 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     near(spark, [], 3, 85)
 
 
+def test_long_texts_are_hashed_alike(monkeypatch):
+    rng = random.Random(14)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(400)) + "\n", "x" * 3000, " \t" * 900, "a b  c " * 300]
+    whole = list(op10_setsketch.shingle_sets(texts, 3))
+    monkeypatch.setattr(op10_setsketch, "LONG", 100)
+    monkeypatch.setattr(op10_setsketch, "TOGETHER", 1)
+    assert all((a == b).all() for a, b in zip(whole, op10_setsketch.shingle_sets(texts, 3), strict=True))
+    monkeypatch.setattr(op10_setsketch, "TOGETHER", 1 << 18)
+    assert all((a == b).all() for a, b in zip(whole, op10_setsketch.shingle_sets(texts, 3), strict=True))
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(5)
     for share in (0.2, 0.5, 0.85, 0.95):
@@ -351,3 +362,23 @@ def test_pipeline_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < -5")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).collect() == []
+
+
+def test_pipeline_odd_rows(spark, sf_dir):
+    """Nulls in every column, repeated rows and ids, long texts, and columns named like the operators' own."""
+    own = ["lang_pred", "score", "key", "id", "component", "size", "items", "taken", "uses", "shard", "length", "start", "bucket", "registers"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in own)
+    base = [
+        (1, "some words that are here to stay", "en", "a", 33), (1, "some words that are here to stay", "en", "a", 33), (2, None, None, None, None), (3, "", "en", None, 0), (None, "no identity at all here", None, None, None),
+        (None, "no identity at all here", None, None, None), (4, "mail me at some.one@example.org now " * 3000, "en", "b", 108000), (5, "42", "fr", "b", 2), (6, "des mots en plus", "fr", None, None), (None, None, None, None, None),
+    ]
+    docs = spark.createDataFrame([(*r, *["x"] * len(own)) for r in base], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf_dir)
+        assert after.schema == docs.schema or after.columns == docs.columns
+        docs = spark.createDataFrame(after.collect(), schema)
+    rows = docs.collect()
+    assert Counter(r["doc_id"] for r in rows).keys() <= {1, 4, 6, None}
+    assert all("@" not in r["text"] for r in rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sum(r["start"] == 0 for r in packed) == len(rows)
