@@ -35,7 +35,7 @@ from crestline.llm.common import BUCKET_BYTES, RollingHash, arrow_rows, cut, mix
 
 THRESHOLD = 400
 #: Bytes of a text that are handled at once, and windows that a task settles at once.
-PIECE, FLUSH = 1 << 20, 1 << 20
+PIECE, FLUSH = 1 << 20, 1 << 18
 #: Rows that Python gets at once.
 BATCH = 1000
 MAP_BITS = 1 << 25
@@ -347,4 +347,5 @@ def _remove_repeats(docs: DataFrame, threshold: int) -> DataFrame:
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-    return info.join(result, "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    # a written table on both sides, so that the planner can split the rows of a text that very many documents share
+    return info.join(cut(result, "repeats-result"), "sha").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
