@@ -29,13 +29,15 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crestline.llm.common import cut
+from crestline.llm.common import arrow_rows, cut
 
 WINDOW, END_ID = 4096, 2
 #: Words of a generation whose ids a worker keeps, and texts whose words are looked up together.
 KEPT_WORDS, TOGETHER = 450_000, 250
+#: Rows that Python gets at once.
+BATCH = 1000
 #: Pieces of one length that are ranked in one group, about.
-RANKED_TOGETHER = 512
+RANKED_TOGETHER = 128
 
 
 #: The stretches of a lower-case text that the tokenizer (see its file) encodes each by itself.
@@ -242,7 +244,8 @@ def _placer(plan: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     """Adds sequence_id and offset to pieces (length at most window)."""
-    pieces = cut(pieces, "pack-pieces")
+    with arrow_rows(pieces.sparkSession, BATCH):
+        pieces = cut(pieces, "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     total = sum(counts.values())
     plan = np.array(sorted(best_fit_decreasing(counts, window)), np.int64).reshape(-1, 5)
