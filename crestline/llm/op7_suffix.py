@@ -10,7 +10,8 @@ Round one, length THRESHOLD / 4: of each window of THRESHOLD bytes one position
 (equal windows choose alike), about one position in 150. Ranks that occur once drop out, and with them all windows that
 chose them. Round two, length THRESHOLD: the windows left form pairs of ranks of half the threshold; pairs that occur
 twice mark their positions. Ranks travel packed, thousands in a row, and each flush of a task first settles what
-repeats within itself, so a passage that a third of all documents share reaches a bucket once per flush, not per copy.
+repeats within itself, so a passage that a third of all documents share reaches a bucket once per flush, not per copy;
+buckets that are still far above the mean are combined in parts before they meet.
 
 Equal texts are one class: of two or more copies with THRESHOLD bytes everything goes; one copy stands for all in the
 search. Texts are read three times and, from the second time on, only those that still matter are shuffled, told apart
@@ -39,6 +40,10 @@ PIECE, FLUSH = 1 << 20, 1 << 18
 #: Rows that Python gets at once.
 BATCH = 1000
 MAP_BITS = 1 << 25
+#: Buckets of so many times the mean size are combined in parts first.
+HOT = 3
+#: Hot buckets up to which their list is sent to every task.
+BROADCAST_BUCKETS = 10_000
 
 
 @lru_cache(maxsize=1)
@@ -231,19 +236,56 @@ def _known_runs(known: np.ndarray, own: np.ndarray, start: np.ndarray) -> Iterat
         yield int(c), s, n
 
 
-def _sort_second(table: pa.Table) -> pa.Table:
-    pair = _column(table, "pairs", np.uint64)
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pair, class, start and sureness of every window of packed rows."""
     starts, counts, classes, sure = (_column(table, c, k) for c, k in (("starts", np.int64), ("counts", np.int64), ("classes", np.int64), ("sure", np.bool_)))
     run = np.repeat(np.arange(len(starts)), counts)
+    offset = np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _column(table, "pairs", np.uint64), classes[run], starts[run] + offset, sure[run]
+
+
+def _combine(table: pa.Table) -> pa.Table:
+    """Rows of one part of a hot bucket as one row: each pair once; runs that this shows to repeat have no bucket."""
+    pair, own, start, sure = _unpacked(table)
+    order = np.argsort(pair, kind="stable")
+    by = pair[order]
+    new = np.concatenate(([True], by[1:] != by[:-1]))
+    group = np.cumsum(new) - 1
+    known, first = np.empty(len(pair), bool), np.empty(len(pair), bool)
+    known[order], first[order] = ((np.bincount(group) > 1) | (np.bincount(group, sure[order]) > 0))[group], new
+    rows = [{"class": c, "starts": s.tobytes(), "counts": n.tobytes()} for c, s, n in _known_runs(known & ~sure, own, start)]
+    pair, own, start, known = pair[first], own[first], start[first], known[first]
+    at = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1) | (known[1:] != known[:-1]))))
+    count = np.diff(np.append(at, len(pair))).astype(np.int64)
+    bucket = table.column("bucket")[0].as_py()
+    rows.append({"bucket": bucket, "starts": start[at].tobytes(), "counts": count.tobytes(), "classes": own[at].tobytes(), "sure": known[at].tobytes(), "pairs": pair.tobytes()})
+    return pa.Table.from_batches([_rows(ROUND_TWO, rows)])
+
+
+def _cooled(packed: DataFrame) -> DataFrame:
+    """The rows of round two, those of buckets far above the mean combined in as many parts as they have mean sizes."""
+    sizes = packed.where("bucket IS NOT NULL").groupBy(F.col("bucket").alias("b")).agg(F.sum(F.octet_length("pairs")).alias("bytes"))
+    mean = sizes.agg(F.avg("bytes")).first()[0] or 0.0
+    hot = cut(sizes.where(F.col("bytes") > HOT * mean).select("b", F.ceil(F.col("bytes") / max(mean, 1.0)).cast("int").alias("parts")), "repeats-hot")
+    found = hot.count()
+    if not found:
+        return packed
+    hot = F.broadcast(hot) if found <= BROADCAST_BUCKETS else hot
+    part = F.pmod(F.xxhash64("starts", "classes"), F.col("parts"))
+    parts = packed.join(hot, F.col("bucket") == F.col("b")).withColumn("part", part).select(*packed.columns, "part").groupBy("bucket", "part")
+    combined = cut(parts.applyInArrow(_combine, ROUND_TWO), "repeats-combined")
+    return packed.join(hot, F.col("bucket") == F.col("b"), "left_anti").unionByName(combined)
+
+
+def _sort_second(table: pa.Table) -> pa.Table:
+    pair, own, start, sure = _unpacked(table)
     order = np.argsort(pair, kind="stable")
     by = pair[order]
     new = np.concatenate(([True], by[1:] != by[:-1]))
     group = np.cumsum(new) - 1
     repeats = np.empty(len(pair), bool)
-    repeats[order] = ((np.bincount(group) > 1) | (np.bincount(group, sure[run[order]]) > 0))[group]
-    repeats &= ~sure[run]
-    offset = np.arange(len(pair)) - np.repeat(np.cumsum(counts) - counts, counts)
-    rows = list(_known_runs(repeats, classes[run], starts[run] + offset))
+    repeats[order] = ((np.bincount(group) > 1) | (np.bincount(group, sure[order]) > 0))[group]
+    rows = list(_known_runs(repeats & ~sure, own, start))
     return pa.table({
         "class": pa.array([c for c, _, _ in rows], pa.int64()),
         "starts": pa.array([s.tobytes() for _, s, _ in rows], pa.binary()),
@@ -332,6 +374,7 @@ def _remove_repeats(docs: DataFrame, threshold: int) -> DataFrame:
     second = _with_text(docs, left).select("class", "ranks", "text")
     second = cut(second.mapInArrow(_second_round(buckets, threshold), ROUND_TWO), "repeats-second")
     runs_of = "class long, starts binary, counts binary"
+    second = _cooled(second)
     sorted_second = second.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_sort_second, runs_of)
     found = second.where("bucket IS NULL").select("class", "starts", "counts").unionByName(sorted_second)
     found = found.groupBy("class").agg(F.collect_list("starts").alias("starts"), F.collect_list("counts").alias("counts"))
