@@ -6,7 +6,8 @@ dealt over tasks by its first bits and, where those are shared by many rows, ove
 queries of that prefix go; so no block is large, however the strings cluster. A query descends to its longest matches;
 then all trees ascend together, one prefix length at a time, until they hold as many rows between them as asked for
 (CANDIDATES, or SHARE of all rows if that is more: for vectors without structure, recall depends on the share that is
-scored), and those are scored exactly.
+scored), and those are scored exactly. A query whose blocks hold fewer even at DEPTH bits, the least by which a tree is
+dealt, ascends to the root: it goes to all blocks of one tree and meets every row.
 
 Equal vectors are one row of the index, with the k + 1 smallest ids of theirs; all rows are indexed. Queries are rows of
 the table; nothing is broadcast but the hyperplanes.
@@ -33,6 +34,8 @@ TREES, BITS = 16, 60
 CANDIDATES, SHARE = 20_000, 0.8
 #: Bits by which a tree is dealt, and rows of a chunk, on average.
 DEPTH, CHUNK = 3, 8192
+#: Level of the queries that meet every row.
+ROOT = -1
 
 
 def planes(dims: int, seed: int) -> np.ndarray:
@@ -97,7 +100,7 @@ def _scorer(dims: int, keep: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         if len(rows) and len(asks):
             held, reps, vectors, wanted = rows["code"].to_numpy(), rows["rep"].to_numpy(), _vectors(rows["vector"], dims), _vectors(asks["vector"], dims)
             for rep, code, level, own in zip(asks["rep"], asks["code"], asks["level"], wanted, strict=True):
-                a, b = (x[int(level)] for x in _ranges(held, code))
+                a, b = (0, len(held)) if level == ROOT else (x[int(level)] for x in _ranges(held, code))
                 near = vectors[a:b] @ own
                 best = np.arange(b - a) if b - a <= keep else np.flatnonzero(near >= np.partition(near, -keep)[-keep] - 1e-9 * abs(near).max())
                 exact = (vectors[a + best] * own).sum(axis=1)
@@ -146,8 +149,10 @@ def nearest(table: DataFrame, asks: Column, k: int = 20, seed: int = 1) -> DataF
     counted = held.select(slim).unionByName(asking.select(slim)).groupBy(block).applyInPandas(_count, "rep long, counts array<long>")
     summed = F.aggregate(F.collect_list("counts"), F.array_repeat(F.lit(0).cast("long"), BITS + 1), lambda s, c: F.zip_with(s, c, lambda a, b: a + b))
     levels = counted.groupBy("rep").agg(summed.alias("counts"))
-    levels = levels.select(F.col("rep").alias("q"), F.greatest(F.lit(0), F.size(F.filter("counts", lambda c: c >= wanted)) - 1).alias("level"))
-    leveled = asking.join(levels, F.col("rep") == F.col("q")).drop("q").unionByName(held.withColumn("level", F.lit(0)))
+    levels = levels.select(F.col("rep").alias("q"), (F.size(F.filter("counts", lambda c: c >= wanted)) - 1).alias("level"))  # none: ROOT
+    places = F.when(F.col("level") == ROOT, F.sequence(F.lit(0), F.lit((1 << DEPTH) - 1))).otherwise(F.array("prefix"))
+    asked = asking.join(levels, F.col("rep") == F.col("q")).drop("q").where((F.col("level") != ROOT) | (F.col("tree") == 0)).withColumn("prefix", F.explode(places))
+    leveled = asked.unionByName(held.withColumn("level", F.lit(ROOT)))
     scored = leveled.groupBy(block).applyInPandas(_scorer(dims, k + 1), "rep long, near long, score double")
     best = scored.groupBy("rep", "near").agg(F.max("score").alias("score"))
     first = Window.partitionBy("rep").orderBy(F.desc("score"), "near")

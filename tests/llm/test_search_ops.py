@@ -201,6 +201,23 @@ def test_neighbours_small(spark):
     assert op8_ann.nearest(frame.where("vec_id = 20"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+@pytest.mark.parametrize("case", ["few", "cone"])
+def test_neighbours_reach_all_rows(spark, case):
+    """Queries whose cells hold too little: 21 rows in all, or 3,000 in a tight cone and one that points the other way."""
+    rng = np.random.default_rng(21)
+    vectors = rng.normal(size=(21, 64)) if case == "few" else np.vstack([-np.ones(32), 1 + 0.02 * rng.normal(size=(3000, 32))])
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    asked = [0, 20] if case == "few" else [0]
+    got = defaultdict(list)
+    for r in op8_ann.nearest(frame, F.col("vec_id").isin(asked), k=20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q in asked:
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        assert got[q] == np.argsort(-score)[:20].tolist()
+
+
 def test_neighbours_recall(spark):
     frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = frame.select("vec_id", "embedding").collect()
