@@ -5,9 +5,12 @@ The network (a bidirectional LSTM over character classes, emissions into a CRF w
 in numpy, by Adam on the exact CRF likelihood, from labelled spans: generated sentences with national phone numbers,
 spelled-out addresses (`name (at) host.org`), dotted cards and bracketed IPs, among numbers that are none of these.
 It reads every window that holds a digit, an `@` or a spelled-out `at`; no kind can occur elsewhere. Windows overlap by
-half; each is decoded by Viterbi, spans cut by a window's edge are left to its neighbour, and what remains is reconciled
-over the whole text: surest first, no overlap among themselves nor with a base span, and only if the span's characters
-could be such data at all (digit counts, checksums). Base spans always stay.
+half, and each spelled-out `at` has one more, around its address; each is decoded by Viterbi. A span that holds a
+spelled-out `at` is completed to the whole address around it, however long, so a window's edge cuts none. Other spans cut
+by an edge inside the text are left to the neighbour, and those that no window saw whole are decoded once more in one of
+twice the width, centred on them. What remains is reconciled over the whole text: surest first, no overlap among
+themselves nor with a base span, and only if the span's characters could be such data at all (digit counts, checksums).
+Base spans always stay.
 
 Training is seeded and does not read the tables; the network has some 10,000 numbers, sent with the tasks.
 
@@ -20,8 +23,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]")
+_SPELLED_AT = re.compile(r" ?[(\[]at[)\]] ?")
 
 
 def luhn(digits: str) -> bool:
@@ -317,15 +323,30 @@ def plausible(kind: int, text: str) -> bool:
     return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"[+0-9(][0-9(). -]*[0-9]", text)) and bool(re.search(r"[0-9][). -]+[0-9]", text))
 
 
+def spelled_out(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end, start and end of the `at`) of every stretch of characters that could be an address with a spelled-out
+    at; as for the base, an address does not begin before the end of the one before it."""
+    out, before = [], 0
+    for m in _SPELLED_AT.finditer(text):
+        start = m.start()
+        while start > before and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start() and (host := _DOMAIN.match(text, m.end())):
+            before = host.end()
+            out.append((start, before, *m.span()))
+    return out
+
+
 def windows(text: str) -> Iterator[tuple[int, int, bool, bool]]:
-    """(start, end, open on the left, open on the right) of overlapping windows over all stretches near a trigger."""
+    """(start, end, open on the left, open on the right) of overlapping windows over all stretches near a trigger, and of
+    one around each address with a spelled-out at, or around its at if it is longer than a window."""
     stretch: list[int] | None = None
 
     def cuts(a: int, b: int) -> Iterator[tuple[int, int, bool, bool]]:
         at = a
         while True:
             end = min(at + WINDOW, b)
-            yield at, end, at > a, end < b
+            yield at, end, at > 0, end < len(text)
             if end == b:
                 return
             at += STRIDE
@@ -340,15 +361,19 @@ def windows(text: str) -> Iterator[tuple[int, int, bool, bool]]:
             stretch = [a, b]
     if stretch:
         yield from cuts(*stretch)
-
-
-def decode(p: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Spans the network adds to the base spans of each text."""
-    places = [(k, *w) for k, text in enumerate(texts) for w in windows(text)]
-    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
-    for at in range(0, len(places), 2048):
-        part = places[at : at + 2048]
-        x = encode([texts[k][a:b] for k, a, b, _, _ in part])
+    for a, b, x, y in spelled_out(text):
+        middle = (a + b if b - a <= WINDOW else x + y) // 2
+        a, b = max(0, middle - WINDOW // 2), min(len(text), middle + WINDOW // 2)
+        yield a, b, a > 0, b < len(text)
+
+
+def _read(p: dict[str, np.ndarray], texts: list[str], whole: list[list[tuple[int, int, int, int]]], places: list[tuple[int, int, int, bool, bool]], width: int, found: list[list[tuple[float, int, int, int]]]) -> list[tuple[int, int, int]]:
+    """Adds to `found` what the network sees in the windows; returns (text, start, end) of the spans that an edge cut."""
+    torn = []
+    many = 2048 * WINDOW // width
+    for at in range(0, len(places), many):
+        part = places[at : at + many]
+        x = encode([texts[k][a:b] for k, a, b, _, _ in part], width)
         e, _ = emissions(p, x)
         path = viterbi(e, p["pass"])
         hits = np.flatnonzero(path.any(axis=0))
@@ -367,11 +392,37 @@ def decode(p: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int, i
                 t += 1
                 while t < len(tags) and tags[t] == 2 + 2 * kind:
                     t += 1
-                if (s == 0 and left) or (t == len(tags) and right):
-                    continue  # a neighbour sees it whole
+                start, end = a + s, a + t
+                n = bisect_left(whole[k], start, key=lambda w: w[2]) if kind == 0 else len(whole[k])
+                if n < len(whole[k]) and whole[k][n][3] <= end:
+                    start, end = whole[k][n][:2]
+                elif (s == 0 and left) or (t == len(tags) and right):
+                    torn.append((k, start, end))
+                    continue  # a neighbour sees it whole, or a wider window
                 sure = float(prob[np.arange(s, t), col, tags[s:t]].min())
-                if sure >= SURE and plausible(int(kind), texts[k][a + s : a + t]):
-                    found[k].append((-sure, int(kind), a + s, a + t))
+                if sure >= SURE and plausible(int(kind), texts[k][start:end]):
+                    found[k].append((-sure, int(kind), start, end))
+    return torn
+
+
+def decode(p: dict[str, np.ndarray], texts: list[str]) -> list[list[tuple[int, int, int]]]:
+    """Spans the network adds to the base spans of each text."""
+    found: list[list[tuple[float, int, int, int]]] = [[] for _ in texts]
+    whole = [spelled_out(text) if "at" in text else [] for text in texts]
+    torn = _read(p, texts, whole, [(k, *w) for k, text in enumerate(texts) for w in windows(text)], WINDOW, found)
+    again = set()
+    seen = {}
+    for k in {k for k, _, _ in torn}:
+        starts = sorted((x, y) for _, _, x, y in found[k])
+        seen[k] = [x for x, _ in starts], [0, *accumulate((y for _, y in starts), max)]
+    for k, a, b in torn:
+        starts, ends = seen[k]
+        if ends[bisect_left(starts, b)] <= a:  # no whole span reaches into it
+            middle = (a + b) // 2
+            x, y = max(0, middle - WINDOW), min(len(texts[k]), middle + WINDOW)
+            again.add((k, x, y, x > 0, y < len(texts[k])))
+    if again:
+        _read(p, texts, whole, sorted(again), 2 * WINDOW, found)
     out = []
     for text, spans in zip(texts, found, strict=True):
         taken = [(a, b) for _, a, b in base_spans(text)] if spans else []

@@ -100,6 +100,21 @@ def test_network_finds_held_out_spans():
     assert [(op4_pii.KINDS[k], far[a:b]) for k, a, b in op4_pii.decode(p, [far])[0]] == [("phone", "(523) 555-1055"), ("email", "john.doe (at) example.org")] or {far[a:b] for _, a, b in op4_pii.decode(p, [far])[0]} == {"(523) 555-1055", "john.doe (at) example.org"}
 
 
+@pytest.mark.parametrize("address", [
+    "jane.q.public (at) mail.cs.some-university.example.org", "firstname.middlename-lastname [at] example.org", "ab(at)" + "research-group." * 9 + "example.org",
+    "a.very.long.name-that.fills.more.than.a.window.of.characters.all.by.itself (at) example.org",
+])
+def test_long_addresses_are_whole(address):
+    p = op4_pii.network(1)
+    far = "word " * 30
+    for before, after in (("", ""), ("write to ", " please"), (far, " " + far), ("call (523) 555-1055 or 12 34 56 78 90 12 34 56 or write ", " or 98 76 54 32 10 98 or (523) 555-1056 today")):
+        text = before + address + after
+        spans = op4_pii.base_spans(text) + op4_pii.decode(p, [text])[0]
+        assert (0, len(before), len(before) + len(address)) in spans
+        clean = op4_pii.redact(text, spans)
+        assert "<EMAIL>" in clean and not any(x in clean for x in ("name", "jane", "example", "research"))
+
+
 def test_personal_data_query(spark, sf_dir):
     given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.op4_personal_data(spark, sf_dir).collect()
