@@ -3,11 +3,12 @@
 PCM has frames of a fixed size, so a file can be cut at window borders and its pieces read by different tasks; each reads
 its own bytes only. Rows are raw windows (path, channel, win, n, sum_sq, peak) with the format's columns. Files are opened
 through pyarrow's file systems (local paths and URIs it knows). Files that are no readable WAV give no rows here; probe
-them with wav.probe_files. The driver reads headers only.
+them with wav.probe_files. The driver reads headers only, chunk by chunk, wherever the samples begin.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,10 +19,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from crestline.operators.windows import window_frames
 from crestline.sources import wav
-from crestline.sources.registry import AudioError
+from crestline.sources.registry import AudioError, AudioFormat
 
-#: Windows that one task reads, and bytes of a file in which its header has to end.
-WINDOWS_OF_TASK, HEADER_BYTES = 64, 1 << 16
+#: Windows that one task reads, and bytes of a format chunk that say what is needed.
+WINDOWS_OF_TASK, FORMAT_BYTES = 64, 64
 SCHEMA = wav.WINDOWS + ", sample_rate int, channels int"
 
 
@@ -37,6 +38,24 @@ class Piece(InputPartition):
     length: int
 
 
+def probe(file: pa.NativeFile, size: int) -> tuple[AudioFormat, str, int]:
+    """Format, encoding and start of the samples of a file of any length; of other chunks only their names are read."""
+    head, at = file.read_at(12, 0), 12
+    if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        raise AudioError("FormatError", "not a WAV file")
+    while at + 8 <= size:
+        chunk = file.read_at(8, at)
+        name, length = chunk[:4], struct.unpack_from("<I", chunk, 4)[0]
+        if name == b"data":
+            known, encoding, _, _ = wav.probe(head + chunk)
+            return known, encoding, at + 8
+        if name == b"fmt ":
+            body = file.read_at(min(length, FORMAT_BYTES, size - at - 8), at + 8)
+            head += chunk[:4] + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+        at += 8 + length + length % 2
+    raise AudioError("FormatError", "no samples")
+
+
 class WavWindowsReader(DataSourceReader):
     def __init__(self, path: str, recursive: bool, windows: int):
         self.path, self.recursive, self.windows = path, recursive, windows
@@ -51,10 +70,9 @@ class WavWindowsReader(DataSourceReader):
         for info in sorted(found, key=lambda x: x.path):
             if info.type != fs.FileType.File or not info.path.lower().endswith(".wav"):
                 continue
-            with system.open_input_file(info.path) as file:
-                head = file.read(HEADER_BYTES)
             try:
-                known, encoding, start, _ = wav.probe(head)
+                with system.open_input_file(info.path) as file:
+                    known, encoding, start = probe(file, info.size)
             except AudioError:
                 continue
             width = known.channels * known.bits_per_sample // 8

@@ -87,6 +87,21 @@ def test_pieces_of_large_files(spark, folder):
     assert want["edge_cases.wav", 0, 2][0] == 308700 - 2 * 132480
 
 
+def test_pieces_after_a_long_chunk(spark, tmp_path):
+    from crestline.sources import ranges
+
+    ranges.register(spark)
+    write(tmp_path / "plain.wav", np.column_stack([np.arange(5000)] * 2))
+    raw = (tmp_path / "plain.wav").read_bytes()
+    for name, at in (("before.WAV", 12), ("between.wav", 36)):  # before the format, and between it and the samples
+        (tmp_path / name).write_bytes(raw[:at] + b"JUNK" + struct.pack("<I", 99_999) + b"\1" * 100_000 + raw[at:])
+    got = {}
+    for r in spark.read.format("wav_windows").load(str(tmp_path)).collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], set()).add((r["channel"], r["win"], r["n"], r["sum_sq"], r["peak"]))
+    assert got.keys() == {"plain.wav", "before.WAV", "between.wav"}
+    assert got["plain.wav"] == got["before.WAV"] == got["between.wav"]
+
+
 def test_extensible_mask_and_encodings():
     fmt = struct.pack("<HHIIHHHHIH14s", wav.EXTENSIBLE, 6, 48000, 48000 * 12, 12, 16, 22, 16, 0x3F, 1, b"\0" * 14)
     data = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"junk" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", 40) + fmt + b"data" + struct.pack("<I", 24) + b"\0" * 24
