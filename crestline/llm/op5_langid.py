@@ -9,6 +9,10 @@ Whole texts are counted, n-gram by n-gram, so a long text costs its characters o
 DIMENSIONS. Prototypes are fitted on at most TRAIN_PER_LANG texts per language, chosen by hash; there is one prototype
 row per language, whatever the input's size.
 
+How near a text comes to its language depends on how many different n-grams it has, so `known_language` asks for a
+cosine by that number (`variety`). Training texts and their beginnings are compared with the prototype of their language
+without themselves; a text has to reach PART of what all but LOWEST of them reach at its variety.
+
 Defined results: texts that are null or hold no letter are `und` with score 0; with nothing to learn from, all are
 `und`; repeated rows count each for itself; extra columns are ignored.
 """
@@ -24,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crestline.llm.common import cut
+
 #: Training texts of a language at most (the documented bound of the sample).
 TRAIN_PER_LANG = 500
 DIMENSIONS = 512
@@ -31,6 +37,10 @@ SYMBOLS = 48
 #: Texts are cut for counting into pieces of so many characters that overlap by two; counts are summed.
 PIECE = 1 << 20
 UNKNOWN = "und"
+#: A text of no language: below PART of the cosine that all but LOWEST of the training texts of its variety reach.
+PART, LOWEST = 0.5, 0.02
+#: Characters of the beginnings that stand for short texts, and the fewest texts that set a floor.
+BEGINNINGS, FEWEST = (8, 16, 32, 64, 128, 256, 512), 20
 
 
 @lru_cache(maxsize=1)
@@ -54,8 +64,8 @@ def _ngram_vectors(seed: int) -> np.ndarray:
     return (first[:, None, None, :] * second[None, :, None, :] * letters[None, None, :, :]).reshape(-1, DIMENSIONS)
 
 
-def profile(text: str | None, seed: int) -> np.ndarray | None:
-    """The bundled vector of a whole text; None if it has no letter."""
+def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+    """The n-grams of a whole text and how often each occurs; None if it has no letter."""
     if not text:
         return None
     counts, carry = np.zeros(SYMBOLS**3, np.int64), np.zeros(1, np.uint8)
@@ -73,7 +83,24 @@ def profile(text: str | None, seed: int) -> np.ndarray | None:
     if not letters:
         return None
     seen = np.flatnonzero(counts)
-    return counts[seen].astype(np.float32) @ _ngram_vectors(seed)[seen].astype(np.float32)
+    return seen, counts[seen]
+
+
+def _bundle(seen: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
+    return counts.astype(np.float32) @ _ngram_vectors(seed)[seen].astype(np.float32)
+
+
+def profile(text: str | None, seed: int) -> np.ndarray | None:
+    """The bundled vector of a whole text; None if it has no letter."""
+    found = _counts(text)
+    return None if found is None else _bundle(*found, seed)
+
+
+def variety(counts: np.ndarray) -> int:
+    """Binary logarithm, rounded down, of how many n-grams a text has if repeated ones count for little: the squared sum
+    of the counts over the sum of their squares."""
+    wide = counts.astype(np.float64)
+    return int(np.log2(max(1.0, wide.sum() ** 2 / max(1.0, (wide * wide).sum()))))
 
 
 def _sums(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -88,40 +115,90 @@ def _sums(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
     return sums
 
 
-def fit(labelled: DataFrame, seed: int = 1) -> tuple[list[str], np.ndarray]:
-    """Languages in order and their unit prototypes, from at most TRAIN_PER_LANG texts of each."""
+def _picked(labelled: DataFrame, seed: int) -> DataFrame | None:
+    """text and lang of at most TRAIN_PER_LANG texts of each language; None without any."""
     key = F.xxhash64(F.lit(seed), "doc_id")
     share = F.pmod(key, F.lit(1 << 40)) / (1 << 40)
     per = {r["lang"]: r["n"] for r in labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
-        return [], np.zeros((0, DIMENSIONS))
+        return None
     chosen = F.lit(False)
     for lang, n in sorted(per.items()):
         chosen = chosen | ((F.col("lang") == lang) & (share < 0.9 * TRAIN_PER_LANG / n))
-    picked = labelled.where(chosen).select("text", "lang")
+    return labelled.where(chosen).select("text", "lang")
+
+
+def _summed(picked: DataFrame | None, seed: int) -> dict[str, np.ndarray]:
+    """The sum of the unit vectors of each language's texts, where it is not zero."""
+    if picked is None:
+        return {}
     vectors = picked.mapInArrow(_sums(seed), "lang string, vector array<double>")
     summed = vectors.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     langs = {}
     for lang, k, x in summed.collect():
         langs.setdefault(lang, np.zeros(DIMENSIONS))[k] = x
-    names = sorted(k for k, v in langs.items() if np.linalg.norm(v) > 0)
+    return {k: langs[k] for k in sorted(langs) if np.linalg.norm(langs[k]) > 0}
+
+
+def _prototypes(langs: dict[str, np.ndarray]) -> tuple[list[str], np.ndarray]:
+    names = list(langs)
     # rounded: sums of doubles depend on the order of tasks in their last bits
     return names, np.round(np.array([langs[k] / np.linalg.norm(langs[k]) for k in names]).reshape(len(names), DIMENSIONS), 9)
 
 
-def _predictor(names: list[str], prototypes: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def fit(labelled: DataFrame, seed: int = 1) -> tuple[list[str], np.ndarray]:
+    """Languages in order and their unit prototypes, from at most TRAIN_PER_LANG texts of each."""
+    return _prototypes(_summed(_picked(labelled, seed), seed))
+
+
+def without_itself(text: str | None, total: np.ndarray, seed: int) -> list[tuple[int, float]]:
+    """Variety of a training text and of its beginnings, and their cosines with the sum of its language's other texts."""
+    found = _counts(text)
+    if found is None or not (norm := np.linalg.norm(own := _bundle(*found, seed))):
+        return []
+    rest = total - own / norm
+    if not (size := np.linalg.norm(rest)) > 1e-6:  # nothing else was learned
+        return []
+    parts = [found, *(_counts(text[:n]) for n in BEGINNINGS if n < len(text))]
+    vectors = [(variety(x[1]), _bundle(*x, seed)) for x in parts if x is not None]
+    return [(k, round(float(rest @ v / size / norm), 9)) for k, v in vectors if (norm := np.linalg.norm(v))]
+
+
+def floors(quantiles: dict[int, tuple[int, float]], least: float) -> list[float]:
+    """The cosine to reach at each variety, from the number and low quantile of training cosines there; where too few were
+    learned from, what holds for less variety, and `least` at least."""
+    out = [least]
+    for k in range(max(quantiles, default=0) + 1):
+        n, low = quantiles.get(k, (0, 0.0))
+        out.append(max(least, PART * low) if n >= FEWEST else out[-1])
+    return out[1:]
+
+
+def _fit_floors(picked: DataFrame, langs: dict[str, np.ndarray], least: float, seed: int) -> list[float]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist(), strict=True) if lang in langs for x in without_itself(text.as_py(), langs[lang], seed)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([c for _, c in rows], pa.float64())], ["variety", "cosine"])
+
+    cosines = picked.mapInArrow(compare, "variety int, cosine double")
+    found = cosines.groupBy("variety").agg(F.count("*").alias("n"), F.percentile("cosine", F.lit(LOWEST)).alias("low")).collect()
+    return floors({r["variety"]: (r["n"], r["low"]) for r in found}, least)
+
+
+def _predictor(names: list[str], prototypes: np.ndarray, seed: int, least: list[float] | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = [], []
             for text in batch.column("__text"):
-                v = profile(text.as_py(), seed) if names else None
-                if v is None or not (norm := np.linalg.norm(v)):
+                found = _counts(text.as_py()) if names else None
+                if found is None or not (norm := np.linalg.norm(v := _bundle(*found, seed))):
                     langs.append(UNKNOWN)
                     scores.append(0.0)
                 else:
                     cosines = prototypes @ v / norm
                     best = int(np.argmax(cosines))
-                    langs.append(names[best])
+                    near = least is None or cosines[best] >= least[min(variety(found[1]), len(least) - 1)]
+                    langs.append(names[best] if near else UNKNOWN)
                     scores.append(float(min(1.0, max(0.0, cosines[best]))))
             kept = [c for c in batch.schema.names if c != "__text"]
             columns = [batch.column(c) for c in kept] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
@@ -143,10 +220,16 @@ def identify(docs: DataFrame, labelled: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def known_language(docs: DataFrame, least: float, seed: int = 1) -> DataFrame:
-    """Documents whose text has letters and comes at least `least` near to some language; columns as given."""
-    names, prototypes = fit(docs.where(~held_out()), seed)
+    """Documents whose text has letters and comes as near to some language as texts of its variety do, `least` at least;
+    columns as given."""
+    picked = _picked(docs.where(~held_out()), seed)
+    if picked is not None:
+        picked = cut(picked, "langid-learned")
+    langs = _summed(picked, seed)
+    names, prototypes = _prototypes(langs)
+    nearest = _fit_floors(picked, langs, least, seed) if langs else None
     columns = docs.columns
     given = docs.select(F.struct(*columns).alias("__row"), F.col("text").alias("__text"))
     schema = given.select("__row").schema.add("lang_pred", "string").add("score", "double")
-    scored = given.mapInArrow(_predictor(names, prototypes, seed), schema)
+    scored = given.mapInArrow(_predictor(names, prototypes, seed, nearest), schema)
     return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("__row.*")

@@ -1,6 +1,8 @@
 """Mixing, chat formatting, sharding, language ID, fingerprints and packing against plain Python."""
 
+import base64
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -143,6 +145,24 @@ def test_language_id(spark, sf_dir):
     assert {r["lang_pred"] for r in op5_langid.identify(docs(spark), docs(spark, [])).collect()} == {"und"}
 
 
+def test_known_language(spark, sf_dir):
+    """Documents with letters stay, short ones too; languages never learned and noise go."""
+    rng = random.Random(31)
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα. Είναι προικισμένοι με λογική και συνείδηση, και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης.",
+        *(base64.b64encode(rng.randbytes(rng.randint(150, 600))).decode() for _ in range(40)),
+        *(" ".join("".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(rng.randint(40, 150))) for _ in range(40)),
+        *("".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(rng.randint(150, 400))) for _ in range(40)),
+    ]
+    docs = given.unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(odd)], given.schema))
+    kept = {r["doc_id"] for r in op5_langid.known_language(docs, 0.05).collect()}
+    assert kept == {r["doc_id"] for r in given.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
 def test_language_id_long_text_counts_whole(monkeypatch):
     text = "abc def, ghi. " * 50
     whole = op5_langid.profile(text, 1)
