@@ -7,7 +7,7 @@ A source then fills its quota from its own blocks there: whole rounds over all o
 choice. The only shuffles carry (doc_id, size) rows, never texts.
 
 Defined results: null and empty texts have size 0 and nothing taken; a null source is a source of its own, last in
-order; repeated rows count each for itself; an empty table gives an empty result; columns beyond doc_id, text and
+order; repeated rows and rows without an id count each for itself; an empty table gives an empty result; columns beyond doc_id, text and
 source are ignored.
 """
 
@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.llm.common import cut
@@ -99,7 +99,7 @@ def sources_of(sizes: DataFrame) -> DataFrame:
 
 def _shard_function(seed: int, block: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source_no", "deal", "doc_id", "size"], kind="stable", ignore_index=True)
+        rows = rows.sort_values(["source_no", "deal", "doc_id", "size", "key"], kind="stable", ignore_index=True)
         no = rows["source_no"].to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))
         ends = np.append(starts[1:], len(no))
@@ -111,16 +111,21 @@ def _shard_function(seed: int, block: int) -> Callable[[tuple, pd.DataFrame], pd
         taken = np.zeros(len(no), np.int64)
         for s, (a, b) in enumerate(zip(starts, ends, strict=True)):
             taken[a:b] = take(sizes[a:b], int(quotas[s]), block, np.random.default_rng([seed, int(key[0]), s]))
-        return rows.assign(taken=taken)[["doc_id", "size", "source_size", "target", "taken"]]
+        return rows.assign(taken=taken)[["doc_id", "size", "source_size", "target", "taken", "key"]]
 
     return shard
 
 
 def mix_sources(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; see the module's text."""
+    return _mix(docs, seed, F.lit(0)).drop("key")
+
+
+def _mix(docs: DataFrame, seed: int, key: Column) -> DataFrame:
+    """The mix with a key of each row."""
     spark = docs.sparkSession
     sizes = cut(
-        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
+        docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.cast("long").alias("key")),
         "mix-sizes",
     )
     spare = cut(sources_of(sizes), "mix-sources")
@@ -136,22 +141,27 @@ def mix_sources(docs: DataFrame, seed: int = 1) -> DataFrame:
         .withColumn("deal", deal)
         .withColumn("span", F.ceil(F.col("docs") / DOCS_OF_SHARD))
         .withColumn("shard", F.pmod(F.pmod(F.col("source_no"), F.lit(shards)) + F.pmod(F.col("deal"), F.col("span")), F.lit(shards)))
-        .select("shard", "source_no", "deal", "doc_id", "size", "source_size", "target")
+        .select("shard", "source_no", "deal", "doc_id", "size", "source_size", "target", "key")
     )
-    out = "doc_id long, size long, source_size long, target double, taken long"
+    out = "doc_id long, size long, source_size long, target double, taken long, key long"
     return dealt.groupBy("shard").applyInPandas(_shard_function(seed, block), out)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The documents the mix uses, whole: taken / size times each, rounded down or up by a seeded hash of the doc_id, so
-    that a source's words keep to its target in expectation. Documents without words stay once: no share is due to them."""
+    """The documents the mix uses, whole: taken / size times each, rounded down or up by a seeded hash of the row, so that
+    a source's words keep to its target in expectation. Each row has its own share, also where ids repeat or are null.
+    Documents without words stay once: no share is due to them."""
+    row = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("="), F.coalesce("source", F.lit("")), F.lit("="), "text")
     part = F.col("taken") / F.greatest("size", F.lit(1))
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("use"), "doc_id"), F.lit(1 << 30)) / (1 << 30)
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("use"), "key"), F.lit(1 << 30)) / (1 << 30)
+    # rows alike in all of these have one key, and take what is due to them in any order
     uses = (
-        mix_sources(docs, seed)
-        .select(F.col("doc_id").alias("__id"), F.when(F.col("size") == 0, 1).otherwise(F.floor(part + chance)).cast("int").alias("__uses"))
-        .groupBy("__id")
-        .agg(F.max("__uses").alias("__uses"))
+        _mix(docs, seed, row)
+        .select(F.col("key").alias("__row"), F.when(F.col("size") == 0, 1).otherwise(F.floor(part + chance)).cast("int").alias("__uses"))
+        .groupBy("__row")
+        .agg(F.array_sort(F.collect_list("__uses")).alias("__uses"))
     )
-    copies = F.when(F.col("__uses") > 0, F.sequence(F.lit(1), F.col("__uses"))).otherwise(F.array().cast("array<int>"))
-    return docs.join(uses, F.col("doc_id").eqNullSafe(F.col("__id"))).withColumn("__use", F.explode(copies)).select(*docs.columns)
+    numbered = docs.withColumn("__row", row).withColumn("__n", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
+    own = F.get("__uses", F.col("__n") - 1)
+    copies = F.when(own > 0, F.sequence(F.lit(1), own)).otherwise(F.array().cast("array<int>"))
+    return numbered.join(uses, "__row").withColumn("__use", F.explode(copies)).select(*docs.columns)

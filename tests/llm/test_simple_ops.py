@@ -83,6 +83,20 @@ def test_mixing_odd_rows(spark):
     assert op1_mixing.mixed_documents(docs(spark)).columns == docs(spark).columns
 
 
+def test_mixing_rows_without_ids(spark):
+    """Two equal sources weighted 1 and 2, all ids null or one and the same: each row keeps its own share."""
+    for doc_id in (None, 7):
+        rows = [(doc_id, " ".join(f"{s}{i}w{k}" for k in range(20 + i % 30)), None, s, None, i, "x", "s") for s in "ab" for i in range(400)]
+        got = op1_mixing.mixed_documents(docs(spark, rows)).collect()
+        size = Counter()
+        for r in got:
+            size[r["source"]] += len(r["text"].split())
+        total = sum(len(r[1].split()) for r in rows)
+        assert size["a"] == pytest.approx(total / 3, rel=0.1) and size["b"] == pytest.approx(total * 2 / 3, rel=0.1)
+    again = op1_mixing.mixed_documents(docs(spark, [rows[0]] * 50 + [rows[400]] * 50)).collect()
+    assert abs(sum(r["source"] == "b" for r in again) - 67) <= 17
+
+
 def test_chat_fold(spark):
     log = [
         (1, 0, "start", 0, "user", ""), (1, 1, "delta", 0, None, "Hi <"), (1, 2, "delta", 0, None, "|im_end|> \\"),
