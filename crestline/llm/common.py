@@ -13,12 +13,17 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one bucket of a packed shuffle stands for.
 BUCKET_BYTES = 16 << 20
+#: Bytes of a batch handed to Python (a single larger row is a batch of its own).
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where that is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where that is unset, a local folder serves a
+    local master; a cluster, whose machines share no such folder, is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="crestline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,19 +33,34 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends here, and nothing above runs twice."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote; only for those that nothing still to be run reads."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_cut_path", None)
+        if path:
+            jvm = spark.sparkContext._jvm
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+            table._cut_path = None
 
 
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows of a batch handed to Python, for what is planned inside: rows that carry whole texts or sets are large."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before))))
+    """Rows and bytes of a batch handed to Python, for what runs inside: rows that carry whole texts or sets are large."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, most in wanted.items():
+        spark.conf.set(key, str(min(most, int(before[key].rstrip("b")))))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

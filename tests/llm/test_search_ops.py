@@ -162,14 +162,29 @@ def test_repeats_random(spark):
     repeats(spark, rows)
 
 
-def test_repeats_small_pieces(spark, monkeypatch):
+def test_repeats_small_pieces_and_crowds(spark, monkeypatch):
+    """Texts cut into small pieces, tasks that settle little at once, and ranks with more surroundings than one task takes."""
     rng = random.Random(8)
-    monkeypatch.setattr(op7_suffix, "PIECE", 64)
-    text = "".join(rng.choices("abcdefgh", k=700))
-    data = (text + "zz" + text[100:300]).encode()
-    whole, twice = op7_suffix._chosen_positions(data, 40)
-    monkeypatch.setattr(op7_suffix, "PIECE", 1 << 20)
-    assert all((a == b).all() for a, b in zip((whole, twice), op7_suffix._chosen_positions(data, 40), strict=True))
+    for name, value in (("PIECE", 64), ("FLUSH", 300), ("CROWD", 3), ("TOGETHER", 5)):
+        monkeypatch.setattr(op7_suffix, name, value)
+    shared = "".join(rng.choices("abcdefgh", k=90))
+    rows = [(i, "".join(rng.choices("abcd", k=rng.randint(0, 50))) + shared[rng.randint(0, 30) :] + "".join(rng.choices("abcd", k=rng.randint(0, 50))), "x") for i in range(60)]
+    rows += [(100, "ab" * 90 + shared, "x"), (101, "a" * 200, "x"), (102, shared + "a" * 41, "x")]
+    repeats(spark, rows)
+    repeats(spark, rows, 43)
+
+
+def test_anchors_follow_the_window():
+    """Each window's anchor lies in it, and equal windows have it at equal offsets, periodic ones too."""
+    rng = np.random.default_rng(8)
+    piece = np.concatenate([rng.integers(0, 3, 500), np.tile(rng.integers(0, 3, 7), 40), np.zeros(150), rng.integers(0, 2, 300)]).astype(np.uint8)
+    _, place = op7_suffix.anchors(piece, 40)
+    assert len(place) == len(piece) - 39
+    offsets = defaultdict(set)
+    for s, a in enumerate(place.tolist()):
+        assert 0 <= a - s <= 30
+        offsets[piece[s : s + 40].tobytes()].add(a - s)
+    assert all(len(v) == 1 for v in offsets.values())
 
 
 def test_repeats_empty_and_long(spark):
