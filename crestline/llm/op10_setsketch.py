@@ -8,9 +8,9 @@ clearly below the threshold is verified on the full sets.
 
 Equal sets are one class from the start and take part through their smallest doc_id. In each band bucket every member is
 first tested against the smallest member (a star, so a bucket of any size gives one edge a member, joined with
-skew handling); members that then still lie in different components of their bucket are compared block by block, first on
-their registers, then on their sets, so no link inside a bucket is left out, no task holds more than two blocks, and what
-leaves a block are only links that connect parts of it. A pair at the threshold of 0.85 shares no bucket with probability 6e-11, at 0.8 5e-8.
+skew handling); members that then still lie outside the largest component of their bucket are compared with it and with each other, block
+by block, first on their registers, then on their sets, so no link inside a bucket is left out, no task holds more than two
+blocks, and what leaves a block are only links that connect parts of it. A pair at the threshold of 0.85 shares no bucket with probability 6e-11, at 0.8 5e-8.
 
 Sets are 64-bit hashes of shingles, made again from the texts of candidates only; a bit map of fixed size tells those
 while scanning (when it saturates, more texts than needed are read, none is missed).
@@ -27,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crestline.llm.common import RollingHash, arrow_rows, cut, mix64, shuffle_partitions
@@ -313,10 +313,19 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     wide = members.where("size > 2").select("key", "id", "size", "shingles")
     placed = wide.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("shingles") / BLOCK_ITEMS)).cast("int")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    rest = placed.join(open_keys, "key", "left_semi").withColumn("blocks", blocks).withColumn("block", block)
-    rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(light, "id").join(sets, "id")
+    # a bucket's largest component is not compared with itself: its members are dealt over blocks 0 to `mains` - 1, each of
+    # which meets the blocks of all other members; those meet each other too
+    placed = placed.select("key", "id", "component").join(open_keys, "key", "left_semi").join(light.select("id", F.col("n").alias("items_of")), "id")
+    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("items_of").alias("shingles"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "component", "shingles")).alias("main"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles"))
+    blocks = lambda n, shingles: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(shingles / BLOCK_ITEMS)).cast("int")
+    main = main.select("key", F.col("main.component").alias("main"), blocks(F.col("main.n"), F.col("main.shingles")).alias("mains"), blocks(F.col("n") - F.col("main.n"), F.col("shingles") - F.col("main.shingles")).alias("others"))
+    deal = F.xxhash64("id")
+    block = F.when(F.col("component") == F.col("main"), F.pmod(deal, F.col("mains"))).otherwise(F.col("mains") + F.pmod(deal, F.col("others"))).cast("int")
+    rest = placed.join(main, "key").withColumn("block", block)
+    across = F.sequence(F.lit(0), F.col("mains") + F.col("others") - 1)
+    partners = F.when(F.col("component") == F.col("main"), F.filter(across, lambda b: b >= F.col("mains"))).otherwise(across)
+    rest = rest.withColumn("with", F.explode(partners)).join(light, "id").join(sets, "id")
     rest = rest.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component", "n", "registers", "items")
     rest = rest.repartition(shuffle_partitions(docs.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = cut(rest.mapInArrow(_block_links(threshold, percent), "u long, v long").distinct(), "near-rest")
@@ -331,10 +340,15 @@ def _near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that are kept: of each group of near-duplicates the one with the smallest doc_id, and of rows that
-    repeat a doc_id one. Rows without a doc_id stay, equal texts among them once."""
-    kept = near_duplicates(docs, width, percent).where("kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    known = known.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    """The rows that are kept: of each group of near-duplicates the one with the smallest doc_id, nulls last. Each row is a
+    document of its own here, so unlike texts of one id all stay; rows without words link with nothing and stay."""
+    # written, so that a row's number is the same wherever it is read
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "near-rows")
+    found = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width, percent)
+    found = found.where("NOT kept").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"))
+    # only rows of groups of two or more are compared by doc_id; all others stay
+    linked = cut(found.unionByName(found.select(F.col("__group").alias("__row"), "__group").distinct()), "near-linked")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")
+    stays = linked.join(rows.select("__row", "doc_id"), "__row").groupBy("__group").agg(F.min(order)["__row"].alias("__row")).select("__row")
+    goes = linked.select("__row").join(stays, "__row", "left_anti")
+    return rows.join(goes, "__row", "left_anti").drop("__row")

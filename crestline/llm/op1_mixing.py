@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 A source's share follows its weight but stops at REPEATS times what it holds; the excess is shared again by weight.
-Documents are dealt over shards; a source of many documents spans many shards, a small one lies in a single shard. In
+Documents are dealt over shards; a source of many documents or words spans many shards, a small one lies in a single shard. In
 each shard the seats (blocks of equally many words) go to the sources by highest quotients weight / (2 * seats + 1).
 A source then fills its quota from its own blocks there: whole rounds over all of them, and for the rest a seeded
 choice. The only shuffles carry (doc_id, size) rows, never texts.
@@ -17,7 +17,8 @@ import heapq
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +27,10 @@ from crestline.llm.common import cut
 WORD = r"[^\x20\x09-\x0D]+"
 #: How often a document may be used.
 REPEATS = 3
-#: Words of a block, unless a source is too small for BLOCKS_OF_SMALLEST of them.
-BLOCK_WORDS, BLOCKS_OF_SMALLEST = 64, 500
-#: Documents of one source in one shard, about.
-DOCS_OF_SHARD = 256
+#: Words of a block, unless the smallest source of a shard is too small for BLOCKS_OF_SMALLEST of them.
+BLOCK_WORDS, BLOCKS_OF_SMALLEST = 64, 200
+#: Documents and words of one source in one shard, about.
+DOCS_OF_SHARD, WORDS_OF_SHARD = 256, 1 << 20
 #: Sources up to which their table is sent to every task; beyond, a join that AQE may split.
 BROADCAST_SOURCES = 10_000
 
@@ -60,6 +61,20 @@ def highest_quotients(weights: np.ndarray, seats: int) -> np.ndarray:
     return given
 
 
+def quotas(weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Blocks each source gives, by highest quotients; what a source cannot give in REPEATS rounds goes to the others."""
+    most, given = REPEATS * blocks, np.zeros(len(weights), np.int64)
+    free = np.ones(len(weights), bool)
+    seats = min(int(round(weights.sum())), int(most.sum()))
+    while free.any():
+        given[free] = highest_quotients(weights[free], seats - int(given[~free].sum()))
+        over = free & (given > most)
+        if not over.any():
+            break
+        given[over], free[over] = most[over], False
+    return given
+
+
 def take(sizes: np.ndarray, quota: int, block: int, rng: np.random.Generator) -> np.ndarray:
     """Words taken of each document when `quota` of the blocks of their joined words are used."""
     ends = np.cumsum(sizes)
@@ -97,21 +112,23 @@ def sources_of(sizes: DataFrame) -> DataFrame:
     ).select("source", "source_size", "docs", "target")
 
 
-def _shard_function(seed: int, block: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def shard(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["source_no", "deal", "doc_id", "size", "key"], kind="stable", ignore_index=True)
-        no = rows["source_no"].to_numpy()
+def _shard_function(seed: int) -> Callable[[pa.Table], pa.Table]:
+    def shard(rows: pa.Table) -> pa.Table:
+        order = [(c, "ascending") for c in ("source_no", "deal", "doc_id", "size", "key")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=order))
+        no, sizes = rows.column("source_no").to_numpy(), rows.column("size").to_numpy()
         starts = np.flatnonzero(np.concatenate(([True], no[1:] != no[:-1])))
         ends = np.append(starts[1:], len(no))
-        sizes = rows["size"].to_numpy(np.int64)
         words = np.add.reduceat(sizes, starts)
-        ratio = np.nan_to_num(rows["target"].to_numpy()[starts] / np.maximum(rows["source_size"].to_numpy()[starts], 1))
-        weights = ratio * -(-words // block)
-        quotas = highest_quotients(weights, int(round(weights.sum())))
+        ratio = np.nan_to_num(rows.column("target").to_numpy()[starts] / np.maximum(rows.column("source_size").to_numpy()[starts], 1))
+        due = ratio * words
+        block = int(max(1, min(BLOCK_WORDS, min(due[due > 0], default=0) // BLOCKS_OF_SMALLEST)))
+        blocks = -(-words // block)
+        given = quotas(ratio * blocks, blocks)
         taken = np.zeros(len(no), np.int64)
         for s, (a, b) in enumerate(zip(starts, ends, strict=True)):
-            taken[a:b] = take(sizes[a:b], int(quotas[s]), block, np.random.default_rng([seed, int(key[0]), s]))
-        return rows.assign(taken=taken)[["doc_id", "size", "source_size", "target", "taken", "key"]]
+            taken[a:b] = take(sizes[a:b], int(given[s]), block, np.random.default_rng([seed, rows.column("shard")[0].as_py(), s]))
+        return rows.select(["doc_id", "size", "source_size", "target"]).append_column("taken", pa.array(taken)).append_column("key", rows.column("key"))
 
     return shard
 
@@ -129,22 +146,21 @@ def _mix(docs: DataFrame, seed: int, key: Column) -> DataFrame:
         "mix-sizes",
     )
     spare = cut(sources_of(sizes), "mix-sources")
-    seen = spare.agg(F.count("*"), F.sum("docs"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
-    n_sources, n_docs, least = seen[0], seen[1] or 0, seen[2] or 0.0
-    block = int(max(1, min(BLOCK_WORDS, least // BLOCKS_OF_SMALLEST)))
-    shards = max(1, -(-n_docs // DOCS_OF_SHARD))
+    span = F.greatest(F.ceil(F.col("docs") / DOCS_OF_SHARD), F.ceil(F.col("source_size") / WORDS_OF_SHARD), F.lit(1))
+    n_sources, spans = spare.agg(F.count("*"), F.sum(span)).first()
+    shards = max(1, spans or 0)
     numbered = spare.withColumn("source_no", F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).withColumnRenamed("source", "source_name")
     small = F.broadcast(numbered) if n_sources <= BROADCAST_SOURCES else numbered
     deal = F.xxhash64(F.lit(seed), "doc_id", "size")
     dealt = (
         sizes.join(small, F.col("source").eqNullSafe(F.col("source_name")))
         .withColumn("deal", deal)
-        .withColumn("span", F.ceil(F.col("docs") / DOCS_OF_SHARD))
+        .withColumn("span", span)
         .withColumn("shard", F.pmod(F.pmod(F.col("source_no"), F.lit(shards)) + F.pmod(F.col("deal"), F.col("span")), F.lit(shards)))
         .select("shard", "source_no", "deal", "doc_id", "size", "source_size", "target", "key")
     )
     out = "doc_id long, size long, source_size long, target double, taken long, key long"
-    return dealt.groupBy("shard").applyInPandas(_shard_function(seed, block), out)
+    return dealt.groupBy("shard").applyInArrow(_shard_function(seed), out)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:

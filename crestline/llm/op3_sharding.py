@@ -8,6 +8,8 @@ Law: `rows` (the counts of the shards differ by one at most).
 The shuffle moves each record once. Buckets hold BUCKET_BYTES of text on average and BUCKET_ROWS rows at most on
 average; their counts and starts are rows of a table, joined by bucket, not gathered on the driver.
 
+The scatter hashes whole rows; where rows alike in everything would crowd a bucket, it numbers rows and hashes those too.
+
 Defined results: null texts are empty for size and checksum and stay null in the shards; wholly equal rows are
 exchangeable; an empty table gives an empty result; the record keeps all columns, whatever their names.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crestline.llm.common import BUCKET_BYTES, shared_dir, text_bytes
+from crestline.llm.common import BUCKET_BYTES, cut, shared_dir, text_bytes
 
 LAW = "rows"
 BUCKET_ROWS = 4096
@@ -59,13 +61,22 @@ def shuffle_into_shards(records: DataFrame, shards: int = 16, seed: int = 1, tex
     """shard int, slot long, record struct (all columns of the input)."""
     total, size = records.agg(F.count("*"), F.sum(text_bytes(text) + 64)).first()
     buckets = int(max(1, -(-(size or 0) // BUCKET_BYTES), -(-total // BUCKET_ROWS)))
-    # the scatter reads no text: ids and all short columns tell rows apart; rows equal in those are told apart by text later
-    short = [c for c, kind in records.dtypes if c != text and kind != "void" and not kind.startswith(("map", "variant"))]
-    deal = F.xxhash64(F.lit(seed), *short)
-    counts = records.select(F.pmod(deal, F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket").count()
+    columns = records.columns
+    short = [c for c, kind in records.dtypes if kind != "void" and not kind.startswith(("map", "variant"))]
+    row = F.xxhash64(F.lit(seed), *short)
+    same = cut(records.select(row.alias("row")).groupBy("row").count(), "shuffle-rows")
+    most = same.agg(F.max("count")).first()[0] or 0
+    if most > BUCKET_ROWS:
+        # rows alike in everything would fill one bucket: written with numbers, which then have a part in the scatter
+        records = cut(records.withColumn("__number", F.monotonically_increasing_id()), "shuffle-numbered")
+        deal = F.xxhash64(F.lit(seed), *short, "__number")
+        counts = records.select(F.pmod(deal, F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket").count()
+    else:
+        deal = row
+        counts = same.groupBy(F.pmod("row", F.lit(buckets)).cast("int").alias("bucket")).agg(F.sum("count").alias("count"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(F.col("bucket").alias("b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    packed = records.select(deal.alias("deal"), F.xxhash64(text).alias("tie"), F.struct(*records.columns).alias("record"))
+    packed = records.select(deal.alias("deal"), F.xxhash64(text).alias("tie"), F.struct(*columns).alias("record"))
     packed = packed.withColumn("bucket", F.pmod("deal", F.lit(buckets)).cast("int"))
     joined = packed.join(firsts, F.col("bucket") == F.col("b")).select("bucket", "first", "deal", "tie", "record")
     out = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType()), T.StructField("record", packed.schema["record"].dataType)])

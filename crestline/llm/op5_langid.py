@@ -2,19 +2,20 @@
 
 Letters get random +1/-1 vectors. An n-gram of three symbols is the product of its letters' vectors, the first rotated
 twice and the second once; a text is the sum of its n-grams' vectors, and a language's prototype the sum of the unit
-vectors of its training texts. A text is compared with every prototype by cosine. Symbols: letters lower-cased, all
-else one boundary symbol (runs of it collapse); letters beyond a to z share a fixed number of symbols by code point.
+vectors of its training texts. A text is compared with every prototype by cosine; of equal cosines the language
+first by code point wins. Symbols: letters lower-cased, each with a vector of its own made from its code point; all else is
+one boundary symbol (runs of it collapse).
 
 Whole texts are counted, n-gram by n-gram, so a long text costs its characters once and its distinct n-grams times
-DIMENSIONS. Prototypes are fitted on at most TRAIN_PER_LANG texts per language, chosen by hash; there is one prototype
-row per language, whatever the input's size.
+DIMENSIONS. Prototypes are fitted on at most TRAIN_PER_LANG texts per language, chosen by hash, for the LANGUAGES commonest
+labels; there is one prototype row per language, whatever the input's size.
 
 How near a text comes to its language depends on how many different n-grams it has, so `known_language` asks for a
 cosine by that number (`variety`). Training texts and their beginnings are compared with the prototype of their language
 without themselves; a text has to reach PART of what all but LOWEST of them reach at its variety.
 
 Defined results: texts that are null or hold no letter are `und` with score 0; with nothing to learn from, all are
-`und`; repeated rows count each for itself; extra columns are ignored.
+`und`; repeated rows count each for itself; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +26,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crestline.llm.common import cut
 
 #: Training texts of a language at most (the documented bound of the sample).
 TRAIN_PER_LANG = 500
+#: Labels that are learned at most, the commonest first: a bound on what reaches the driver.
+LANGUAGES = 8192
 DIMENSIONS = 512
-SYMBOLS = 48
+#: Letters beyond a to z whose vectors a worker keeps, and n-grams that are bound in one go.
+KEPT_LETTERS, BOUND = 20_000, 8192
 #: Texts are cut for counting into pieces of so many characters that overlap by two; counts are summed.
 PIECE = 1 << 20
 UNKNOWN = "und"
@@ -45,49 +49,74 @@ BEGINNINGS, FEWEST = (8, 16, 32, 64, 128, 256, 512), 20
 
 @lru_cache(maxsize=1)
 def _symbols() -> np.ndarray:
-    """Symbol of each code point: 0 none, 1 to 26 a to z, then the rest of the letters."""
-    table = np.zeros(0x110000, np.uint8)
-    for cp in range(0x30000):
+    """Symbol of each code point: 0 for none, 1 to 26 for a to z, else the code point of the lower-case letter."""
+    table = np.zeros(0x110000, np.int64)
+    for cp in range(0x110000):
         c = chr(cp)
         if unicodedata.category(c)[0] == "L":
             low = ord(c.lower()[0])
-            table[cp] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
-    table[0x30000:0x32400] = 27  # further ideographs
+            table[cp] = low - 96 if 97 <= low <= 122 else low
     return table
 
 
+@lru_cache(maxsize=KEPT_LETTERS)
+def _letter(symbol: int, seed: int) -> np.ndarray:
+    """The vector of a symbol, made from its code point alone."""
+    return np.random.default_rng([seed, symbol]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
+
+
+def _bound(letters: np.ndarray, ngrams: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    a, b, c = ngrams
+    return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+
+
 @lru_cache(maxsize=2)
-def _ngram_vectors(seed: int) -> np.ndarray:
-    """The bound vector of every possible n-gram, as rows of +1/-1."""
-    letters = np.random.default_rng(seed).integers(0, 2, (SYMBOLS, DIMENSIONS), dtype=np.int8) * 2 - 1
-    first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    return (first[:, None, None, :] * second[None, :, None, :] * letters[None, None, :, :]).reshape(-1, DIMENSIONS)
+def _plain(seed: int) -> np.ndarray:
+    """The bound vectors of all n-grams of a to z and the boundary."""
+    every = np.arange(27**3)
+    return _bound(np.array([_letter(k, seed) for k in range(27)]), (every // 729, every // 27 % 27, every % 27)).astype(np.float32)
+
+
+def _ngram_vectors(seen: np.ndarray, seed: int) -> np.ndarray:
+    """The bound vectors of n-grams, as rows of +1/-1."""
+    a, b, c = seen >> 42, seen >> 21 & 0x1FFFFF, seen & 0x1FFFFF
+    out = np.empty((len(seen), DIMENSIONS), np.float32)
+    plain = (a < 27) & (b < 27) & (c < 27)
+    out[plain] = _plain(seed)[(a[plain] * 27 + b[plain]) * 27 + c[plain]]
+    rest = np.flatnonzero(~plain)
+    if len(rest):
+        symbols, at = np.unique(np.concatenate([x[rest] for x in (a, b, c)]), return_inverse=True)
+        out[rest] = _bound(np.array([_letter(int(k), seed) for k in symbols]), tuple(at.reshape(3, -1)))
+    return out
 
 
 def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """The n-grams of a whole text and how often each occurs; None if it has no letter."""
+    """The n-grams of a whole text (21 bits a symbol) and how often each occurs; None if it has no letter."""
     if not text:
         return None
-    counts, carry = np.zeros(SYMBOLS**3, np.int64), np.zeros(1, np.uint8)
+    seen, counts, carry = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
     letters = False
     for at in range(0, len(text), PIECE):
         codes = np.frombuffer(text[at : at + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32)
         s = _symbols()[codes]
         letters = letters or bool(s.any())
-        s = np.concatenate((carry, s, np.zeros(int(at + PIECE >= len(text)), np.uint8)))
+        s = np.concatenate((carry, s, np.zeros(int(at + PIECE >= len(text)), np.int64)))
         s = s[np.concatenate(([True], (s[1:] | s[:-1]) != 0))]
-        wide = s.astype(np.int32)
         if len(s) > 2:
-            counts += np.bincount((wide[:-2] * SYMBOLS + wide[1:-1]) * SYMBOLS + wide[2:], minlength=SYMBOLS**3)
+            own, times = np.unique(s[:-2] << 42 | s[1:-1] << 21 | s[2:], return_counts=True)
+            if len(seen):
+                own, group = np.unique(np.concatenate((seen, own)), return_inverse=True)
+                times = np.bincount(group, np.concatenate((counts, times))).astype(np.int64)
+            seen, counts = own, times
         carry = s[-2:]
-    if not letters:
-        return None
-    seen = np.flatnonzero(counts)
-    return seen, counts[seen]
+    return (seen, counts) if letters else None
 
 
 def _bundle(seen: np.ndarray, counts: np.ndarray, seed: int) -> np.ndarray:
-    return counts.astype(np.float32) @ _ngram_vectors(seed)[seen].astype(np.float32)
+    out = np.zeros(DIMENSIONS)
+    for at in range(0, len(seen), BOUND):  # a long text in many scripts has many n-grams
+        out += counts[at : at + BOUND].astype(np.float32) @ _ngram_vectors(seen[at : at + BOUND], seed)
+    return out
 
 
 def profile(text: str | None, seed: int) -> np.ndarray | None:
@@ -117,15 +146,16 @@ def _sums(seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 def _picked(labelled: DataFrame, seed: int) -> DataFrame | None:
     """text and lang of at most TRAIN_PER_LANG texts of each language; None without any."""
-    key = F.xxhash64(F.lit(seed), "doc_id")
-    share = F.pmod(key, F.lit(1 << 40)) / (1 << 40)
-    per = {r["lang"]: r["n"] for r in labelled.where("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not per:
+    known = labelled.where("lang IS NOT NULL").select("text", "lang", F.xxhash64(F.lit(seed), "doc_id").alias("key"))
+    share = F.pmod("key", F.lit(1 << 40)) / (1 << 40)
+    per = known.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "of").limit(LANGUAGES)
+    per = cut(per, "langid-labels")
+    if per.isEmpty():
         return None
-    chosen = F.lit(False)
-    for lang, n in sorted(per.items()):
-        chosen = chosen | ((F.col("lang") == lang) & (share < 0.9 * TRAIN_PER_LANG / n))
-    return labelled.where(chosen).select("text", "lang")
+    # at most LANGUAGES rows; a share by hash leaves few rows a language, of which the first are taken
+    chosen = known.join(F.broadcast(per), F.col("lang") == F.col("of")).where(share < 1.2 * TRAIN_PER_LANG / F.col("n"))
+    first = Window.partitionBy("lang").orderBy("key", "text")
+    return chosen.withColumn("at", F.row_number().over(first)).where(F.col("at") <= TRAIN_PER_LANG).select("text", "lang")
 
 
 def _summed(picked: DataFrame | None, seed: int) -> dict[str, np.ndarray]:

@@ -2,11 +2,12 @@
 
 Leaves are pieces of a paragraph (up to the next full stop, LEAF_BYTES at most), a paragraph is a line, a section ends
 at an empty line, before a `#` heading or after SECTION_LINES paragraphs. A node's digest is the hash of its children's.
-The fingerprint is the root digest and, below it, a short digest of every leaf, grouped as `root|leaves,leaves;leaves`
-(`,` between paragraphs, `;` between sections); inner digests follow from those. Equal roots mean equal texts;
-`edits()` descends where branches differ, `likeness()` is the share of leaves that two trees have in common.
+The fingerprint is the root digest and, below it, the digest of every leaf, grouped as `root|leaves,leaves;leaves` (`,`
+between paragraphs, `;` between sections); all inner digests and the root follow from those. Equal roots mean equal texts;
+`edits()` descends where branches differ, `likeness()` is the share of leaves that two trees have in common. Leaf digests
+have LEAF_DIGEST bytes (72 bits): two given leaves look equal by chance once in 5e21.
 
-For the query each document also meets its successor by doc_id. Rows are dealt over ranges of ids with bounds from an
+For the query each document also meets its successor by doc_id. Rows are dealt over ranges of ids, as many as the bytes ask for, with bounds from an
 approximate quantile; the first document of a range is sent to the range before as well, so the text is shuffled once
 and no task holds more than its range. Bounds are at most MAX_RANGES numbers, whatever the input's size.
 
@@ -21,20 +22,25 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.llm.common import shuffle_partitions
+from crestline.llm.common import shuffle_partitions, text_bytes
 
-LEAF_BYTES, SECTION_LINES, SHORT = 64, 16, 3
+LEAF_BYTES, SECTION_LINES, LEAF_DIGEST = 64, 16, 9
+#: Characters of a leaf's digest as written.
+LEAF_CHARS = 4 * LEAF_DIGEST // 3
 MAX_RANGES = 65_536
+#: Bytes of texts in one partition, about.
+PARTITION_BYTES = 64 << 20
 _LEAVES = re.compile(rb"[^.]{1,%d}\.*|\.+" % LEAF_BYTES, re.DOTALL)
 
 
-def _digest(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def _digest(data: bytes, size: int = 16) -> bytes:
+    return hashlib.blake2b(data, digest_size=size).digest()
 
 
 def fingerprint(text: str) -> str:
@@ -43,19 +49,26 @@ def fingerprint(text: str) -> str:
     for line in text.encode("utf-8", "surrogatepass").split(b"\n") if text else ():
         if sections[-1] and (line.startswith(b"#") or len(sections[-1]) >= SECTION_LINES):
             sections.append([])
-        sections[-1].append([_digest(x) for x in _LEAVES.findall(line)])
+        sections[-1].append([_digest(x, LEAF_DIGEST) for x in _LEAVES.findall(line)])
         if not line.strip() and len(sections[-1]) > 1:
             sections.append([])
     if not sections[-1]:
         sections.pop()
     nodes = [_digest(b"s" + b"".join(_digest(b"p" + b"".join(p)) for p in s)) for s in sections]
     root = _digest(b"r" + b"".join(nodes)).hex()
-    short = lambda p: base64.b64encode(b"".join(x[:SHORT] for x in p)).decode()
-    return f"{root}|" + ";".join(",".join(map(short, s)) for s in sections)
+    written = lambda p: base64.b64encode(b"".join(p)).decode()
+    return f"{root}|" + ";".join(",".join(map(written, s)) for s in sections)
+
+
+def root_of(prints: str) -> str:
+    """The root that follows from a fingerprint's leaves."""
+    body = prints.partition("|")[2]
+    nodes = [_digest(b"s" + b"".join(_digest(b"p" + base64.b64decode(p)) for p in s.split(","))) for s in body.split(";")] if prints != fingerprint("") else []
+    return _digest(b"r" + b"".join(nodes)).hex()
 
 
 def _leaves(body: str) -> list[str]:
-    return [p[i : i + 4] for s in body.split(";") for p in s.split(",") for i in range(0, len(p), 4)]
+    return [p[i : i + LEAF_CHARS] for s in body.split(";") for p in s.split(",") for i in range(0, len(p), LEAF_CHARS)]
 
 
 def likeness(a: str, b: str) -> float:
@@ -67,20 +80,34 @@ def likeness(a: str, b: str) -> float:
     return 2 * sum((Counter(x) & Counter(y)).values()) / (len(x) + len(y)) if x and y else 0.0
 
 
-def edits(a: str, b: str) -> list[tuple[int, int, int]]:
-    """(section, paragraph, leaf) of each leaf of b that differs from a's at its place, descending only where branches differ."""
+def _unlike(left: list[tuple], right: list[tuple]) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """The parts of two lists of (place, digest) that do not fit together, after aligning equal digests."""
+    a = 0
+    while a < min(len(left), len(right)) and left[a][1] == right[a][1]:
+        a += 1
+    b = 0
+    while b < min(len(left), len(right)) - a and left[-1 - b][1] == right[-1 - b][1]:
+        b += 1
+    left, right = left[a : len(left) - b], right[a : len(right) - b]
+    for tag, i, j, k, m in SequenceMatcher(None, [x for _, x in left], [x for _, x in right], autojunk=False).get_opcodes():
+        if tag != "equal":
+            yield left[i:j], right[k:m]
+
+
+def edits(a: str, b: str) -> list[tuple[str, int, int, int]]:
+    """(`-` or `+`, section, paragraph, leaf) of each leaf that only a, or only b, has, descending only where branches
+    differ. Children are aligned, so what was moved along by an insertion is no edit."""
     if a.split("|")[0] == b.split("|")[0]:
         return []
-    left, right, out = a.partition("|")[2].split(";"), b.partition("|")[2].split(";"), []
-    for s, section in enumerate(right):
-        was = left[s] if s < len(left) else ""
-        if section == was:
-            continue
-        paragraphs = was.split(",")
-        for p, leaves in enumerate(section.split(",")):
-            old = paragraphs[p] if p < len(paragraphs) else ""
-            out += [(s, p, i // 4) for i in range(0, len(leaves), 4) if leaves[i : i + 4] != old[i : i + 4]]
-    return out
+    cut = lambda x: [(((k,), s)) for k, s in enumerate(x.partition("|")[2].split(";"))]
+    below = lambda nodes, parts: [((*place, k), x) for place, node in nodes for k, x in enumerate(parts(node))]
+    leaves = lambda p: [p[i : i + LEAF_CHARS] for i in range(0, len(p), LEAF_CHARS)]
+    out = []
+    for old, new in _unlike(cut(a), cut(b)):
+        for was, now in _unlike(below(old, lambda s: s.split(",")), below(new, lambda s: s.split(","))):
+            for gone, come in _unlike(below(was, leaves), below(now, leaves)):
+                out += [("-", *place) for place, _ in gone] + [("+", *place) for place, _ in come]
+    return sorted(out, key=lambda x: x[1:])
 
 
 def edited(text: str, successor: str) -> str:
@@ -127,8 +154,8 @@ def _range_of(bounds: list[int]) -> Column:
 def compare_with_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document."""
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     ids = docs.select("doc_id")
+    parts = max(shuffle_partitions(spark), -(-(docs.agg(F.sum(text_bytes())).first()[0] or 0) // PARTITION_BYTES))
     ranges = min(4 * parts, MAX_RANGES)
     cuts = ids.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0]
     bounds = sorted(set(cuts or []))

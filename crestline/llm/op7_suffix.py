@@ -40,12 +40,12 @@ from crestline.llm.common import RollingHash, arrow_rows, cut, drop, runs, shuff
 
 THRESHOLD = 400
 #: Bytes of a text that are handled at once, and bytes of stretches that a task settles among themselves.
-PIECE, FLUSH = 1 << 20, 16 << 20
+PIECE, FLUSH = 1 << 20, 8 << 20
 #: Rows that Python gets at once.
 BATCH = 1000
 MAP_BITS = 1 << 25
 #: Different surroundings of one rank that meet in one task; rows of several ranks that are compared in one go.
-CROWD, TOGETHER = 8192, 16_384
+CROWD, TOGETHER = 2048, 16_384
 #: Rows of a partition when ranks are dealt out.
 DEALT = 50_000
 #: Low bits of a fingerprint that make room for a position when anchors are chosen.

@@ -15,6 +15,7 @@ gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from array import array
@@ -23,7 +24,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, Window
@@ -36,8 +36,8 @@ WINDOW, END_ID = 4096, 2
 KEPT_WORDS, TOGETHER = 450_000, 250
 #: Rows that Python gets at once.
 BATCH = 1000
-#: Pieces of one length that are ranked in one group, about.
-RANKED_TOGETHER = 128
+#: Pieces of one length that are ranked in one group, about, and groups of a length at most (groups then grow).
+RANKED_TOGETHER, MOST_GROUPS = 128, 65_536
 
 
 #: The stretches of a lower-case text that the tokenizer (see its file) encodes each by itself.
@@ -45,6 +45,25 @@ _STRETCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
+@lru_cache(maxsize=1)
+def _newer() -> tuple[re.Pattern, re.Pattern]:
+    """Code points that Unicode 3.2 did not assign, about which Python and the tokenizer may disagree; and those of them
+    that have another lower case."""
+
+    def pattern(points: list[int]) -> re.Pattern:
+        runs: list[list[int]] = []
+        for cp in points:
+            if runs and runs[-1][1] == cp - 1:
+                runs[-1][1] = cp
+            else:
+                runs.append([cp, cp])
+        return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]")
+
+    old = unicodedata.ucd_3_2_0.category
+    points = [cp for cp in range(0x110000) if old(chr(cp)) == "Cn"]
+    return pattern(points), pattern([cp for cp in points if chr(cp).lower() != chr(cp)])
+
+
 class Tree:
     """Smallest used room at or above a length, by a segment tree over rooms 0 to size."""
 
@@ -150,13 +169,15 @@ class WordIds:
                 young[w] = ids
             else:
                 unknown.add(w)
+        newer = _newer()[0].search
+        strange = {w for w in unknown if not w.isascii() and newer(w)}
         # a word is the stretches the tokenizer would cut it into, where nothing else would happen to it before that
-        cut = {w: _STRETCHES.findall(w) for w in unknown if not w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower()}
+        cut = {w: _STRETCHES.findall(w) for w in unknown - strange if not w.isalpha() and (w.isascii() or unicodedata.is_normalized("NFC", w)) and w == w.lower()}
         new = unknown.difference(cut)
         for parts in cut.values():
             new.update(part for part in parts if part not in young)
-        letters = [w for w in new if w.isalpha()]
-        self._encode([w for w in new if not w.isalpha()])
+        letters = [w for w in new if w.isalpha() and w not in strange]
+        self._encode([w for w in new if not w.isalpha() or w in strange])
         # a word of letters is one stretch and ends with its only end-of-word token, so many are encoded as one text
         groups = [letters[a : a + 256] for a in range(0, len(letters), 256)]
         for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
@@ -189,9 +210,9 @@ class WordIds:
             else:
                 split.append((None, found))
         self._learn(missing)
-        get = self.young.__getitem__
+        get, cased = self.young.__getitem__, _newer()[1].search
         for text, (words, found) in zip(texts, split, strict=True):
-            if any(s in text for s in self.special):  # those strings are found before words are
+            if any(s in text for s in self.special) or (not text.isascii() and cased(text)):  # those strings are found before words are
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
             else:
                 yield np.frombuffer(b"".join(map(get, words) if found is None else found), np.uint32)
@@ -230,14 +251,15 @@ def tokenized_pieces(docs: DataFrame, path: str, window: int = WINDOW, kept: int
     return docs.select("doc_id", "text").mapInArrow(_pieces(path, window, kept), PIECES)
 
 
-def _placer(plan: np.ndarray) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _placer(plan: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = plan[:, 0] * (1 << 48) + plan[:, 1]
         for rows in batches:
-            length, rank = rows["length"].to_numpy(np.int64), rows["rank"].to_numpy(np.int64)
+            length, rank = rows.column("length").to_numpy(), rows.column("rank").to_numpy()
             row = plan[np.searchsorted(keys, length * (1 << 48) + rank, side="right") - 1]
             k = rank - row[:, 1]
-            yield rows.drop(columns="rank").assign(sequence_id=row[:, 2] + k // row[:, 3], offset=row[:, 4] + k % row[:, 3] * length)
+            kept = rows.schema.names[:-1]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(row[:, 2] + k // row[:, 3]), pa.array(row[:, 4] + k % row[:, 3] * length)], [*kept, "sequence_id", "offset"])
 
     return place
 
@@ -249,7 +271,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
     total = sum(counts.values())
     plan = np.array(sorted(best_fit_decreasing(counts, window)), np.int64).reshape(-1, 5)
-    spread = max(1, -(-total // RANKED_TOGETHER))
+    spread = max(1, min(MOST_GROUPS, -(-total // RANKED_TOGETHER)))
     # ranks among pieces of one length: those fall into groups by hash, as many groups as the length has rows for
     width = F.greatest(F.lit(1), F.least(F.lit(spread), F.ceil(F.col("n") / RANKED_TOGETHER)))
     per_length = F.broadcast(pieces.groupBy("length").agg(F.count("*").alias("n")))
@@ -259,7 +281,7 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
     own = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")
     ranked = dealt.withColumn("own", F.row_number().over(own) - 1).join(bases, ["length", "part"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("own") + F.col("base")).cast("long").alias("rank"))
-    return ranked.mapInPandas(_placer(plan), PIECES + ", sequence_id long, offset long")
+    return ranked.mapInArrow(_placer(plan), PIECES + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, kept: int = KEPT_WORDS) -> DataFrame:

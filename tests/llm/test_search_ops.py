@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +116,37 @@ def test_long_addresses_are_whole(address):
         assert "<EMAIL>" in clean and not any(x in clean for x in ("name", "jane", "example", "research"))
 
 
+def test_recall_by_length():
+    """Forms unlike those of training: names and hosts of several parts, 10 to 200 characters, at any place of a text."""
+    rng = random.Random(41)
+    p = op4_pii.network(1)
+    words = "river stone amber violet morning silver copper garden winter meadow harbor lantern".split()
+    for length in (10, 20, 30, 42, 50, 60, 72, 100, 150, 200):
+        texts, want = [], []
+        for _ in range(40):
+            host = rng.choice(["b.de", "ab.org", "x.io"])
+            name = rng.choice(words)
+            while len(name) + len(host) < length - 5:
+                part = rng.choice(words)
+                if rng.random() < 0.5:
+                    name = f"{part}{rng.choice('._-')}{name}"
+                else:
+                    host = f"{part}{rng.choice('.-')}{host}"
+            over = len(name) + len(host) + 4 - length
+            name = name[max(0, over) :].lstrip("._-") or "a"
+            address = f"{name}{rng.choice([' (at) ', '[at]', ' [at] ', '(at)'])}{host}"
+            before = " ".join(rng.choices(words, k=rng.randint(0, 40))) + " "
+            before = before if before != " " else ""
+            texts.append(f"{before}{address}, {' '.join(rng.choices(words, k=rng.randint(0, 40)))}")
+            want.append((0, len(before), len(before) + len(address)))
+        found = op4_pii.decode(p, texts)
+        assert sum(w in f for w, f in zip(want, found, strict=True)) >= 36, length
+    for kind, make in ((2, lambda: "4539-1488-0343-6467"), (3, lambda: "(523) 555-1055"), (1, lambda: "10[.]20[.]30[.]40")):
+        texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) + f" {make()} " + " ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(40)]
+        spans = [{(k, t[a:b]) for k, a, b in op4_pii.base_spans(t) + s} for t, s in zip(texts, op4_pii.decode(p, texts), strict=True)]
+        assert sum((kind, make()) in s for s in spans) >= 34, kind
+
+
 def test_personal_data_query(spark, sf_dir):
     given = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.op4_personal_data(spark, sf_dir).collect()
@@ -265,6 +297,24 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * total
 
 
+def test_neighbours_recall_over_many_rows(spark, monkeypatch):
+    """26,000 vectors without structure, so that the ascent chooses a level, and several chunks a prefix."""
+    monkeypatch.setattr(op8_ann, "CHUNK", 1024)
+    vectors = np.random.default_rng(26).normal(size=(26_000, 32)).astype(np.float32).astype(float)
+    frame = spark.createDataFrame(pa.table({"vec_id": np.arange(len(vectors)), "embedding": pa.array(list(vectors), pa.list_(pa.float64()))}))
+    got = defaultdict(dict)
+    for r in op8_ann.nearest(frame, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    hits = 0
+    for q in range(0, len(vectors), 20):
+        score = vectors @ vectors[q]
+        score[q] = -np.inf
+        best = np.argpartition(-score, 20)[:20].tolist()
+        hits += len(got[q].keys() & set(best))
+        assert len(got[q]) == 20 and np.allclose([score[k] for k in got[q]], list(got[q].values()))
+    assert hits >= 0.9 * 20 * len(got)
+
+
 # ---- near-duplicates ----------------------------------------------------------------------------------------------
 
 
@@ -325,6 +375,28 @@ def test_near_duplicates_blocks(spark, monkeypatch):
     near(spark, [], 3, 85)
 
 
+def test_near_duplicates_of_many_parts(spark, monkeypatch):
+    """Several groups whose texts share much but not enough, plus strays: one bucket, many components, small blocks."""
+    rng = random.Random(15)
+    monkeypatch.setattr(op10_setsketch, "BLOCK", 3)
+    core, rows = [f"w{i}" for i in range(60)], []
+    for g in range(9):
+        own = [f"g{g}x{i}" for i in range(13)]
+        for _ in range(rng.randint(1, 9)):
+            rows.append((rng.randrange(10**6), " ".join([*core, *own[: rng.randint(9, 13)], f"s{rng.randrange(10**6)}"])))
+    near(spark, list(dict(rows).items()), 1, 85)
+
+
+def test_one_of_each_keeps_unlike_texts_of_one_id(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (None, d + " d"), (None, "only here and without any id at all"), (8, ""), (8, None), (None, a)]
+    frame = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, component string").repartition(3)
+    kept = op10_setsketch.one_of_each(frame)
+    assert kept.columns == frame.columns
+    want = [(1, a), (5, b), (7, c), (7, d), (None, "only here and without any id at all"), (8, ""), (8, None)]
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter(want)
+
+
 def test_long_texts_are_hashed_alike(monkeypatch):
     rng = random.Random(14)
     texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(400)) + "\n", "x" * 3000, " \t" * 900, "a b  c " * 300]

@@ -83,6 +83,20 @@ def test_mixing_odd_rows(spark):
     assert op1_mixing.mixed_documents(docs(spark)).columns == docs(spark).columns
 
 
+def test_mixing_keeps_large_ids(spark):
+    """Ids beyond 2**53 next to a null one, which a float could not hold."""
+    big = 9007199254740993
+    rows = [(big + 2 * i if i else None, f"some words {i}", "en", "a", None, i, "x", "s") for i in range(30)]
+    assert {r["doc_id"] for r in op1_mixing.mix_sources(docs(spark, rows)).collect()} == {r[0] for r in rows}
+
+
+def test_quotas_pass_on_what_a_source_lacks():
+    given = op1_mixing.quotas(np.array([9.4, 20.6, 0.0]), np.array([3, 40, 5]))
+    assert given.tolist() == [9, 21, 0]
+    given = op1_mixing.quotas(np.array([12.0, 20.0]), np.array([3, 40]))
+    assert given.tolist() == [9, 23]
+
+
 def test_mixing_rows_without_ids(spark):
     """Two equal sources weighted 1 and 2, all ids null or one and the same: each row keeps its own share."""
     for doc_id in (None, 7):
@@ -145,6 +159,24 @@ def test_sharding(spark, rows):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_sharding_many_buckets(spark, monkeypatch):
+    """Rows alike but for the text, and rows alike in everything, over several buckets: none is crowded, slots are gapless,
+    and neighbours in the input are none in a shard."""
+    monkeypatch.setattr(op3_sharding, "BUCKET_ROWS", 400)
+    for rows in ([(7, f"text {i}", "en", "a", 1, 1, "x", "s") for i in range(6000)], [(7, "same", "en", "a", 1, 1, "x", "s")] * 3000):
+        frame = docs(spark, rows)
+        got = op3_sharding.shuffle_into_shards(frame, 4).select("shard", "slot", "record.text").collect()
+        slots = defaultdict(dict)
+        for r in got:
+            slots[r["shard"]][r["slot"]] = r["text"]
+        assert all(sorted(v) == list(range(len(rows) // 4)) for v in slots.values())
+        assert Counter(r["text"] for r in got) == Counter(r[1] for r in rows)
+        if rows[0] != rows[1]:
+            order = [int(slots[k][s].split()[1]) for k in range(4) for s in range(len(rows) // 4)]
+            assert sum(abs(a - b) == 1 for a, b in zip(order, order[1:], strict=False)) < 20
+            assert abs(np.corrcoef(order, np.arange(len(order)))[0, 1]) < 0.1
+
+
 def test_language_id(spark, sf_dir):
     given = documents(spark, sf_dir)
     got = queries.op5_language_id(spark, sf_dir).collect()
@@ -177,6 +209,27 @@ def test_known_language(spark, sf_dir):
     assert kept == {r["doc_id"] for r in given.collect() if any(c.isalpha() for c in r["text"] or "")}
 
 
+def test_profile_equals_its_definition():
+    """Letter by letter: rotated vectors of three neighbours multiplied, and summed over the text."""
+    for text in ("Ab, éé ñ\u0436 x!", "\u4e2d\u6587 and 12 words", "  ..a", "\U00020000b"):
+        s = [0]
+        for c in text.lower() + " ":
+            k = 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else ord(c)
+            if k or s[-1]:
+                s.append(k)
+        v = [op5_langid._letter(k, 1).astype(float) for k in s]
+        want = sum((np.roll(a, 2) * np.roll(b, 1) * c for a, b, c in zip(v, v[1:], v[2:], strict=False)), np.zeros(op5_langid.DIMENSIONS))
+        assert np.array_equal(op5_langid.profile(text, 1), want)
+
+
+def test_languages_learned_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op5_langid, "TRAIN_PER_LANG", 5)
+    monkeypatch.setattr(op5_langid, "LANGUAGES", 2)
+    rows = [(i, f"text {i}", lang, None, None, i, "x", "s") for i, lang in enumerate(["en"] * 60 + ["fr"] * 40 + ["xx"] * 3 + [None] * 90)]
+    found = Counter(r["lang"] for r in op5_langid._picked(docs(spark, rows), 1).collect())
+    assert set(found) == {"en", "fr"} and max(found.values()) <= 5
+
+
 def test_language_id_long_text_counts_whole(monkeypatch):
     text = "abc def, ghi. " * 50
     whole = op5_langid.profile(text, 1)
@@ -205,8 +258,51 @@ def test_fingerprint_whole_table(spark, sf_dir):
         text, successor = given[k]["text"], given[ids[(i + 1) % len(ids)]]["text"]
         n = len(text) // 4
         assert got[k]["edited_sha256"] == hashlib.sha256((text[: len(text) - n] + successor[:n]).encode()).hexdigest()
-    a, b = op6_fingerprint.fingerprint("One. Two.\nThree."), op6_fingerprint.fingerprint("One. Two.\nFour.")
-    assert op6_fingerprint.edits(a, b) == [(0, 1, 0)] and 0 < op6_fingerprint.likeness(a, b) < 1
+        assert [got[k]["fingerprint"], got[k]["edited_fingerprint"]] == [brute_fingerprint(text), brute_fingerprint(text[: len(text) - n] + successor[:n])]
+        assert op6_fingerprint.root_of(got[k]["fingerprint"]) == got[k]["fingerprint"].split("|")[0]
+        want = brute_likeness(got[k]["fingerprint"], got[k]["edited_fingerprint"]), brute_likeness(got[k]["fingerprint"], brute_fingerprint(successor))
+        assert (got[k]["near_edited"], got[k]["near_next"]) == pytest.approx(want)
+
+
+def brute_fingerprint(text):
+    """The tree by its definition, written anew: a character at a time, no patterns."""
+    h = lambda x, n=16: hashlib.blake2b(x, digest_size=n).digest()
+    sections, fresh = [], True
+    for line in text.encode().split(b"\n") if text else []:
+        if fresh or line[:1] == b"#" or len(sections[-1]) == 16:
+            sections.append([])
+        leaves, at = [], 0
+        while at < len(line):
+            end = at
+            while end < len(line) and line[end : end + 1] != b"." and end - at < 64:
+                end += 1
+            while line[end : end + 1] == b".":
+                end += 1
+            leaves.append(line[at:end])
+            at = end
+        sections[-1].append([h(x, 9) for x in leaves])
+        fresh = not line.strip() and len(sections[-1]) > 1
+    root = h(b"r" + b"".join(h(b"s" + b"".join(h(b"p" + b"".join(p)) for p in s)) for s in sections)).hex()
+    return root + "|" + ";".join(",".join(base64.b64encode(b"".join(p)).decode() for p in s) for s in sections)
+
+
+def brute_likeness(a, b):
+    if a.split("|")[0] == b.split("|")[0]:
+        return 1.0
+    x, y = (Counter(x for s in f.split("|")[1].split(";") for p in s.split(",") for x in (p[i : i + 12] for i in range(0, len(p), 12))) for f in (a, b))
+    return 2 * sum(min(n, y[k]) for k, n in x.items()) / (sum(x.values()) + sum(y.values())) if x and y else 0.0
+
+
+def test_edits_are_located():
+    prints = op6_fingerprint.fingerprint
+    a, b = prints("One. Two.\nThree."), prints("One. Two.\nFour.")
+    assert op6_fingerprint.edits(a, b) == [("+", 0, 1, 0), ("-", 0, 1, 0)] or op6_fingerprint.edits(a, b) == [("-", 0, 1, 0), ("+", 0, 1, 0)]
+    assert 0 < op6_fingerprint.likeness(a, b) < 1
+    lines = [f"Line {i}. It has two leaves." for i in range(12)]
+    text = "\n".join(lines)
+    assert op6_fingerprint.edits(prints(text), prints("\n".join([lines[0], "New.", *lines[1:]]))) == [("+", 0, 1, 0)]
+    assert op6_fingerprint.edits(prints(text), prints("\n".join(lines[:10]))) == [("-", 0, p, k) for p in (10, 11) for k in (0, 1)]
+    assert op6_fingerprint.edits(prints(text), prints(text)) == [] and op6_fingerprint.edits(prints(""), prints("A.")) == [("+", 0, 0, 0)]
 
 
 def test_packing_plan_equals_piecewise_best_fit():
@@ -258,3 +354,19 @@ def test_packing(spark, sf_dir):
             at += n
         assert at <= 4096
     assert op9_packing.pack_documents(frame.where(F.lit(False)), queries.tokenizer_path()).collect() == []
+
+
+def test_packing_odd_ids_and_characters(spark):
+    """Null and very large ids, columns named like the operator's own, and code points that few tables know."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(17)
+    points = [c for c in range(0x20, 0x1FFFF) if not 0xD800 <= c < 0xE000]
+    texts = ["\u2024\U00018eec", "a\U00018eecB c", "\u1c89x \u1c8ay", None] + ["".join(chr(rng.choice(points)) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    big = 9007199254740993
+    rows = [(big + 2 * i if i % 50 else None, t, "x", i) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, length string, rank int")
+    got = Counter((r["doc_id"], r["ids_crc32"]) for r in op9_packing.pack_documents(frame, queries.tokenizer_path()).collect())
+    want = Counter((r[0], zlib.crc32(np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for r in rows)
+    assert got == want
