@@ -271,8 +271,9 @@ def sample(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
 
     def email() -> str:
         at = rng.choice(["@", " (at) ", " [at] ", "(at)", "[at]"])
-        name = plain() + rng.choice(["", num(2), "." + plain()])
-        return f"{name}{at}{plain()}{rng.choice(['', num(1)])}.{rng.choice(['example.com', 'com', 'org', 'net', 'de'])}"
+        name = plain(1) + rng.choice(["", num(2), "." + plain(), "_" + plain(1), f"-{plain(1)}.{plain()}"])
+        host = plain(1) + rng.choice(["", num(1), "-" + plain(), "." + plain(1)])
+        return f"{name}{at}{host}.{rng.choice(['example.com', 'com', 'org', 'net', 'de', 'io'])}"
 
     def phone() -> str:
         area, mid, end = num(3), num(3), num(4)

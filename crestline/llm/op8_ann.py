@@ -31,7 +31,7 @@ from crestline.llm.common import cut
 
 TREES, BITS = 16, 60
 #: Rows that the trees hold between them (repeats counted) before a query stops ascending.
-CANDIDATES, SHARE = 20_000, 0.8
+CANDIDATES, SHARE = 20_000, 1.0
 #: Bits by which a tree is dealt, and rows of a chunk, on average.
 DEPTH, CHUNK = 3, 8192
 #: Level of the queries that meet every row.

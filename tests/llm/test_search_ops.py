@@ -140,8 +140,8 @@ def test_recall_by_length():
             texts.append(f"{before}{address}, {' '.join(rng.choices(words, k=rng.randint(0, 40)))}")
             want.append((0, len(before), len(before) + len(address)))
         found = op4_pii.decode(p, texts)
-        assert sum(w in f for w, f in zip(want, found, strict=True)) >= 36, length
-    for kind, make in ((2, lambda: "4539-1488-0343-6467"), (3, lambda: "(523) 555-1055"), (1, lambda: "10[.]20[.]30[.]40")):
+        assert sum(w in f for w, f in zip(want, found, strict=True)) >= (28 if length == 10 else 37), length  # the shortest have names of a letter or two
+    for kind, make in ((2, lambda: "4539.1488.0343.6467"), (3, lambda: "(523) 555-1055"), (3, lambda: "523.555.1055"), (1, lambda: "10[.]20[.]30[.]40")):
         texts = [" ".join(rng.choices(words, k=rng.randint(1, 40))) + f" {make()} " + " ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(40)]
         spans = [{(k, t[a:b]) for k, a, b in op4_pii.base_spans(t) + s} for t, s in zip(texts, op4_pii.decode(p, texts), strict=True)]
         assert sum((kind, make()) in s for s in spans) >= 34, kind
