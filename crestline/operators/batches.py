@@ -57,9 +57,10 @@ def appended(successes: DataFrame, failures: DataFrame) -> DataFrame:
 
 
 def run_stats(runs: DataFrame, metric: str, by: list[str], population: bool = False) -> DataFrame:
-    """Mean, standard deviation (0 for one run), median, least and largest of a metric."""
+    """Mean, standard deviation (0 for one run; also that of the runs as a whole population), median, least and largest of
+    a metric, in one aggregation."""
     spread: Column = F.stddev_pop(metric) if population else F.coalesce(F.stddev_samp(metric), F.lit(0.0))
-    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.avg(metric).alias("mean"), spread.alias("stddev"), F.median(metric).alias("median"), F.min(metric).alias("least"), F.max(metric).alias("largest"))
+    return runs.groupBy(*by).agg(F.count("*").alias("runs"), F.avg(metric).alias("mean"), spread.alias("stddev"), F.stddev_pop(metric).alias("stddev_population"), F.median(metric).alias("median"), F.min(metric).alias("least"), F.max(metric).alias("largest"))
 
 
 def compared(baseline: DataFrame, candidate: DataFrame, on: str, value: str) -> DataFrame:

@@ -3,7 +3,8 @@
 As a state machine: while leading, every full `min_run` of silent frames is dropped; `hysteresis` sounding frames in all
 end the lead. Later a silence starts a hold; `hysteresis` sounding frames in a row release it; a track that ends in a hold
 whose last silence has `min_run` frames loses the whole hold. Here the same is told over maximal runs of equal frames, with
-three running aggregates and no state. Runs are far fewer than frames; a task holds one track's runs, never its frames.
+three running aggregates and no state. Runs are far fewer than frames; a task holds one track's runs, never its frames:
+frames are numbered into runs block by block, and runs that meet at a border of blocks are joined afterwards.
 """
 
 from __future__ import annotations
@@ -12,13 +13,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames of a track that one task puts in order.
+BLOCK = 1 << 16
+
+
 def silent_runs(frames: DataFrame, threshold_db: float) -> DataFrame:
     """track_id, run, silent, first_frame, length from (track_id, frame_idx, amplitude)."""
-    order = Window.partitionBy("track_id").orderBy("frame_idx")
-    flagged = frames.withColumn("silent", (F.col("amplitude") < 10 ** (threshold_db / 20)).cast("int"))
-    changed = flagged.withColumn("new", (F.coalesce(F.lag("silent").over(order), F.lit(-1)) != F.col("silent")).cast("int"))
-    numbered = changed.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("track_id", "run").agg(F.max("silent").alias("silent"), F.min("frame_idx").alias("first_frame"), F.count("*").alias("length"))
+
+    def numbered(rows: DataFrame, by: list[str], at: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(at)
+        changed = rows.withColumn("new", (F.coalesce(F.lag("silent").over(order), F.lit(-1)) != F.col("silent")).cast("int"))
+        return changed.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    flagged = frames.select("track_id", "frame_idx", F.floor(F.col("frame_idx") / BLOCK).alias("block"), (F.col("amplitude") < 10 ** (threshold_db / 20)).cast("int").alias("silent"))
+    parts = numbered(flagged, ["track_id", "block"], "frame_idx").groupBy("track_id", "block", "run")
+    parts = parts.agg(F.max("silent").alias("silent"), F.min("frame_idx").alias("first_frame"), F.count("*").alias("length"))
+    whole = numbered(parts.drop("run"), ["track_id"], "first_frame").groupBy("track_id", "run")
+    return whole.agg(F.max("silent").alias("silent"), F.min("first_frame").alias("first_frame"), F.sum("length").alias("length"))
 
 
 def trimmed_runs(runs: DataFrame, min_run: int, hysteresis: int) -> DataFrame:
@@ -48,7 +59,7 @@ def trim_report(runs: DataFrame) -> DataFrame:
 
 def trimmed(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """Samples that stay, frames numbered anew without gaps. Kept runs next to each other are one stretch, so a track has
-    one stretch more than it has cuts and the join on (track, range) tests few stretches a sample."""
+    one stretch more than it has cuts; samples meet the stretches of their own block of frames."""
     order = Window.partitionBy("track_id").orderBy("run")
     cuts = F.sum((F.col("drop_first") > 0).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     kept = runs.withColumn("stretch", cuts).where(~F.col("drop_all") & (F.col("drop_first") < F.col("length")))
@@ -58,5 +69,8 @@ def trimmed(samples: DataFrame, runs: DataFrame) -> DataFrame:
     )
     before = Window.partitionBy("run_track").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     kept = kept.withColumn("start", F.coalesce(F.sum(F.col("to_frame") - F.col("from_frame")).over(before), F.lit(0)))
-    joined = samples.join(kept, (F.col("track_id") == F.col("run_track")) & (F.col("frame_idx") >= F.col("from_frame")) & (F.col("frame_idx") < F.col("to_frame")))
+    block = lambda frame: F.floor(frame / BLOCK)
+    kept = kept.withColumn("run_block", F.explode(F.sequence(block(F.col("from_frame")), block(F.col("to_frame") - 1))))
+    same = (F.col("track_id") == F.col("run_track")) & (block(F.col("frame_idx")) == F.col("run_block"))
+    joined = samples.join(kept, same & (F.col("frame_idx") >= F.col("from_frame")) & (F.col("frame_idx") < F.col("to_frame")))
     return joined.select("track_id", "channel", (F.col("frame_idx") - F.col("from_frame") + F.col("start")).alias("frame_idx"), "sample")

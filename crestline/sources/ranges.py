@@ -1,9 +1,10 @@
 """Large WAV files in pieces: spark.read.format("wav_windows").load(directory).
 
 PCM has frames of a fixed size, so a file can be cut at window borders and its pieces read by different tasks; each reads
-its own bytes only. Rows are raw windows (path, channel, win, n, sum_sq, peak) with the format's columns. Files are opened
-through pyarrow's file systems (local paths and URIs it knows). Files that are no readable WAV give no rows here; probe
-them with wav.probe_files. The driver reads headers only, chunk by chunk, wherever the samples begin.
+its own bytes only. Rows are raw windows (path, channel, win, n, sum_sq, peak) with the format's columns; a file that is no
+readable WAV gives one row with its error instead. Files are opened through pyarrow's file systems (local paths and URIs it
+knows). The driver lists files and opens none; a task reads the header, chunk by chunk, wherever the samples begin, and
+then the windows that begin in its share of the file.
 """
 
 from __future__ import annotations
@@ -21,21 +22,18 @@ from crestline.operators.windows import window_frames
 from crestline.sources import wav
 from crestline.sources.registry import AudioError, AudioFormat
 
-#: Windows that one task reads, and bytes of a format chunk that say what is needed.
-WINDOWS_OF_TASK, FORMAT_BYTES = 64, 64
-SCHEMA = wav.WINDOWS + ", sample_rate int, channels int"
+#: Bytes of a file that are one task's share, and bytes of a format chunk that say what is needed.
+SHARE_BYTES, FORMAT_BYTES = 64 << 20, 64
+SCHEMA = wav.WINDOWS + ", sample_rate int, channels int, error string"
+_ERROR = pa.schema([*wav._WINDOW_TYPES, ("sample_rate", pa.int32()), ("channels", pa.int32()), ("error", pa.string())])
 
 
 @dataclass
 class Piece(InputPartition):
     uri: str
-    encoding: str
-    sample_rate: int
-    channels: int
-    bits: int
-    first_window: int
-    offset: int
-    length: int
+    size: int
+    first: int
+    last: int
 
 
 def probe(file: pa.NativeFile, size: int) -> tuple[AudioFormat, str, int]:
@@ -57,8 +55,8 @@ def probe(file: pa.NativeFile, size: int) -> tuple[AudioFormat, str, int]:
 
 
 class WavWindowsReader(DataSourceReader):
-    def __init__(self, path: str, recursive: bool, windows: int):
-        self.path, self.recursive, self.windows = path, recursive, windows
+    def __init__(self, path: str, recursive: bool, share: int):
+        self.path, self.recursive, self.share = path, recursive, share
 
     def _system(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
@@ -70,28 +68,29 @@ class WavWindowsReader(DataSourceReader):
         for info in sorted(found, key=lambda x: x.path):
             if info.type != fs.FileType.File or not info.path.lower().endswith(".wav"):
                 continue
-            try:
-                with system.open_input_file(info.path) as file:
-                    known, encoding, start = probe(file, info.size)
-            except AudioError:
-                continue
-            width = known.channels * known.bits_per_sample // 8
-            frames = min(known.sample_count, max(0, info.size - start) // width)
-            step = self.windows * window_frames(known.sample_rate)
-            for a in range(0, frames, step):
-                out.append(Piece(info.path, encoding, known.sample_rate, known.channels, known.bits_per_sample, a // window_frames(known.sample_rate), start + a * width, min(step, frames - a) * width))
+            out += [Piece(info.path, info.size, a, min(a + self.share, info.size)) for a in range(0, max(info.size, 1), self.share)]
         return out
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         system, _ = self._system()
-        step = window_frames(partition.sample_rate) * partition.channels * partition.bits // 8
         with system.open_input_file(partition.uri) as file:
-            for k, at in enumerate(range(0, partition.length, step)):
-                raw = file.read_at(min(step, partition.length - at), partition.offset + at)
-                block = wav.to_float(raw, partition.encoding).reshape(-1, partition.channels)
-                rows = wav._levels(partition.uri, partition.first_window + k, block)
-                rows = rows.append_column("sample_rate", pa.array([partition.sample_rate] * rows.num_rows, pa.int32()))
-                yield rows.append_column("channels", pa.array([partition.channels] * rows.num_rows, pa.int32()))
+            try:
+                known, encoding, start = probe(file, partition.size)
+            except AudioError as e:
+                if partition.first == 0:  # said once
+                    yield pa.RecordBatch.from_pylist([dict.fromkeys(_ERROR.names) | {"path": partition.uri, "error": str(e)}], _ERROR)
+                return
+            width = known.channels * known.bits_per_sample // 8
+            step = window_frames(known.sample_rate) * width
+            end = start + min(known.sample_count, max(0, partition.size - start) // width) * width
+            # the first window that begins at or after the share's first byte, counted from the samples' start
+            win = max(0, -(-(partition.first - start) // step))
+            for at in range(start + win * step, min(end, partition.last), step):
+                block = wav.to_float(file.read_at(min(step, end - at), at), encoding).reshape(-1, known.channels)
+                rows = wav._levels(partition.uri, win, block)
+                win += 1
+                more = [pa.array([v] * rows.num_rows, t) for v, t in ((known.sample_rate, pa.int32()), (known.channels, pa.int32()), (None, pa.string()))]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema=_ERROR)
 
 
 class WavWindows(DataSource):
@@ -103,7 +102,7 @@ class WavWindows(DataSource):
         return SCHEMA
 
     def reader(self, schema: object) -> DataSourceReader:
-        return WavWindowsReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("windows", WINDOWS_OF_TASK)))
+        return WavWindowsReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("share", SHARE_BYTES)))
 
 
 def register(spark: SparkSession) -> None:

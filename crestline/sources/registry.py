@@ -80,7 +80,8 @@ def process_decoder(command: list[str], sample_rate: int, channels: int) -> Deco
 def scan(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """path, file_name, length of the audio files of a directory, in order of their paths; no contents are read. Fails for
     a directory that does not exist."""
-    glob = "*.{" + ",".join(f"{e},{e.upper()}" for e in EXTENSIONS) + "}"
+    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    glob = "*.{" + ",".join(map(any_case, EXTENSIONS)) + "}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(directory)
     files = files.select("path", "length", "modificationTime").where(describe.can_decode(F.col("path")))
     return files.select("path", describe.file_name(F.col("path")).alias("file_name"), "length").orderBy("path")

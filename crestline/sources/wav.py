@@ -123,23 +123,51 @@ def _probe_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(out, _META_TYPES)
 
 
+def _windows_of(path: str, found: AudioFormat, blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    step, win, rest = window_frames(found.sample_rate), 0, None
+    for block in blocks:  # decoders may cut blocks anywhere
+        rest = block if rest is None else np.concatenate((rest, block))
+        while len(rest) >= step:
+            yield _levels(path, win, rest[:step])
+            rest, win = rest[step:], win + 1
+    if rest is not None and len(rest):
+        yield _levels(path, win, rest)
+
+
 def _window_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             try:
-                found, blocks = _opened(path, data)
-                step, win, rest = window_frames(found.sample_rate), 0, None
-                for block in blocks:  # decoders may cut blocks anywhere
-                    rest = block if rest is None else np.concatenate((rest, block))
-                    while len(rest) >= step:
-                        yield _levels(path, win, rest[:step])
-                        rest, win = rest[step:], win + 1
-                if rest is not None and len(rest):
-                    yield _levels(path, win, rest)
+                yield from _windows_of(path, *_opened(path, data))
             except Exception:  # noqa: S112  told by probe_files
                 continue
 
 
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each file, then one row that says what the file is or why it failed: a file is decoded once."""
+    names = [*_META_TYPES.names, *_WINDOW_TYPES.names[1:]]
+    types = [*_META_TYPES.types, *_WINDOW_TYPES.types[1:]]
+    schema = pa.schema(list(zip(names, types, strict=True)))
+    for batch in batches:
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            row, frames = dict.fromkeys(names) | {"path": path}, 0
+            try:
+                found, blocks = _opened(path, data)
+                for levels in _windows_of(path, found, blocks):
+                    frames += levels.column("n")[0].as_py()
+                    empty = [pa.nulls(levels.num_rows, t) for t in _META_TYPES.types[1:]]
+                    yield pa.RecordBatch.from_arrays([levels.column("path"), *empty, *levels.columns[1:]], schema=schema)
+                if frames < 2:
+                    raise AudioError("InvalidInput", "fewer than two frames")
+                row |= {"sample_rate": found.sample_rate, "channels": found.channels, "bits_per_sample": found.bits_per_sample, "sample_count": found.sample_count, "actual_frames": frames}
+                row |= {"codec": found.codec, "lfe_indices": found.lfe_indices, "has_channel_layout_metadata": found.has_channel_layout_metadata}
+            except AudioError as e:
+                row |= {"error": str(e), "error_kind": e.kind}
+            except Exception as e:  # a decoder of the user's may raise anything; the batch goes on
+                row |= {"error": str(e), "error_kind": "DecodingError"}
+            yield pa.RecordBatch.from_pylist([row], schema)
+
+
 def _levels(path: str, win: int, block: np.ndarray) -> pa.RecordBatch:
     wide = block.astype(np.float64)
     level = np.abs(wide)
@@ -197,13 +225,17 @@ def sample_files(files: DataFrame) -> DataFrame:
 
 
 def analyse(spark: SparkSession, directory: str, recursive: bool = False, silence_db: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, channels): format or error of every file, and level, peak and range of every channel of those readable."""
+    """(files, channels): format or error of every file, and level, peak and range of every channel of those readable.
+
+    Each file is read and decoded once: its windows (a row per channel and three seconds) and its format come from one
+    pass, which is kept. What a decoder gave before it failed does not count.
+    """
     from crestline.operators import channels, windows
 
-    files = contents(spark, directory, recursive)
-    meta = probe_files(files).unionByName(empty_files(spark, directory, recursive))
+    both = contents(spark, directory, recursive).mapInArrow(_read_files, META + WINDOWS.removeprefix("path string")).persist()
+    meta = both.where("win IS NULL").select(*_META_TYPES.names).unionByName(empty_files(spark, directory, recursive))
     good = meta.where("error IS NULL")
-    raw = window_files(files).join(good.select("path", "sample_rate", "channels"), "path").withColumnRenamed("path", "track_id")
+    raw = both.where("win IS NOT NULL").select(*_WINDOW_TYPES.names).join(good.select("path", "sample_rate", "channels"), "path").withColumnRenamed("path", "track_id")
     raw = raw.withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n")))
     full = F.floor(F.col("sample_rate") * F.lit(windows.WINDOW_SECONDS))
     counts = windows.complete(full, F.col("channels") <= 2)

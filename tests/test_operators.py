@@ -167,7 +167,9 @@ def machine(amplitudes, threshold, min_run, hysteresis):
     return out if phase == "hold" and quiet_run >= min_run else out + held
 
 
-def test_trimming_equals_state_machine(spark):
+@pytest.mark.parametrize("block", [7, 1 << 16])
+def test_trimming_equals_state_machine(spark, monkeypatch, block):
+    monkeypatch.setattr(trim, "BLOCK", block)  # of frames that one task puts in order
     rng = random.Random(7)
     signals = {(f"t{i}", 0): [rng.choice([0.0, 0.0, 0.5]) for _ in range(rng.randint(1, 40))] for i in range(300)}
     signal = samples(spark, signals)

@@ -5,6 +5,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,9 +82,12 @@ def test_pieces_of_large_files(spark, folder):
     ranges.register(spark)
     key = lambda r: (r["path"].rsplit("/", 1)[1], r["channel"], r["win"])
     want = {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in wav.window_files(wav.contents(spark, str(folder))).collect()}
-    for count in (1, 64):
-        pieces = spark.read.format("wav_windows").option("windows", count).load(str(folder))
-        assert {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in pieces.collect()} == want
+    for share in (100_000, 529_964, ranges.SHARE_BYTES):
+        pieces = spark.read.format("wav_windows").option("share", share).load(str(folder)).collect()
+        assert {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in pieces if r["error"] is None} == want
+        assert len([r for r in pieces if r["error"] is None]) == len(want)
+        failed = [r["path"].rsplit("/", 1)[1] for r in pieces if r["error"]]
+        assert {"empty.wav", "fake_audio.wav"} <= set(failed) and len(failed) == len(set(failed))
     assert want["edge_cases.wav", 0, 2][0] == 308700 - 2 * 132480
 
 
@@ -123,6 +127,33 @@ def test_scan(spark, folder):
     assert registry.decodes_alone("mp3") and not registry.decodes_alone("wav")
 
 
+def test_scan_in_any_case(spark, tmp_path):
+    for name in ("a.wav", "b.WAV", "c.Wav", "d.fLaC", "e.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    assert [r["file_name"] for r in registry.scan(spark, str(tmp_path)).collect()] == ["a.wav", "b.WAV", "c.Wav", "d.fLaC"]
+
+
+def test_decoder_that_fails_on_the_way(spark, tmp_path):
+    """A file whose decoder gives some blocks and then fails is an error, and counts in no channel."""
+    from crestline.operators.windows import window_frames
+
+    def fails(data, extension):
+        def blocks():
+            yield np.ones((2 * window_frames(44100), 1), np.float32)
+            raise RuntimeError("torn")
+
+        return registry.AudioFormat(44100, 1, 16, 10**6, "X"), blocks()
+
+    registry.register_decoder("ape", fails)
+    (tmp_path / "torn.ape").write_bytes(b"1")
+    write(tmp_path / "good.wav", np.column_stack([np.arange(5000)] * 2))
+    both = wav._read_files(iter([pa.RecordBatch.from_pydict({"path": ["torn.ape"], "content": [b"1"]})]))
+    rows = [r for b in both for r in b.to_pylist()]
+    assert [r["win"] for r in rows] == [0, 1, None] and rows[-1]["error"] == "torn" and rows[-1]["error_kind"] == "DecodingError"
+    meta, found = wav.analyse(spark, str(tmp_path))
+    assert {r["track_id"].rsplit("/", 1)[1] for r in found.collect()} == {"good.wav"} and meta.where("error IS NOT NULL").count() == 1
+
+
 def test_registered_decoder(spark, tmp_path):
     (tmp_path / "x.ogg").write_bytes(b"12345678")
     registry.register_decoder("ogg", registry.process_decoder(["no-such-program"], 44100, 2))
