@@ -73,3 +73,15 @@ ERRORS = (
     ("OutOfMemory", "Calculation", 4),
     ("ResourceError", "Other", 5),
 )
+#: What a user can do about a kind of error.
+HINTS = {
+    "InvalidInput": "check the options and the input; --help lists what is accepted",
+    "IoError": "check that the file exists and can be read",
+    "FormatError": "use a file in a supported format",
+    "DecodingError": "the file may be damaged, or its codec needs a registered decoder",
+    "CalculationError": "check that the file holds valid samples",
+    "OutOfMemory": "give the executors more memory or fewer cores each",
+    "ResourceError": "check the resources of the machine or lower the parallelism, then retry",
+}
+#: Extensions of one-bit sources, the rate they are converted to and the gain in dB.
+DSD_EXTENSIONS, DSD_RATE, DSD_GAIN_DB = ("dsf", "dff"), 352_800, 6.0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from crestline.constants import COMPRESSED, DSD_TIERS, ERRORS, EXTENSIONS, FORMAT_NAMES
+from crestline.constants import COMPRESSED, DSD_EXTENSIONS, DSD_GAIN_DB, DSD_RATE, DSD_TIERS, ERRORS, EXTENSIONS, FORMAT_NAMES, HINTS
 
 
 def file_name(path: Column) -> Column:
@@ -99,6 +99,19 @@ def exit_code(kind: Column) -> Column:
     return F.when(kind.isNull(), 0).otherwise(out)
 
 
+def error_hint(kind: Column) -> Column:
+    """A line of advice for a kind of error; for formats also the list of those supported. Null without an error."""
+    out = F.lit("check the input and the options")
+    for name, hint in HINTS.items():
+        text = f"{hint} ({', '.join(e.upper() for e in EXTENSIONS)})" if name == "FormatError" else hint
+        out = F.when(kind == name, text).otherwise(out)
+    return F.when(kind.isNotNull(), out)
+
+
+def is_dsd(path: Column) -> Column:
+    return F.lower(extension(path)).isin(*DSD_EXTENSIONS)
+
+
 def frames_of_ms(ms: Column, rate: Column) -> Column:
     return F.ceil(ms / 1000.0 * rate).cast("long")
 
@@ -124,6 +137,15 @@ def dsd_cutoff_hz(mode: Column, tier: Column, rate: Column) -> Column:
     return F.when(F.lower(mode) == "off", None).when(F.lower(mode) == "teac", F.least(scaled, 0.45 * rate)).otherwise(F.lit(20000.0))
 
 
+def dsd_filters(mode: Column, tier: Column, rate: Column | None = None, gain_db: Column | None = None) -> Column:
+    """Filters of the conversion from one bit, comma-joined: the low-pass and the gain; neither of them is the empty text."""
+    cutoff = dsd_cutoff_hz(mode, tier, F.lit(DSD_RATE) if rate is None else rate)
+    gain = F.lit(DSD_GAIN_DB) if gain_db is None else gain_db.cast("double")
+    lowpass = F.when(cutoff.isNotNull(), F.concat(F.lit("lowpass=f="), F.bround(cutoff).cast("long").cast("string")))
+    volume = F.when(F.abs(gain) > 0.0001, F.concat(F.lit("volume="), F.regexp_replace(gain.cast("string"), r"\.0$", ""), F.lit("dB")))
+    return F.concat_ws(",", lowpass, volume)
+
+
 def opus_frames(bytes_: Column, rate: Column) -> Column:
     """Length estimate from a file's size; one minute where that would be absurd."""
     bits = F.when(bytes_ < 1_000_000, 128_000).when(bytes_ < 10_000_000, 256_000).otherwise(320_000)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crestline.functions import levels
@@ -56,6 +59,29 @@ def appended(successes: DataFrame, failures: DataFrame) -> DataFrame:
     return successes.unionByName(failures, allowMissingColumns=True).orderBy("idx")
 
 
+def emitted(results: DataFrame, total: int | None = None) -> Iterator[tuple[int, float, Row]]:
+    """Rows one by one in the order of their index as their partitions finish, with how many came and the share of all;
+    the driver holds one partition and the next."""
+    whole = results.count() if total is None else total
+    for done, row in enumerate(results.orderBy("idx").toLocalIterator(prefetchPartitions=True), 1):
+        yield done, done / whole if whole else 0.0, row
+
+
+@contextmanager
+def cancellable(spark: SparkSession, name: str) -> Iterator[None]:
+    """Jobs started inside by this thread can be stopped from any other one by cancel()."""
+    spark.sparkContext.addJobTag(name)
+    try:
+        yield
+    finally:
+        spark.sparkContext.removeJobTag(name)
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    """Stops the running jobs of that name; their callers get an error, files not begun are not read."""
+    spark.sparkContext.cancelJobsWithTag(name)
+
+
 def run_stats(runs: DataFrame, metric: str, by: list[str], population: bool = False) -> DataFrame:
     """Mean, standard deviation (0 for one run; also that of the runs as a whole population), median, least and largest of
     a metric, in one aggregation."""

@@ -9,6 +9,9 @@ from crestline.constants import BINS
 from crestline.functions import levels
 from crestline.operators.windows import CHANNEL, below, complete, raw_windows, window_frames
 
+#: Frames whose samples one list holds while the largest two are taken.
+BLOCK = 4096
+
 
 def _finite() -> Column:
     return ~F.isnan("rms") & (F.col("rms") >= 0) & (F.col("rms") < float("inf"))
@@ -102,10 +105,16 @@ def from_windows(raw: DataFrame, counts: Column, rule: levels.PeakRule = levels.
 def accumulate(samples: DataFrame) -> DataFrame:
     """Whole channels without windows: sum of squares, level without the factor 2, and the two largest samples."""
     x = F.abs(F.col("sample").cast("double"))
-    sums = samples.groupBy(*CHANNEL).agg(F.count("*").alias("n"), F.sum(x * x).alias("sum_sq"), F.max(x).alias("primary_peak"))
-    ranked = Window.partitionBy(*CHANNEL).orderBy(F.desc(x), "frame_idx")
-    second = samples.withColumn("place", F.row_number().over(ranked)).where("place = 2").select(*CHANNEL, x.alias("secondary_peak"))
-    out = sums.join(second, CHANNEL, "left").fillna(0.0, ["secondary_peak"]).withColumn("rms", F.sqrt(F.col("sum_sq") / F.col("n")))
+    # the two largest of each block of frames, then of the blocks: samples are read once and never sorted as a channel
+    block = F.floor(F.col("frame_idx") / BLOCK)
+    top = F.sort_array(F.collect_list(x), asc=False)
+    blocks = samples.groupBy(*CHANNEL, block.alias("block")).agg(F.count("*").alias("n"), F.sum(x * x).alias("sum_sq"), F.slice(top, 1, 2).alias("top"))
+    blocks = blocks.select(*CHANNEL, "n", "sum_sq", F.get("top", F.lit(0)).alias("first"), F.get("top", F.lit(1)).alias("second"))
+    placed = blocks.withColumn("place", F.row_number().over(Window.partitionBy(*CHANNEL).orderBy(F.desc("first"))))
+    second = F.greatest(F.max(F.when(F.col("place") == 2, F.col("first"))), F.max("second"))
+    out = placed.groupBy(*CHANNEL).agg(
+        F.sum("n").alias("n"), F.sum("sum_sq").alias("sum_sq"), F.max("first").alias("primary_peak"), F.coalesce(second, F.lit(0.0)).alias("secondary_peak")
+    ).withColumn("rms", F.sqrt(F.col("sum_sq") / F.col("n")))
     return out.withColumn("peak", levels.prefer_secondary(F.col("primary_peak"), F.col("secondary_peak")))
 
 

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crestline.constants import REPORT_SILENT
+from crestline.constants import DSD_RATE, REPORT_SILENT
 from crestline.functions import describe, levels
 
 TOOL, VERSION = "crestline", "0.1.0"
@@ -71,6 +71,73 @@ def text_reports(channels: DataFrame, tracks: DataFrame) -> DataFrame:
     return table.join(tracks, "track_id").select("track_id", body.alias("report"))
 
 
+def _table(channels: DataFrame, head: Column, line: Column) -> DataFrame:
+    """track_id, table: a Markdown table per track, a row per channel in their order; head may depend on the number of
+    channels, n."""
+    lines = channels.withColumn("n", F.count("*").over(_by_track())).withColumn("text", F.concat(F.lit("| "), line, F.lit(" |"))).withColumn("head", head)
+    rows = lines.groupBy("track_id").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(_channel_struct(False))).alias("rows"))
+    return rows.select("track_id", F.concat_ws("\n", "head", F.transform("rows", lambda r: r["text"])).alias("table"))
+
+
+def _decibels(level: str) -> Column:
+    return F.concat(levels.linear_to_db_text(F.col(level)), F.lit(" dB"))
+
+
+def diagnostics_tables(channels: DataFrame) -> DataFrame:
+    """track_id, table: level of the loudest fifth, the peak taken, and both peaks it was taken from."""
+    note = describe.channel_note(F.col("is_lfe"), F.col("is_silent"))
+    name = F.concat(describe.channel_name(F.col("channel"), F.col("n")), F.when(note != "", F.concat(F.lit(" ["), note, F.lit("]"))).otherwise(""))
+    line = F.concat_ws(" | ", name, *map(_decibels, ("rms", "peak", "primary_peak", "secondary_peak")))
+    return _table(channels, F.lit("| Channel | RMS (20 %) | Peak (taken) | Primary | Secondary |\n| --- | --- | --- | --- | --- |"), line)
+
+
+def run_notes(formats: DataFrame, trims: DataFrame | None = None, silence: DataFrame | None = None) -> DataFrame:
+    """track_id, notes: what trimming (a trim_report) and the silence filter (a silence_report) took from each track of
+    formats (track_id, sample_rate); empty where neither ran or no window was there to filter."""
+    out = formats.select("track_id", "sample_rate")
+    trim_note = silence_note = F.lit(None).cast("string")
+    if trims is not None:
+        out = out.join(trims.select("track_id", (F.col("leading_frames") + F.col("trailing_frames")).alias("cut")), "track_id", "left")
+        trim_note = F.format_string("Edge trimming: %.1f s removed", F.round(F.col("cut") / F.col("sample_rate"), 1))
+        trim_note = F.when(F.col("cut").isNotNull(), trim_note)
+    if silence is not None:
+        sums = silence.groupBy("track_id").agg(F.sum("filtered_windows").alias("filtered"), F.sum("total_windows").alias("total"))
+        out = out.join(sums, "track_id", "left")
+        silence_note = F.format_string("Silence filter: %d/%d windows (%.1f %%)", "filtered", "total", F.round(100.0 * F.col("filtered") / F.col("total"), 1))
+        silence_note = F.when(F.col("total") > 0, silence_note)
+    return out.select("track_id", F.concat_ws("\n", trim_note, silence_note).alias("notes"))
+
+
+def compact_reports(channels: DataFrame, tracks: DataFrame, formats: DataFrame, diagnostics: bool = False, notes: DataFrame | None = None) -> DataFrame:
+    """track_id, report: two lines on the result and the format (track_id, sample_rate, sample_count, channels, codec), the
+    channel table, then as far as asked for or present diagnostics, the boundary warning and run_notes. Tracks without an
+    official value show DR0 (0.00 dB)."""
+    short = F.col("n") <= 2
+    note = describe.channel_note(F.col("is_lfe"), F.col("is_silent"))
+    line = F.concat_ws(" | ", describe.channel_name(F.col("channel"), F.col("n")), F.format_string("%.2f dB", "dr_value"), _decibels("peak"), F.when(~short, note))
+    head = F.when(short, F.lit("| Channel | DR | Peak |\n| --- | --- | --- |")).otherwise(F.lit("| Channel | DR | Peak | Note |\n| --- | --- | --- | --- |"))
+    out = _table(channels, head, line).join(tracks, "track_id").join(formats.select("track_id", "sample_rate", "sample_count", "channels", "codec"), "track_id")
+    official, precise = F.coalesce("official_dr", F.lit(0)), F.coalesce("precise_dr", F.lit(0.0))
+    codec = F.coalesce("codec", describe.extension(F.col("track_id")))
+    first = F.format_string(f"{TOOL} {VERSION} | DR%d (%.2f dB)", official, precise)
+    second = F.format_string("%s | %s | %d Hz | %dch | %s", describe.file_name(F.col("track_id")), describe.duration_text(F.col("sample_count"), F.col("sample_rate")), "sample_rate", "channels", codec)
+    parts = [F.concat(first, F.lit("\n"), second), F.col("table")]
+    if diagnostics:
+        out = out.join(diagnostics_tables(channels).withColumnRenamed("table", "diagnostics"), "track_id")
+        parts.append(F.col("diagnostics"))
+    parts.append(F.concat(F.lit("[!] "), levels.boundary_warning(F.col("official_dr"), F.col("precise_dr"))))
+    if notes is not None:
+        out = out.join(notes, "track_id", "left")
+        parts.append(F.when(F.col("notes") != "", F.col("notes")))
+    return out.select("track_id", F.concat_ws("\n\n", *parts).alias("report"))
+
+
+def batch_header(results: DataFrame, dsd_rate: int = DSD_RATE) -> DataFrame:
+    """One row: files, and a note on the conversion if any of them (by file_name) is a one-bit source."""
+    some = F.coalesce(F.bool_or(describe.is_dsd(F.col("file_name"))), F.lit(False))
+    return results.agg(F.count("*").alias("files"), F.when(some, f"One-bit files are converted to {dsd_rate} Hz").alias("dsd_note"))
+
+
 def _by_track():  # noqa: ANN202
     from pyspark.sql import Window
 
@@ -88,7 +155,7 @@ def batch_rows(results: DataFrame) -> DataFrame:
 def batch_report(results: DataFrame, summary: DataFrame, groups: DataFrame, warnings: DataFrame) -> str:
     """The text of a whole batch. Only rendered lines reach the driver, in order, a partition at a time."""
     s = summary.first()
-    out = [f"{TOOL} {VERSION}", f"Files: {s['processed'] + s['failed']}, processed {s['processed']}, failed {s['failed']} ({s['success_rate']:.1f} % succeeded)", "", "| Official | Precise | File |", "| --- | --- | --- |"]
+    out = [f"{TOOL} {VERSION}", f"Files: {s['processed'] + s['failed']}, processed {s['processed']}, failed {s['failed']} ({s['success_rate']:.1f} % succeeded)", *([note, ""] if (note := batch_header(results).first()["dsd_note"]) else [""]), "| Official | Precise | File |", "| --- | --- | --- |"]
     out += [r["line"] for r in batch_rows(results).orderBy("idx").toLocalIterator()]
     risky = [f"- {r['track_id']}: DR{r['official_dr']} ({r['precise_dr']:.2f} dB), {r['risk_level']} risk, may be DR{r['potential_dr']}" for r in warnings.toLocalIterator()]
     failed = [f"- {r['error_category']}: {r['failures']} ({r['file_names']}" + (f", +{r['more']} more)" if r["more"] else ")") for r in groups.toLocalIterator()]

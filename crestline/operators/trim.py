@@ -57,6 +57,12 @@ def trim_report(runs: DataFrame) -> DataFrame:
     )
 
 
+def trim_durations(report: DataFrame, sample_rate: int) -> DataFrame:
+    """Adds the seconds cut at the start, at the end and in all to a trim_report."""
+    out = report.withColumn("leading_seconds", F.col("leading_frames") / sample_rate).withColumn("trailing_seconds", F.col("trailing_frames") / sample_rate)
+    return out.withColumn("trimmed_seconds", F.col("leading_seconds") + F.col("trailing_seconds"))
+
+
 def trimmed(samples: DataFrame, runs: DataFrame) -> DataFrame:
     """Samples that stay, frames numbered anew without gaps. Kept runs next to each other are one stretch, so a track has
     one stretch more than it has cuts; samples meet the stretches of their own block of frames."""

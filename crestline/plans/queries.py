@@ -5,18 +5,25 @@ Sums of doubles depend on their order in the last bits, so measured values are r
 
 from __future__ import annotations
 
+import struct
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crestline.functions import describe, levels, pcm
 from crestline.operators import batches, channels, export, layouts, packets, report, tracks, trim, windows
 from crestline.schema import format_error
-from crestline.sources import adapters
+from crestline.sources import adapters, wav
+from crestline.streaming import signals
 
 RATE = adapters.SAMPLE_RATE
 FRAMES = windows.window_frames(RATE)
+STREAM_TRIM_DB = -20.0
 SILENCE_DB, TRIM_DB, MIN_RUN, HYSTERESIS = 1.3, -0.54, 2, 3
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +100,8 @@ def _tracks(exclude_lfe: bool) -> str:
     t AS (SELECT track_id, official_dr, precise_dr, excluded_channels, excluded_lfe, {_risk("official_dr", "precise_dr")} FROM t1)"""
 
 
+_WARNING = """(CASE WHEN risk_level IS NOT NULL THEN printf('%s risk: %.2f dB lies %.2f dB from a boundary, may round to DR%d instead of DR%d', risk_level, precise_dr, distance_db,
+    CASE direction WHEN 'Upper' THEN official_dr + 1 ELSE greatest(official_dr - 1, 0) END, official_dr) END)"""
 TRACK_COLUMNS = "track_id, official_dr, round(precise_dr, 6) + 0.0 AS precise_dr, excluded_channels, excluded_lfe, risk_level, direction, round(distance_db, 6) + 0.0 AS distance_db"
 _R = "round({0}, 6) + 0.0 AS {0}".format
 
@@ -315,25 +324,23 @@ def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_windows(EMBEDDINGS)}, {_tracks(False)}, l AS (SELECT track_id, channel, '| ' || CASE channel WHEN 0 THEN 'Left' ELSE 'Right' END || ' | ' || printf('%.2f', dr_value) || ' dB | ' || printf('%.2f', 20 * log10(rms)) || ' | ' || printf('%.2f', 20 * log10(peak)) || ' |  |' AS line FROM dr)
-    SELECT track_id, '| Channel | DR | RMS | Peak | Note |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY channel) || chr(10) || 'Official DR: DR' || any_value(official_dr) || ' (' || printf('%.2f', any_value(precise_dr)) || ' dB)' AS table_text
+    SELECT track_id, '| Channel | DR | RMS | Peak | Note |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY channel) || chr(10) || 'Official DR: DR' || any_value(official_dr) || ' (' || printf('%.2f', any_value(precise_dr)) || ' dB)'
+    || coalesce(chr(10) || any_value({_WARNING}), '') AS report
     FROM l JOIN t USING (track_id) GROUP BY track_id""")
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of text reports, without the warning below them."""
     found = tracks.with_exclusions(channels.channel_dr(adapters.samples_of_embeddings(spark, sf_dir), RATE))
-    reports = report.text_reports(found, tracks.track_dr(found))
-    return reports.select("track_id", F.regexp_replace("report", r"\n(High|Medium) risk[^\n]*$", "").alias("table_text"))
+    return report.text_reports(found, tracks.track_dr(found))
 
 
 @query(f"""{_windows(LINEITEM, tail=False)}, {_tracks(True)}, q AS (SELECT *, peak <= 1e-6 OR rms <= 1e-6 AS quiet, channel = 3 AS lfe FROM dr),
     l AS (SELECT track_id, channel, '| CH ' || (channel + 1) || CASE WHEN lfe OR quiet THEN ' [' || concat_ws(', ', CASE WHEN lfe THEN 'LFE' END, CASE WHEN quiet THEN 'Silent' END, 'excluded') || ']' ELSE '' END
         || CASE WHEN quiet THEN ' | - | -' ELSE ' | DR' || round(dr_value)::INT || ' | ' || printf('%.2f', dr_value) END || ' |' AS line FROM q)
     SELECT track_id, '## ' || CASE WHEN any_value(risk_level) IS NULL THEN track_id ELSE '*' || track_id || '*' END || chr(10) || chr(10) || '| Channel | Official | Precise |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY channel)
-        || coalesce(chr(10) || chr(10) || '**Official DR' || any_value(official_dr) || ' (excl. LFE)** · Precise ' || printf('%.2f', any_value(precise_dr)) || ' dB', '') AS head FROM l JOIN t USING (track_id) GROUP BY track_id""")
+        || coalesce(chr(10) || chr(10) || '**Official DR' || any_value(official_dr) || ' (excl. LFE)** · Precise ' || printf('%.2f', any_value(precise_dr)) || ' dB', '')
+        || coalesce(chr(10) || chr(10) || '*' || any_value(risk_level) || ' risk near the ' || lower(any_value(direction)) || ' boundary, ' || printf('%.2f', any_value(distance_db)) || ' dB*', '') AS report FROM l JOIN t USING (track_id) GROUP BY track_id""")
 def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown sections, without the risk line below them."""
     found = _seven_channels(spark, sf_dir)
-    reports = export.markdown_exports(found, tracks.track_dr(found, exclude_lfe=True), exclude_lfe=True, hide_path=True)
-    return reports.select("track_id", F.regexp_replace("report", r"\n\n\*(High|Medium) risk[^\n]*$", "").alias("head"))
+    return export.markdown_exports(found, tracks.track_dr(found, exclude_lfe=True), exclude_lfe=True, hide_path=True)
 
 
 @query(f"""{_windows(LINEITEM, tail=False)}, {_tracks(True)} SELECT track_id, t.official_dr, (channel + 1)::INT AS channel, round(dr_value)::INT AS dr_rounded, CASE WHEN peak <= 1e-6 OR rms <= 1e-6 THEN 'silent' WHEN channel = 3 THEN 'lfe' ELSE 'normal' END AS status,
@@ -361,8 +368,10 @@ def format_info(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- trimming -------------------------------------------------------------------------------------------------------
 
-_TRIM = f"""WITH {EVENTS}, f AS (SELECT track_id, frame_idx, max(abs(sample)) AS amplitude FROM s GROUP BY ALL),
-    g AS (SELECT *, (amplitude < pow(10, {TRIM_DB} / 20))::INT AS silent FROM f),
+
+def _trim(samples: str, level: float) -> str:
+    return f"""WITH {samples}, f AS (SELECT track_id, frame_idx, max(abs(sample)) AS amplitude FROM s GROUP BY ALL),
+    g AS (SELECT *, (amplitude < pow(10, {level} / 20))::INT AS silent FROM f),
     h AS (SELECT *, CASE WHEN lag(silent) OVER (PARTITION BY track_id ORDER BY frame_idx) = silent THEN 0 ELSE 1 END AS new FROM g),
     i AS (SELECT *, sum(new) OVER (PARTITION BY track_id ORDER BY frame_idx) AS run FROM h),
     r AS (SELECT track_id, run, max(silent) AS silent, min(frame_idx) AS first_frame, count(*) AS length FROM i GROUP BY ALL),
@@ -374,6 +383,9 @@ _TRIM = f"""WITH {EVENTS}, f AS (SELECT track_id, frame_idx, max(abs(sample)) AS
         coalesce(run > held_from AND ends_silent, false) AS drop_all FROM r3)"""
 
 
+_TRIM = _trim(EVENTS, TRIM_DB)
+
+
 def _trim_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = channels.frame_amplitude(adapters.samples_of_events(spark, sf_dir))
     return trim.trimmed_runs(trim.silent_runs(frames, TRIM_DB), MIN_RUN, HYSTERESIS)
@@ -384,9 +396,11 @@ def frame_amplitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return channels.frame_amplitude(adapters.samples_of_events(spark, sf_dir)).withColumn("amplitude", F.round("amplitude", 6))
 
 
-@query(f"{_TRIM} SELECT track_id, sum(drop_first)::BIGINT AS leading_frames, sum(CASE WHEN drop_all THEN length ELSE 0 END)::BIGINT AS trailing_frames, sum(length)::BIGINT AS total_frames FROM t GROUP BY ALL")
+@query(f"""{_TRIM} SELECT track_id, sum(drop_first)::BIGINT AS leading_frames, sum(CASE WHEN drop_all THEN length ELSE 0 END)::BIGINT AS trailing_frames, sum(length)::BIGINT AS total_frames,
+    round(sum(drop_first) / 100, 6) AS leading_seconds, round(sum(CASE WHEN drop_all THEN length ELSE 0 END) / 100, 6) AS trailing_seconds, round(sum(CASE WHEN drop_all THEN length ELSE drop_first END) / 100, 6) AS trimmed_seconds FROM t GROUP BY ALL""")
 def edge_trim_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trim.trim_report(_trim_runs(spark, sf_dir))
+    found = trim.trim_durations(trim.trim_report(_trim_runs(spark, sf_dir)), RATE)
+    return found.select("track_id", "leading_frames", "trailing_frames", "total_frames", *rounded("leading_seconds", "trailing_seconds", "trimmed_seconds"))
 
 
 @query(f"""{_TRIM}, kept AS (SELECT s.track_id, s.channel, s.frame_idx, s.sample FROM s JOIN t ON s.track_id = t.track_id AND s.frame_idx >= t.first_frame + t.drop_first AND s.frame_idx < t.first_frame + t.length AND NOT drop_all)
@@ -508,12 +522,13 @@ def path_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH k AS (SELECT o_orderkey, o_orderkey * 9973 % 50000000 AS hz, ['teac', 'studio', 'off', 'TEAC'][o_orderkey % 4 + 1] AS mode FROM orders),
     m AS (SELECT *, round(hz / 44100.0::DOUBLE)::INT AS mul FROM k),
     t AS (SELECT *, CASE WHEN mul <= 96 THEN 64 WHEN mul <= 192 THEN 128 WHEN mul <= 384 THEN 256 WHEN mul <= 768 THEN 512 ELSE 1024 END AS tier FROM m)
-    SELECT o_orderkey, tier, CASE WHEN lower(mode) = 'off' THEN NULL WHEN lower(mode) = 'teac' THEN round(least(39000.0 * tier / 64, 0.45 * 352800)::DOUBLE, 3) ELSE 20000.0::DOUBLE END AS cutoff FROM t""")
+    SELECT o_orderkey, tier, CASE WHEN lower(mode) = 'off' THEN NULL WHEN lower(mode) = 'teac' THEN round(least(39000.0 * tier / 64, 0.45 * 352800)::DOUBLE, 3) ELSE 20000.0::DOUBLE END AS cutoff,
+    concat_ws(',', CASE lower(mode) WHEN 'off' THEN NULL WHEN 'teac' THEN 'lowpass=f=' || least(39000 * tier // 64, 158760) ELSE 'lowpass=f=20000' END, CASE WHEN o_orderkey % 5 > 0 THEN 'volume=' || (o_orderkey % 5) || 'dB' END) AS filters FROM t""")
 def dsd_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     tier = describe.dsd_tier(key * 9973 % 50_000_000)
     mode = F.get(F.array(*map(F.lit, ["teac", "studio", "off", "TEAC"])), (key % 4).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", tier.alias("tier"), F.round(describe.dsd_cutoff_hz(mode, tier, F.lit(352800)), 3).alias("cutoff"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", tier.alias("tier"), F.round(describe.dsd_cutoff_hz(mode, tier, F.lit(352800)), 3).alias("cutoff"), describe.dsd_filters(mode, tier, gain_db=key % 5).alias("filters"))
 
 
 @query("""WITH k AS (SELECT o_orderkey, o_orderkey * o_orderkey * 37 % 2000000000 AS b FROM orders), f AS (SELECT *, trunc(b * 8.0::DOUBLE / CASE WHEN b < 1000000 THEN 128000 WHEN b < 10000000 THEN 256000 ELSE 320000 END * 48000)::BIGINT AS n FROM k)
@@ -525,12 +540,18 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ERRORS = ["InvalidInput", "IoError", "FormatError", "DecodingError", "CalculationError", "OutOfMemory", "ResourceError"]
+_HINTS = [
+    "check the options and the input; --help lists what is accepted", "check that the file exists and can be read",
+    "use a file in a supported format (WAV, FLAC, AIFF, ALAC, M4A, MP4, MP3, MP1, AAC, OGG, OPUS, AC3, EC3, EAC3, DTS, DSF, DFF, MKV, WEBM)",
+    "the file may be damaged, or its codec needs a registered decoder", "check that the file holds valid samples",
+    "give the executors more memory or fewer cores each", "check the resources of the machine or lower the parallelism, then retry",
+]
 
 
-@query(f"SELECT o_orderkey, {_ERRORS}[o_orderkey % 7 + 1] AS kind, ['Other', 'Io', 'Format', 'Decoding', 'Calculation', 'Calculation', 'Other'][o_orderkey % 7 + 1] AS category, [2, 1, 2, 3, 4, 4, 5][o_orderkey % 7 + 1]::INT AS exit_code FROM orders")
+@query(f"SELECT o_orderkey, {_ERRORS}[o_orderkey % 7 + 1] AS kind, ['Other', 'Io', 'Format', 'Decoding', 'Calculation', 'Calculation', 'Other'][o_orderkey % 7 + 1] AS category, [2, 1, 2, 3, 4, 4, 5][o_orderkey % 7 + 1]::INT AS exit_code, {_HINTS}[o_orderkey % 7 + 1] AS hint FROM orders")
 def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.get(F.array(*map(F.lit, _ERRORS)), (F.col("o_orderkey") % 7).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), describe.error_category(kind).alias("category"), describe.exit_code(kind).alias("exit_code"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), describe.error_category(kind).alias("category"), describe.exit_code(kind).alias("exit_code"), describe.error_hint(kind).alias("hint"))
 
 
 # ---- packets, batches, benchmarks -----------------------------------------------------------------------------------
@@ -669,3 +690,139 @@ def probe_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.struct(F.lit("eac3").alias("format_name"), F.when(key % 7 == 0, "n/a").otherwise((key % 1000 / 8).cast("string")).alias("duration"))
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.array(stream).alias("streams"), whole.alias("format"))).alias("probe"))
     return layouts.of_probe_json(rows).drop("probe")
+
+
+# ---- compact reports, files and streams -----------------------------------------------------------------------------
+
+_NAME = "CASE channel WHEN 0 THEN 'Left' ELSE 'Right' END"
+_DB = "printf('%.2f', 20 * log10({0})) || ' dB'".format
+_DIAGNOSTICS = f"""'| Channel | RMS (20 %) | Peak (taken) | Primary | Secondary |' || chr(10) || '| --- | --- | --- | --- | --- |' || chr(10)
+    || string_agg('| ' || {_NAME} || ' | ' || {_DB("rms")} || ' | ' || {_DB("peak")} || ' | ' || {_DB("primary_peak")} || ' | ' || {_DB("secondary_peak")} || ' |', chr(10) ORDER BY channel)"""
+
+
+@query(f"{_windows(EMBEDDINGS)} SELECT track_id, {_DIAGNOSTICS} AS \"table\" FROM dr GROUP BY track_id")
+def diagnostics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.diagnostics_tables(tracks.with_exclusions(channels.channel_dr(adapters.samples_of_embeddings(spark, sf_dir), RATE)))
+
+
+def _formats(found: DataFrame) -> DataFrame:
+    return found.groupBy("track_id").agg(F.lit(RATE).alias("sample_rate"), F.max("sample_count").alias("sample_count"), F.count("*").alias("channels"), F.lit("WAV/PCM").alias("codec"))
+
+
+@query(f"""{_windows(EMBEDDINGS)}, {_tracks(False)}, p AS (SELECT track_id, '| Channel | DR | Peak |' || chr(10) || '| --- | --- | --- |' || chr(10)
+    || string_agg('| ' || {_NAME} || ' | ' || printf('%.2f', dr_value) || ' dB | ' || {_DB("peak")} || ' |', chr(10) ORDER BY channel) AS levels, {_DIAGNOSTICS} AS diagnostics, max(sample_count) // {RATE} AS sec, count(*) AS n FROM dr GROUP BY track_id)
+    SELECT track_id, concat_ws(chr(10) || chr(10), 'crestline 0.1.0 | DR' || official_dr || ' (' || printf('%.2f', precise_dr) || ' dB)' || chr(10) || track_id || ' | '
+    || CASE WHEN sec >= 3600 THEN printf('%d:%02d:%02d', sec // 3600, sec % 3600 // 60, sec % 60) ELSE printf('%d:%02d', sec // 60, sec % 60) END || ' | {RATE} Hz | ' || n || 'ch | WAV/PCM', levels, diagnostics, '[!] ' || {_WARNING}) AS report FROM p JOIN t USING (track_id)""")
+def compact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tracks.with_exclusions(channels.channel_dr(adapters.samples_of_embeddings(spark, sf_dir), RATE))
+    return report.compact_reports(found, tracks.track_dr(found), _formats(found), diagnostics=True)
+
+
+@query(f"""{_trim(EVENTS, TRIM_DB)}, c AS (SELECT track_id, sum(CASE WHEN drop_all THEN length ELSE drop_first END)::BIGINT AS cut FROM t GROUP BY ALL),
+    {_windows(EVENTS).removeprefix(f"WITH {EVENTS},")}, q AS (SELECT track_id, count(*) FILTER (20 * log10(greatest(rms, 1e-12)) < {SILENCE_DB}) AS gone, count(*) AS n FROM w GROUP BY ALL)
+    SELECT track_id, concat_ws(chr(10), printf('Edge trimming: %d.%d s removed', (cut + 5) // 10 // 10, (cut + 5) // 10 % 10),
+    CASE WHEN n > 0 THEN printf('Silence filter: %d/%d windows (%.1f %%)', gone, n, round(100.0::DOUBLE * gone / n, 1)) END) AS notes FROM c LEFT JOIN q USING (track_id)""")
+def run_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = adapters.samples_of_events(spark, sf_dir)
+    formats = samples.select("track_id", F.lit(RATE).alias("sample_rate")).distinct()
+    return report.run_notes(formats, trim.trim_report(_trim_runs(spark, sf_dir)), windows.silence_report(windows.windows(samples, RATE), SILENCE_DB))
+
+
+@query(f"{_PRECISE} SELECT event_id, {_WARNING} AS warning FROM (SELECT *, {_risk('official_dr', 'precise_dr')} FROM e)")
+def boundary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _precise(spark, sf_dir)
+    return rows.select(F.col("track_id").cast("long").alias("event_id"), levels.boundary_warning(F.col("official_dr"), F.col("precise_dr")).alias("warning"))
+
+
+@query("""SELECT o_orderkey, ['S8', 'U8', 'S16', 'U16', 'S24', 'U24', 'S32', 'U32', 'F32', 'F64', 'ADPCM'][o_orderkey % 11 + 1] AS format, [8, 8, 16, 16, 24, 24, 32, 32, 32, 64, NULL][o_orderkey % 11 + 1]::INT AS bits,
+    CASE WHEN o_orderkey % 11 < 10 THEN o_orderkey % 11 >= 8 END AS floating, CASE WHEN o_orderkey % 11 < 10 THEN o_orderkey % 11 >= 8 OR o_orderkey % 11 % 2 = 0 END AS signed FROM orders""")
+def sample_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [*(name for name, *_ in pcm.FORMATS), "ADPCM"]
+    name = F.get(F.array(*map(F.lit, names)), (F.col("o_orderkey") % len(names)).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("format"), pcm.format_properties(name).alias("p")).select("o_orderkey", "format", "p.*")
+
+
+@query("""SELECT o_orderstatus, count(*) AS files, CASE WHEN bool_or(o_orderkey % 500 IN (7, 8)) THEN 'One-bit files are converted to 352800 Hz' END AS dsd_note FROM orders GROUP BY ALL""")
+def batch_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch per order status."""
+    key = F.col("o_orderkey") % 500
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", F.concat(F.lit("a."), F.when(key == 7, "DSF").when(key == 8, "dff").otherwise("wav")).alias("file_name"))
+    out = [report.batch_header(rows.where(F.col("o_orderstatus") == s)).select(F.lit(s).alias("o_orderstatus"), "files", "dsd_note") for s in ("F", "O", "P")]
+    return reduce(DataFrame.unionByName, out).where("files > 0")
+
+
+def _wav_bytes(rows: pd.DataFrame) -> pd.DataFrame:
+    """A WAV file of 16 bits from a track's (channel, frame_idx, code)."""
+    codes = rows.sort_values(["frame_idx", "channel"])["code"].to_numpy().astype("<i2").tobytes()
+    width = 2 * rows["channel"].nunique()
+    form = struct.pack("<HHIIHH", 1, width // 2, RATE, RATE * width, width, 16)
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(codes)) + codes
+    return pd.DataFrame({"path": [rows["track_id"].iloc[0] + ".wav"], "content": [b"RIFF" + struct.pack("<I", len(body)) + body]})
+
+
+_CODED = """s AS (SELECT label::VARCHAR AS track_id, (k % 4)::INT AS channel, k // 4 AS frame_idx, trunc(least(greatest(x, -1), 1) * 32767) / 32768 AS sample
+    FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, pos) - 1 AS k, x::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)))"""
+
+
+@query(f"{_windows(_CODED)} SELECT track_id || '.wav' AS path, channel, win, n, {_R('rms')}, {_R('peak')} FROM raw_levels".replace("whole AS (", "raw_levels AS (SELECT *, sqrt(2 * sum_sq / n) AS rms FROM raw), whole AS ("))
+def wav_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks written as WAV files of four channels and 16 bits, and the windows that the decoder makes of the files."""
+    packed = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
+    cut = F.greatest(F.least(F.col("sample"), F.lit(1.0)), F.lit(-1.0)) * 32767
+    codes = channels.deinterleave(packed, 4).withColumn("code", cut.cast("int"))
+    found = wav.window_files(codes.groupBy("track_id").applyInPandas(_wav_bytes, "path string, content binary"))
+    return found.withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n"))).select("path", "channel", "win", "n", *rounded("rms", "peak"))
+
+
+@query(f"""WITH {_CODED} SELECT track_id || '.wav' AS path, {RATE}::INT AS sample_rate, 4::INT AS channels, 16::INT AS bits_per_sample, max(frame_idx) + 1 AS sample_count, max(frame_idx) + 1 AS actual_frames, 'WAV/PCM' AS codec FROM s GROUP BY track_id""")
+def wav_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a probe tells of the same files."""
+    packed = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
+    codes = channels.deinterleave(packed, 4).withColumn("code", (F.col("sample") * 32767).cast("int"))
+    found = wav.probe_files(codes.groupBy("track_id").applyInPandas(_wav_bytes, "path string, content binary"))
+    return found.select("path", "sample_rate", "channels", "bits_per_sample", "sample_count", "actual_frames", "codec")
+
+
+def _streamed(packets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Writes packets as two files, streams them, one a batch, and reads what the stream wrote; numbers arrive out of order."""
+    spark = packets.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="crestline-")
+    place = f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for half in (1, 0):
+        packets.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+    running = make(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.parquet(f"{place}/out")
+
+
+def _stream_packets(rows: DataFrame, *by: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    track = Window.partitionBy(*by)
+    numbered = rows.withColumn("seq", (F.row_number().over(track.orderBy("vec_id")) - 1).cast("long"))
+    return numbered.withColumn("last", F.col("seq") == F.max("seq").over(track)).select("track_id", "channel", "seq", F.col("embedding").alias("samples"), "last")
+
+
+@query(f"{_windows(EMBEDDINGS)} SELECT track_id, channel, win, n, {_R('rms')}, {_R('peak')} FROM w")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("track_id", F.col("label").cast("string")).withColumn("channel", F.pmod("vec_id", F.lit(2)).cast("int"))
+    found = _streamed(_stream_packets(rows, "track_id", "channel"), lambda f: signals.stream_windows(f, RATE))
+    return found.select("track_id", "channel", "win", "n", *rounded("rms", "peak"))
+
+
+_STEREO = """s AS (SELECT label::VARCHAR AS track_id, (k % 2)::INT AS channel, k // 2 AS frame_idx, x AS sample
+    FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, pos) - 1 AS k, x::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)))"""
+
+
+@query(f"""{_trim(_STEREO, STREAM_TRIM_DB)}, kept AS (SELECT s.track_id, s.channel, s.frame_idx, s.sample FROM s JOIN t ON s.track_id = t.track_id AND s.frame_idx >= t.first_frame + t.drop_first AND s.frame_idx < t.first_frame + t.length AND NOT drop_all)
+    SELECT track_id, channel, dense_rank() OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS frame_idx, round(sample, 6) + 0.0 AS sample FROM kept""")
+def streamed_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interleaved stereo packets, trimmed as they arrive."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("track_id", F.col("label").cast("string")).withColumn("channel", F.lit(0))
+    found = _streamed(_stream_packets(rows, "track_id"), lambda f: signals.stream_trimmed(f, 10 ** (STREAM_TRIM_DB / 20), MIN_RUN, HYSTERESIS, channels=2))
+    return found.withColumn("sample", F.col("sample").cast("double")).select("track_id", "channel", "frame_idx", *rounded("sample"))

@@ -6,8 +6,11 @@ registered by the user (a library or an external program), else their files get
 
 from __future__ import annotations
 
+import contextlib
+import json
 import shutil
 import subprocess
+import threading
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -15,10 +18,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.constants import EXTENSIONS, STATEFUL
+from crestline.constants import EXTENSIONS, MAX_CHANNELS, STATEFUL
 from crestline.functions import describe
 
 
+#: Bytes of a program's output taken at once.
+PIECE_BYTES = 1 << 20
+
+
 class AudioError(Exception):
     """kind is one of the kinds of constants.ERRORS."""
 
@@ -61,22 +68,67 @@ def decodes_alone(extension: str) -> bool:
     return extension.lower() in STATEFUL
 
 
-def process_decoder(command: list[str], sample_rate: int, channels: int) -> Decoder:
-    """A decoder that pipes a file through a program that writes 32-bit floats, e.g. for codecs without a library."""
+def probed(command: list[str], data: bytes) -> dict:
+    """What a program that reads a file from its input tells as JSON of the first stream with a sample rate."""
+    done = subprocess.run(command, input=data, capture_output=True, check=False)
+    if done.returncode:
+        raise AudioError("FormatError", done.stderr.decode(errors="replace")[-200:])
+    try:
+        return next(s for s in json.loads(done.stdout)["streams"] if int(s.get("sample_rate") or 0) > 0)
+    except (ValueError, KeyError, StopIteration) as e:
+        raise AudioError("FormatError", "the probe tells no stream with a sample rate") from e
+
+
+def process_decoder(command: list[str], sample_rate: int | None = None, channels: int | None = None, probe: list[str] | None = None) -> Decoder:
+    """A decoder that pipes a file through a program that writes 32-bit floats, e.g. for codecs without a library. Rate and
+    channels are given, or told by a probe program. Output is taken block by block, never held whole; the length is known
+    once it has ended."""
+    if probe is None and (sample_rate is None or channels is None):
+        raise ValueError("give sample_rate and channels, or a probe")
 
     def decode(data: bytes, extension: str) -> tuple[AudioFormat, Iterator[np.ndarray]]:
-        if shutil.which(command[0]) is None:
-            raise AudioError("ResourceError", f"{command[0]} is not installed")
-        done = subprocess.run(command, input=data, capture_output=True, check=False)
-        if done.returncode:
-            raise AudioError("DecodingError", done.stderr.decode(errors="replace")[-200:])
-        flat = np.frombuffer(done.stdout, "<f4")
-        frames = flat[: len(flat) // channels * channels].reshape(-1, channels)
-        return AudioFormat(sample_rate, channels, 32, len(frames), extension.upper()), iter([frames])
+        for program in (command, probe or command):
+            if shutil.which(program[0]) is None:
+                raise AudioError("ResourceError", f"{program[0]} is not installed")
+        told = probed(probe, data) if probe else {}
+        width = channels or int(told.get("channels") or 0)
+        if not 1 <= width <= MAX_CHANNELS:
+            raise AudioError("FormatError", f"{width} channels")
+        found = AudioFormat(sample_rate or int(told["sample_rate"]), width, 32, 0, str(told.get("codec_name") or extension).upper())
+        return found, _piped(command, data, found)
 
     return decode
 
 
+def _piped(command: list[str], data: bytes, found: AudioFormat) -> Iterator[np.ndarray]:
+    """Blocks of a program's output; counts the frames into found. The file is fed and errors are read by threads."""
+    with subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE) as running:
+        errors: list[bytes] = []
+
+        def feed() -> None:
+            with contextlib.suppress(BrokenPipeError), running.stdin:
+                running.stdin.write(data)
+
+        threads = [threading.Thread(target=feed, daemon=True), threading.Thread(target=lambda: errors.append(running.stderr.read()), daemon=True)]
+        for thread in threads:
+            thread.start()
+        width, rest = 4 * found.channels, b""
+        try:
+            while piece := running.stdout.read(PIECE_BYTES):
+                rest += piece
+                whole = len(rest) // width * width
+                found.sample_count += whole // width
+                yield np.frombuffer(rest[:whole], "<f4").reshape(-1, found.channels)
+                rest = rest[whole:]
+        except GeneratorExit:
+            running.kill()
+            raise
+        for thread in threads:
+            thread.join()
+        if running.wait():
+            raise AudioError("DecodingError", b"".join(errors).decode(errors="replace")[-200:])
+
+
 def scan(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """path, file_name, length of the audio files of a directory, in order of their paths; no contents are read. Fails for
     a directory that does not exist."""

@@ -70,41 +70,47 @@ class Windows:
 
 
 class Trimmer:
-    """Edge trimming frame by frame: leading, passing, holding."""
+    """Edge trimming of frames (rows of an array, a column per channel): leading, passing, holding. A frame is as loud as its
+    loudest channel. Works run by run of equal frames; one is never looked at twice."""
 
     def __init__(self, level: float, min_run: int, hysteresis: int):
         self.level, self.min_run, self.hysteresis = level, min_run, hysteresis
         self.phase, self.heard, self.streak, self.held = "leading", 0, 0, []
 
-    def add(self, samples: np.ndarray) -> list[float]:
-        out: list[float] = []
-        for x in samples.tolist():
-            quiet = abs(x) < self.level
-            if self.phase == "leading":
-                if quiet:
-                    self.held.append(x)
-                    if len(self.held) == self.min_run:
-                        self.held = []
-                else:
-                    out += [*self.held, x]
-                    self.held = []
-                    self.heard += 1
-                    if self.heard >= self.hysteresis:
-                        self.phase = "passing"
-            elif self.phase == "passing":
-                if quiet:
-                    self.phase, self.held, self.streak, self.heard = "holding", [x], 1, 0
-                else:
-                    out.append(x)
-            else:
-                self.held.append(x)
-                self.streak, self.heard = (self.streak + 1, 0) if quiet else (0, self.heard + 1)
-                if self.heard >= self.hysteresis:
-                    out += self.held
-                    self.phase, self.held = "passing", []
+    def _released(self, run: np.ndarray) -> list[np.ndarray]:
+        out, self.held = [*self.held, run], []
         return out
 
-    def finish(self) -> list[float]:
+    def _run(self, run: np.ndarray, quiet: bool) -> list[np.ndarray]:
+        if self.phase == "leading":
+            if quiet:
+                waiting = np.concatenate([*self.held, run])
+                self.held = [waiting[len(waiting) // self.min_run * self.min_run :]]
+                return []
+            self.heard += len(run)
+            if self.heard >= self.hysteresis:
+                self.phase = "passing"
+            return self._released(run)
+        if self.phase == "passing":
+            if not quiet:
+                return [run]
+            self.phase, self.held, self.streak, self.heard = "holding", [run], len(run), 0
+            return []
+        self.streak, self.heard = (self.streak + len(run), 0) if quiet else (0, self.heard + len(run))
+        if self.heard >= self.hysteresis:
+            self.phase = "passing"
+            return self._released(run)
+        self.held.append(run)
+        return []
+
+    def add(self, frames: np.ndarray) -> list[np.ndarray]:
+        if not len(frames):
+            return []
+        quiet = np.abs(frames).max(axis=1).astype(np.float64) < self.level
+        starts = [0, *(np.flatnonzero(quiet[1:] != quiet[:-1]) + 1).tolist()]
+        return [part for a, b in zip(starts, [*starts[1:], len(frames)], strict=True) for part in self._run(frames[a:b], bool(quiet[a]))]
+
+    def finish(self) -> list[np.ndarray]:
         return [] if self.phase == "holding" and self.streak >= self.min_run else self.held
 
 
@@ -156,16 +162,25 @@ def stream_ordered(packets: DataFrame) -> DataFrame:
     return _stateful(packets, lambda: None, step, ORDERED)
 
 
-def stream_trimmed(packets: DataFrame, level: float, min_run: int, hysteresis: int) -> DataFrame:
-    """Samples of single-channel tracks without long silences at the edges, frames numbered anew."""
+def stream_trimmed(packets: DataFrame, level: float, min_run: int, hysteresis: int, channels: int = 1) -> DataFrame:
+    """Samples of tracks without long silences at the edges, frames numbered anew.
+
+    With channels > 1 the samples of a packet are interleaved (packets may be cut within a frame) and all packets of a track
+    carry one channel number, from which those of the result count up; a ragged last frame is left out.
+    """
 
     def step(key, found, order, own):  # noqa: ANN001, ANN202
-        trimmer, count = own
-        samples = [x for _, part in found for x in trimmer.add(part)]
+        flat = np.concatenate([own["rest"], *(part for _, part in found)])
+        whole = len(flat) // channels * channels
+        own["rest"] = flat[whole:].copy()
+        parts = own["trimmer"].add(flat[:whole].reshape(-1, channels))
         if order.done:
-            samples += trimmer.finish()
-        if samples:
-            yield pd.DataFrame({"track_id": key[0], "channel": np.int32(key[1]), "frame_idx": np.arange(count[0], count[0] + len(samples)), "sample": np.array(samples, np.float32)})
-            count[0] += len(samples)
-
-    return _stateful(packets, lambda: (Trimmer(level, min_run, hysteresis), [0]), step, TRIMMED)
+            parts += own["trimmer"].finish()
+        kept = sum(map(len, parts))
+        if kept:
+            frames = np.repeat(np.arange(own["count"], own["count"] + kept), channels)
+            channel = np.tile(np.arange(key[1], key[1] + channels, dtype=np.int32), kept)
+            own["count"] += kept
+            yield pd.DataFrame({"track_id": key[0], "channel": channel, "frame_idx": frames, "sample": np.concatenate(parts).reshape(-1).astype(np.float32)})
+
+    return _stateful(packets, lambda: {"trimmer": Trimmer(level, min_run, hysteresis), "count": 0, "rest": np.zeros(0, np.float32)}, step, TRIMMED)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import Row
@@ -261,3 +262,66 @@ def test_deinterleave_and_plugged_function(spark):
     assert {r["channel"]: r["mean"] for r in mean.collect()} == {0: 3.0, 1: 3.0}
     accumulated = channels.accumulate(channels.deinterleave(rows, 2)).where("channel = 0").first()
     assert (accumulated["primary_peak"], accumulated["secondary_peak"]) == (5.0, 3.0)
+
+
+def test_compact_report_of_many_channels(spark):
+    rows = [("/m/x.flac", c, 10.0 + c, 0.1 * (c != 3), 0.5 * (c != 3), 0.5, 0.4, 4410, c == 3, c == 2) for c in range(4)]
+    found = spark.createDataFrame(rows, "track_id string, channel int, dr_value double, rms double, peak double, primary_peak double, secondary_peak double, sample_count long, is_silent boolean, is_lfe boolean")
+    whole = tracks.track_dr(found)
+    formats = spark.createDataFrame([("/m/x.flac", 44100, 44100 * 3725, 4, None)], "track_id string, sample_rate int, sample_count long, channels int, codec string")
+    trims = spark.createDataFrame([("/m/x.flac", 441, 44100)], "track_id string, leading_frames long, trailing_frames long")
+    quiet = spark.createDataFrame([("/m/x.flac", c, 1, 4) for c in range(2)], "track_id string, channel int, filtered_windows long, total_windows long")
+    text = report.compact_reports(found, whole, formats, diagnostics=True, notes=report.run_notes(formats, trims, quiet)).first()["report"]
+    blocks = text.split("\n\n")
+    assert blocks[0] == "crestline 0.1.0 | DR11 (11.00 dB)\nx.flac | 1:02:05 | 44100 Hz | 4ch | FLAC"
+    assert blocks[1].split("\n")[0] == "| Channel | DR | Peak | Note |" and blocks[1].split("\n")[4] == "| Ch 3 | 12.00 dB | -6.02 dB | LFE |"
+    assert blocks[2].split("\n")[5].startswith("| Ch 4 [Silent] | ")
+    assert blocks[3] == "Edge trimming: 1.0 s removed\nSilence filter: 2/8 windows (25.0 %)" and len(blocks) == 4
+    plain = report.run_notes(formats).first()["notes"]
+    none = report.compact_reports(found, whole.withColumn("official_dr", F.lit(None).cast("int")).withColumn("precise_dr", F.lit(None).cast("double")), formats).first()["report"]
+    assert plain == "" and "DR0 (0.00 dB)" in none and len(none.split("\n\n")) == 2
+
+
+def test_accumulate_takes_the_two_largest(spark, monkeypatch):
+    monkeypatch.setattr(channels, "BLOCK", 3)
+    signals = {("a", 0): [0.1, -0.9, 0.9, 0.2, 0.3], ("a", 1): [0.5], ("b", 0): [0.1, 0.2, 0.3, -0.8, 0.7, 0.1], ("c", 0): [0.0] * 7}
+    got = {(r["track_id"], r["channel"]): (r["n"], r["primary_peak"], r["secondary_peak"]) for r in channels.accumulate(samples(spark, signals)).collect()}
+    assert got == {("a", 0): (5, 0.9, 0.9), ("a", 1): (1, 0.5, 0.0), ("b", 0): (6, 0.8, 0.7), ("c", 0): (7, 0.0, 0.0)}
+
+
+def test_emission_in_order(spark):
+    rows = spark.range(100).select((F.col("id") * 37 % 100).cast("int").alias("idx")).repartition(7)
+    got = list(batches.emitted(rows))
+    assert [r["idx"] for _, _, r in got] == list(range(100)) and got[24][:2] == (25, 0.25) and got[-1][1] == 1.0
+    assert list(batches.emitted(rows.where("false"))) == []
+
+
+def test_cancel(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def slow():
+        with batches.cancellable(spark, "slow-batch"):
+            return spark.range(0, 1 << 34, 1, 8).where(F.sin(F.col("id")) > 2).count()
+
+    with ThreadPoolExecutor(1) as pool:
+        running = pool.submit(slow)
+        for _ in range(200):
+            batches.cancel(spark, "slow-batch")
+            if running.done():
+                break
+            time.sleep(0.1)
+        with pytest.raises(Exception, match="(?i)cancel"):
+            running.result(timeout=1)
+    assert spark.range(5).count() == 5
+
+
+def test_hints_and_filters(spark):
+    assert scalar(spark, describe.error_hint(F.lit("OutOfMemory"))).startswith("give the executors")
+    assert "AIFF" in scalar(spark, describe.error_hint(F.lit("FormatError"))) and scalar(spark, describe.error_hint(F.lit(None).cast("string"))) is None
+    assert scalar(spark, describe.error_hint(F.lit("unknown"))) == "check the input and the options"
+    filters = lambda mode, tier, gain: scalar(spark, describe.dsd_filters(F.lit(mode), F.lit(tier), gain_db=gain))
+    assert filters("teac", 64, None) == "lowpass=f=39000,volume=6dB" and filters("teac", 1024, F.lit(0)) == "lowpass=f=158760"
+    assert filters("off", 64, F.lit(-2.5)) == "volume=-2.5dB" and filters("off", 64, F.lit(0)) == ""
+    rows = spark.createDataFrame([("a.DFF",), ("b.wav",)], "file_name string")
+    assert tuple(report.batch_header(rows, 88200).first()) == (2, "One-bit files are converted to 88200 Hz")
+    assert tuple(report.batch_header(rows.where("false")).first()) == (0, None)

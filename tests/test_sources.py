@@ -2,6 +2,7 @@
 
 import math
 import struct
+import sys
 import wave
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from crestline import cli
 from crestline.operators import channels, tracks, trim, windows
 from crestline.sources import registry, wav
+from crestline.sources.aiff import decode_aiff
 from crestline.streaming import signals
 
 
@@ -160,6 +162,68 @@ def test_registered_decoder(spark, tmp_path):
     assert wav.probe_files(wav.contents(spark, str(tmp_path))).first()["error"]
 
 
+def aiff(frames, bits=16, kind=None, rate=44100, order=">"):
+    """AIFF, or AIFF-C if a compression type is named."""
+    frames = np.asarray(frames)
+    if kind in (b"fl32", b"fl64"):
+        raw = frames.astype(f">f{bits // 8}").tobytes()
+    else:
+        raw = b"".join(int(x).to_bytes(bits // 8, "big" if order == ">" else "little", signed=True) for x in frames.reshape(-1))
+    power = 16383 + rate.bit_length() - 1
+    common = struct.pack(">hIhHQ", frames.shape[1], len(frames), bits, power, rate << (64 - rate.bit_length())) + (kind + b"\0\0" if kind else b"")
+    chunks = [b"COMM" + struct.pack(">I", len(common)) + common, b"SSND" + struct.pack(">III", len(raw) + 8, 0, 0) + raw]
+    body = (b"AIFC" if kind else b"AIFF") + b"ANNO" + struct.pack(">I", 3) + b"abc\0" + b"".join(chunks)
+    return b"FORM" + struct.pack(">I", len(body)) + body
+
+
+def test_aiff(spark, tmp_path):
+    ramp = np.column_stack([np.arange(-300, 300) * 100, np.arange(600)])
+    write(tmp_path / "same.wav", ramp)
+    (tmp_path / "same.aiff").write_bytes(aiff(ramp))
+    (tmp_path / "little.AIFF").write_bytes(aiff(ramp, kind=b"sowt", order="<"))
+    (tmp_path / "float.aiff").write_bytes(aiff(ramp / 32768, 32, b"fl32"))
+    (tmp_path / "packed.aiff").write_bytes(aiff(ramp, kind=b"ima4"))
+    (tmp_path / "cut.aiff").write_bytes(aiff(ramp)[:71])
+    meta, found = wav.analyse(spark, str(tmp_path))
+    kinds = {r["path"].rsplit("/", 1)[1]: (r["error_kind"], r["sample_rate"], r["actual_frames"]) for r in meta.collect()}
+    good = (None, 44100, 600)
+    assert kinds == {"same.wav": good, "same.aiff": good, "little.AIFF": good, "float.aiff": good, "packed.aiff": ("DecodingError", None, None), "cut.aiff": ("InvalidInput", None, None)}
+    levels = {}
+    for r in found.collect():
+        levels.setdefault(r["channel"], set()).add((r["rms"], r["peak"], r["dr_value"]))
+    assert [len(levels[c]) for c in (0, 1)] == [1, 1]
+    _, blocks = decode_aiff(aiff([[-128], [127], [64]], 8))
+    assert np.concatenate(list(blocks)).reshape(-1).tolist() == [-1.0, 127 / 128, 0.5]
+    _, blocks = decode_aiff(aiff([[-(2**23)], [2**22]], 24))
+    assert np.concatenate(list(blocks)).reshape(-1).tolist() == [-1.0, 0.5]
+    with pytest.raises(registry.AudioError):
+        decode_aiff(b"FORM\0\0\0\4AIFF")
+
+
+def test_piped_program():
+    """A stand-in program that copies floats; its output is longer than one piece and than a pipe holds."""
+    copy = [sys.executable, "-c", "import sys, shutil; shutil.copyfileobj(sys.stdin.buffer, sys.stdout.buffer)"]
+    tell = [sys.executable, "-c", "import sys; n = len(sys.stdin.buffer.read()); print('{\"streams\": [{\"codec_type\": \"video\"}, {\"sample_rate\": \"48000\", \"channels\": 2, \"codec_name\": \"eac3\"}]}')"]
+    data = np.arange(700_001, dtype="<f4").tobytes()  # one sample over
+    found, blocks = registry.process_decoder(copy, probe=tell)(data, "mp4")
+    got = list(blocks)
+    assert (found.sample_rate, found.channels, found.codec, found.sample_count) == (48000, 2, "EAC3", 350_000)
+    assert len(got) > 1 and np.concatenate(got).reshape(-1).tobytes() == data[:-4]
+    found, blocks = registry.process_decoder(copy, 44100, 1)(data, "mp3")
+    next(blocks)
+    blocks.close()  # a reader that stops early leaves no program behind
+    fails = [sys.executable, "-c", "import sys; sys.stdout.buffer.write(bytes(8)); sys.exit('torn')"]
+    _, blocks = registry.process_decoder(fails, 44100, 2)(data, "mp3")
+    with pytest.raises(registry.AudioError, match="torn"):
+        list(blocks)
+    with pytest.raises(registry.AudioError, match="not installed"):
+        registry.process_decoder(["no-such-program"], 44100, 2)(data, "mp3")
+    with pytest.raises(registry.AudioError, match="no stream"):
+        registry.process_decoder(copy, probe=[sys.executable, "-c", "print('{}')"])(data, "mp3")
+    with pytest.raises(ValueError, match="probe"):
+        registry.process_decoder(copy)
+
+
 def test_command_line(spark, folder, tmp_path, capsys):
     code = cli.main([str(folder), "--output", str(tmp_path / "out.txt"), "--json", str(tmp_path / "json")])
     text = (tmp_path / "out.txt").read_text()
@@ -230,3 +294,24 @@ def test_stream_trim(spark, tmp_path):
     want = sorted(map(tuple, trim.trimmed(signal, runs).select("track_id", "frame_idx", "sample").collect()))
     got = streamed(spark, tmp_path, "stream_trimmed", rows, lambda f: signals.stream_trimmed(f, level, 10, 3))
     assert sorted((r["track_id"], r["frame_idx"], r["sample"]) for r in got) == want
+
+
+@pytest.mark.parametrize("channels_", [1, 3])
+def test_stream_trim_of_frames(spark, tmp_path, channels_):
+    """Interleaved packets, cut anywhere, against the batch operators; one track ends in a ragged frame."""
+    rng = np.random.default_rng(channels_)
+    rows, flat = [], {}
+    for t in ("a", "b", "c"):
+        x = np.where(np.repeat(rng.random(700) < 0.7, channels_), 0.0, rng.normal(0, 0.3, 700 * channels_)).astype(np.float32)
+        x[: 25 * channels_] = x[-33 * channels_ :] = 0
+        flat[t] = x.tolist()
+        ragged = np.concatenate([x, [0.5] * (channels_ - 1)]).astype(np.float32)
+        cuts = [0, *sorted(rng.choice(np.arange(1, len(x)), 9, replace=False).tolist()), len(ragged)]
+        rows += [(t, 0, s, ragged[a:b].tolist(), s == 9) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    signal = spark.createDataFrame([(t, i % channels_, i // channels_, x) for t, xs in flat.items() for i, x in enumerate(xs)], "track_id string, channel int, frame_idx long, sample float")
+    runs = trim.trimmed_runs(trim.silent_runs(channels.frame_amplitude(signal), 20 * math.log10(0.05)), 7, 4)
+    want = sorted(map(tuple, trim.trimmed(signal, runs).select("track_id", "channel", "frame_idx", "sample").collect()))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    got = streamed(spark, tmp_path, f"trimmed_{channels_}", rows, lambda f: signals.stream_trimmed(f, 0.05, 7, 4, channels_))
+    assert sorted((r["track_id"], r["channel"], r["frame_idx"], r["sample"]) for r in got) == want
+    assert 0 < len(want) < 3 * 700 * channels_
