@@ -4,7 +4,7 @@ A source's share follows its weight but stops at REPEATS times what it holds; th
 Documents are dealt over shards; a source of many documents or words spans many shards, a small one lies in a single shard. In
 each shard the seats (blocks of equally many words) go to the sources by highest quotients weight / (2 * seats + 1).
 A source then fills its quota from its own blocks there: whole rounds over all of them, and for the rest a seeded
-choice. The only shuffles carry (doc_id, size) rows, never texts.
+choice. The only shuffles carry ids, sizes and hashes, never texts; a hash of the text deals rows that share id and size over shards.
 
 Defined results: null and empty texts have size 0 and nothing taken; a null source is a source of its own, last in
 order; repeated rows and rows without an id count each for itself; an empty table gives an empty result; columns beyond doc_id, text and
@@ -135,7 +135,7 @@ def _shard_function(seed: int) -> Callable[[pa.Table], pa.Table]:
 
 def mix_sources(docs: DataFrame, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document; see the module's text."""
-    return _mix(docs, seed, F.lit(0)).drop("key")
+    return _mix(docs, seed, F.xxhash64("text")).drop("key")
 
 
 def _mix(docs: DataFrame, seed: int, key: Column) -> DataFrame:
@@ -151,7 +151,7 @@ def _mix(docs: DataFrame, seed: int, key: Column) -> DataFrame:
     shards = max(1, spans or 0)
     numbered = spare.withColumn("source_no", F.xxhash64(F.lit(seed), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))).withColumnRenamed("source", "source_name")
     small = F.broadcast(numbered) if n_sources <= BROADCAST_SOURCES else numbered
-    deal = F.xxhash64(F.lit(seed), "doc_id", "size")
+    deal = F.xxhash64(F.lit(seed), "doc_id", "size", "key")
     dealt = (
         sizes.join(small, F.col("source").eqNullSafe(F.col("source_name")))
         .withColumn("deal", deal)
