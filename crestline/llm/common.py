@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +55,10 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Rows and bytes of a batch handed to Python, for what runs inside: rows that carry whole texts or sets are large."""
     wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
     before = {key: spark.conf.get(key) for key in wanted}
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes  # sizes may carry a unit
     for key, most in wanted.items():
-        spark.conf.set(key, str(min(most, int(before[key].rstrip("b")))))
+        now = in_bytes(before[key])
+        spark.conf.set(key, str(min(most, now) if now > 0 else most))
     try:
         yield
     finally:
@@ -63,6 +66,20 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def pieces(batch: pa.RecordBatch, column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose strings in a column have some `most` bytes together (a single larger one is a slice of its
+    own), for operators that do not settle the session's batch size."""
+    if not batch.num_rows:
+        return
+    values = batch.column(column)
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op7_suffix, op8_ann, op9_packing, op10_setsketch
+from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op7_suffix, op8_ann, op9_packing, op10_setsketch, op11_fim, op12_codes
 from crestline.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -67,14 +67,54 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_setsketch.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_fim.digests(op11_fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op7_suffix_dedup, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates)
+    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op7_suffix_dedup, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates, op11_fill_in_middle, op12_vector_codes)
 }
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 _ROLE = "replace(" + _ESCAPED.format("role") + r", chr(10), '\n')"
 
+
+
+def _code_sql(rounds: int) -> str:
+    """Integer codebooks step by step: parts of four components, nearest of 64 entries, floors of means."""
+    places = range(1, 5)
+    nearest = """{name} AS MATERIALIZED (
+            SELECT vec_id, p.part, min(({distance}) * 64 + entry) AS best FROM parts p JOIN {book} b ON p.part = b.part GROUP BY vec_id, p.part)"""
+    distance = " + ".join(f"(p.v[{j}] - b.v[{j}]) * (p.v[{j}] - b.v[{j}])" for j in places)
+    floor = "((sum(v[{j}]) - ((sum(v[{j}]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT"
+    steps = [nearest.format(name="a0", book="b0", distance=distance)]
+    for k in range(rounds):
+        means = ", ".join(floor.format(j=j) for j in places)
+        steps.append(f"""m{k} AS (SELECT p.part, best % 64 AS entry, [{means}] AS v FROM parts p JOIN a{k} a ON p.vec_id = a.vec_id AND p.part = a.part GROUP BY ALL),
+        b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} m ON b.part = m.part AND b.entry = m.entry)""")
+        steps.append(nearest.format(name=f"a{k + 1}", book=f"b{k + 1}", distance=distance))
+    last = rounds
+    return f"""
+        WITH given AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS i FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        parts AS MATERIALIZED (SELECT vec_id, part, i[part * 4 + 1:part * 4 + 4] AS v FROM given, range(16) r(part)),
+        firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM given ORDER BY vec_id LIMIT 64),
+        b0 AS MATERIALIZED (SELECT part, entry, v FROM parts JOIN firsts USING (vec_id)),
+        {", ".join(steps)},
+        coded AS (
+            SELECT vec_id, string_agg(printf('%02x', (best % 64)::INT), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error
+            FROM a{last} GROUP BY vec_id)
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+            (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{last}) AS codebooks_sha256
+        FROM coded JOIN given USING (vec_id)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_chat_format": f"""
         WITH turns AS (
@@ -86,4 +126,21 @@ ORACLES: dict[str, str] = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             sum(length('<|im_start|>') + length({_ROLE}) + 1 + length({_ESCAPED.format("text")}) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
         FROM turns GROUP BY conv_id""",
+    "op11_fill_in_middle": """
+        WITH given AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        cut AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[^\\n]*\\n|[^\\n]+') AS u, len(u) AS n,
+                [('0x' || substr(h, 8 * k + 1, 8))::BIGINT FOR k IN range(4)] AS x,
+                least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+                CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR x[3] % 100 >= 100 THEN 'plain'
+                    WHEN x[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM given),
+        parts AS (
+            SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM cut)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+            CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+            sha256(t) AS restored_sha256
+        FROM parts""",
+    "op12_vector_codes": _code_sql(rounds=2),
 }
