@@ -14,7 +14,7 @@ the tasks; nothing else does.
 Defined results: rows whose vector is null, or holds null or non-finite components, are dropped, as are vectors of another
 length than the commonest (ties: the longest); a length that PARTS does not divide is filled up with zeros; integers
 beyond 2**27 either way are held there, so that sums of squares fit 64 bits; null ids sort last among the first entries,
-equal ids by their vectors; repeated rows are rows of their own; an empty table gives none; extra columns are ignored.
+equal ids by the bytes of their integers; repeated rows are rows of their own; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations

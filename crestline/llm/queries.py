@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op7_suffix, op8_ann, op9_packing, op10_setsketch, op11_fim, op12_codes
+from crestline.llm import op1_mixing, op2_chat, op3_sharding, op4_pii, op5_langid, op6_fingerprint, op7_suffix, op8_ann, op9_packing, op10_setsketch, op11_fim, op12_codes, op13_rules
 from crestline.llm.common import table
 
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -75,9 +75,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_codes.compress(table(spark, sf_dir, "embeddings"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return op13_rules.score(docs, op13_rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op7_suffix_dedup, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates, op11_fill_in_middle, op12_vector_codes)
+    for f in (op1_mix_sources, op2_chat_format, op3_external_shuffle, op4_personal_data, op5_language_id, op6_merkle_fingerprint, op7_suffix_dedup, op8_prefix_forest, op9_best_fit_packing, op10_near_duplicates, op11_fill_in_middle, op12_vector_codes, op13_quality_rules)
 }
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
