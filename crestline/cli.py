@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from crestline.functions import describe
 from crestline.operators import batches, report, tracks
 from crestline.schema import check_options
-from crestline.sources import wav
+from crestline.sources import files as audio
 
 
 def main(args: list[str] | None = None) -> int:
@@ -29,14 +29,14 @@ def main(args: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     spark = SparkSession.builder.appName("crestline").getOrCreate()
-    files, found = wav.analyse(spark, given.directory, given.deep, given.silence_db)
+    files, found = audio.analyse(spark, given.directory, given.deep, given.silence_db)
     files = files.withColumn("track_id", F.col("path"))
     channels = tracks.with_exclusions(found, files.where("error IS NULL"))
     whole = tracks.track_dr(channels, given.exclude_lfe)
     kind = describe.error_category(F.col("error_kind"))
     results = files.join(whole, "track_id", "left").select(
         "path", describe.file_name(F.col("path")).alias("file_name"), F.when(F.col("error_kind").isNotNull(), kind).alias("error_category"),
-        "official_dr", "precise_dr", "excluded_channels", "excluded_lfe", F.hash("path").alias("idx"),
+        "official_dr", "precise_dr", "excluded_channels", "excluded_lfe", F.col("path").alias("idx"),
     )
     text = report.batch_report(results, batches.batch_summary(results), batches.error_groups(results), batches.ranked_warnings(whole.where("official_dr IS NOT NULL")))
     if given.json:

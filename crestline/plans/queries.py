@@ -6,11 +6,10 @@ Sums of doubles depend on their order in the last bits, so measured values are r
 from __future__ import annotations
 
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,8 @@ from pyspark.sql import functions as F
 from crestline.functions import describe, levels, pcm
 from crestline.operators import batches, channels, export, layouts, packets, report, tracks, trim, windows
 from crestline.schema import format_error
-from crestline.sources import adapters, wav
+from crestline.sources import adapters, files, flac, ranges, sink
+from crestline.storage import fresh
 from crestline.streaming import signals
 
 RATE = adapters.SAMPLE_RATE
@@ -751,47 +751,89 @@ def batch_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, out).where("files > 0")
 
 
-def _wav_bytes(rows: pd.DataFrame) -> pd.DataFrame:
-    """A WAV file of 16 bits from a track's (channel, frame_idx, code)."""
-    codes = rows.sort_values(["frame_idx", "channel"])["code"].to_numpy().astype("<i2").tobytes()
-    width = 2 * rows["channel"].nunique()
-    form = struct.pack("<HHIIHH", 1, width // 2, RATE, RATE * width, width, 16)
-    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(codes)) + codes
-    return pd.DataFrame({"path": [rows["track_id"].iloc[0] + ".wav"], "content": [b"RIFF" + struct.pack("<I", len(body)) + body]})
+#: Vectors of a file, and samples of a FLAC frame: small, so that the tables make several files of several frames.
+FILE_VECTORS, FLAC_BLOCK = 200, 192
 
 
-_CODED = """s AS (SELECT label::VARCHAR AS track_id, (k % 4)::INT AS channel, k // 4 AS frame_idx, trunc(least(greatest(x, -1), 1) * 32767) / 32768 AS sample
-    FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id, pos) - 1 AS k, x::DOUBLE AS x FROM (SELECT label, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)))"""
+def _files(rows: pd.DataFrame) -> pd.DataFrame:
+    """A track as WAV and FLAC of 16 bits and two channels, from its vectors one after the other."""
+    flat = np.concatenate(rows.sort_values("vec_id")["embedding"].to_list()).astype(np.float64)
+    codes = np.trunc(np.clip(flat, -1, 1) * 32767).astype(np.int64).reshape(-1, 2)
+    raw = codes.astype("<i2").tobytes()
+    form = struct.pack("<HHIIHH", 1, 2, RATE, RATE * 4, 4, 16)
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"data" + struct.pack("<I", len(raw)) + raw
+    name = rows["name"].iloc[0]
+    return pd.DataFrame({"name": [f"{name}.wav", f"{name}.flac"], "content": [b"RIFF" + struct.pack("<I", len(body)) + body, flac.encode(codes.T, RATE, 16, FLAC_BLOCK)]})
 
 
-@query(f"{_windows(_CODED)} SELECT track_id || '.wav' AS path, channel, win, n, {_R('rms')}, {_R('peak')} FROM raw_levels".replace("whole AS (", "raw_levels AS (SELECT *, sqrt(2 * sum_sq / n) AS rms FROM raw), whole AS ("))
-def wav_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks written as WAV files of four channels and 16 bits, and the windows that the decoder makes of the files."""
-    packed = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
-    cut = F.greatest(F.least(F.col("sample"), F.lit(1.0)), F.lit(-1.0)) * 32767
-    codes = channels.deinterleave(packed, 4).withColumn("code", cut.cast("int"))
-    found = wav.window_files(codes.groupBy("track_id").applyInPandas(_wav_bytes, "path string, content binary"))
+def _audio_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Vectors written as audio files, FILE_VECTORS ids a label and file, by the sink of named files."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.concat_ws("-", "label", F.expr(f"vec_id div {FILE_VECTORS}")).alias("name"), "vec_id", "embedding")
+    folder = fresh(spark, "audio-files")
+    sink.write_files(vectors.groupBy("name").applyInPandas(_files, "name string, content binary"), folder)
+    return folder
+
+
+_FILES = f"""s AS (SELECT name AS track_id, (k % 2)::INT AS channel, k // 2 AS frame_idx, trunc(least(greatest(x, -1), 1) * 32767) / 32768 AS sample
+    FROM (SELECT name, row_number() OVER (PARTITION BY name ORDER BY vec_id, pos) - 1 AS k, x::DOUBLE AS x
+        FROM (SELECT label || '-' || vec_id // {FILE_VECTORS} AS name, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)))"""
+
+
+def _window_sql(ending: str) -> str:
+    wanted = f"{_windows(_FILES)} SELECT track_id || '.{ending}' AS path, channel, win, n, {_R('rms')}, {_R('peak')} FROM raw_levels"
+    return wanted.replace("whole AS (", "raw_levels AS (SELECT *, sqrt(2 * sum_sq / n) AS rms FROM raw), whole AS (")
+
+
+def _format_sql(ending: str, codec: str) -> str:
+    return f"""WITH {_FILES} SELECT track_id || '.{ending}' AS path, {RATE}::INT AS sample_rate, 2::INT AS channels, 16::INT AS bits_per_sample, max(frame_idx) + 1 AS sample_count,
+        max(frame_idx) + 1 AS actual_frames, '{codec}' AS codec, 0::BIGINT AS skipped_packets, false AS is_partial FROM s GROUP BY track_id"""
+
+
+def _windows_read(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    """Windows of files read by ranges of a few thousand bytes; the parts of a window add up."""
+    ranges.register(spark)
+    found = spark.read.format("audio_windows").option("share", "3000").option("extensions", ending).load(_audio_folder(spark, sf_dir)).where("win IS NOT NULL")
+    found = found.groupBy(describe.file_name(F.col("path")).alias("path"), "channel", "win").agg(F.sum("n").alias("n"), F.sum("sum_sq").alias("sum_sq"), F.max("peak").alias("peak"))
     return found.withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n"))).select("path", "channel", "win", "n", *rounded("rms", "peak"))
 
 
-@query(f"""WITH {_CODED} SELECT track_id || '.wav' AS path, {RATE}::INT AS sample_rate, 4::INT AS channels, 16::INT AS bits_per_sample, max(frame_idx) + 1 AS sample_count, max(frame_idx) + 1 AS actual_frames, 'WAV/PCM' AS codec FROM s GROUP BY track_id""")
+def _formats_read(spark: SparkSession, sf_dir: str, ending: str) -> DataFrame:
+    found, _ = files.analyse(spark, _audio_folder(spark, sf_dir))
+    names = ["sample_rate", "channels", "bits_per_sample", "sample_count", "actual_frames", "codec", "skipped_packets", "is_partial"]
+    return found.where(F.col("path").endswith(f".{ending}")).select(describe.file_name(F.col("path")).alias("path"), *names)
+
+
+@query(_window_sql("wav"))
+def wav_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows_read(spark, sf_dir, "wav")
+
+
+@query(_window_sql("flac"))
+def flac_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _windows_read(spark, sf_dir, "flac")
+
+
+@query(_format_sql("wav", "WAV/PCM"))
 def wav_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a probe tells of the same files."""
-    packed = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("track_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("samples"))
-    codes = channels.deinterleave(packed, 4).withColumn("code", (F.col("sample") * 32767).cast("int"))
-    found = wav.probe_files(codes.groupBy("track_id").applyInPandas(_wav_bytes, "path string, content binary"))
-    return found.select("path", "sample_rate", "channels", "bits_per_sample", "sample_count", "actual_frames", "codec")
+    return _formats_read(spark, sf_dir, "wav")
+
+
+@query(_format_sql("flac", "FLAC"))
+def flac_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _formats_read(spark, sf_dir, "flac")
+
+
+@query(f"{_windows(_FILES)} SELECT track_id || ending AS path, channel, {_R('dr_value')}, {_R('rms')}, {_R('peak')}, sample_count FROM dr, (VALUES ('.wav'), ('.flac')) k(ending)")
+def audio_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From files to ranges of channels."""
+    _, found = files.analyse(spark, _audio_folder(spark, sf_dir))
+    return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count")
 
 
 def _streamed(packets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes packets as two files, streams them, one a batch, and reads what the stream wrote; numbers arrive out of order."""
     spark = packets.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        place = tempfile.mkdtemp(prefix="crestline-")
-    place = f"{place.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    place = fresh(spark, "stream")
     for half in (1, 0):
         packets.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(f"{place}/in")
     source = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")

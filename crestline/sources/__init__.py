@@ -1,3 +1,3 @@
-"""Where samples come from: tables seen as signals, WAV and AIFF files, raw PCM, pluggable decoders."""
+"""Where samples come from: tables seen as signals, audio files of several formats, raw PCM, pluggable decoders."""
 
-from crestline.sources import aiff, wav  # noqa: F401  their decoders register themselves
+from crestline.sources import aiff, flac, wav  # noqa: F401  their decoders register themselves

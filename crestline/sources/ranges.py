@@ -1,10 +1,10 @@
-"""Large WAV files in pieces: spark.read.format("wav_windows").load(directory).
+"""Large files in pieces: spark.read.format("audio_windows").load(directory).
 
-PCM has frames of a fixed size, so a file can be cut at window borders and its pieces read by different tasks; each reads
-its own bytes only. Rows are raw windows (path, channel, win, n, sum_sq, peak) with the format's columns; a file that is no
-readable WAV gives one row with its error instead. Files are opened through pyarrow's file systems (local paths and URIs it
-knows). The driver lists files and opens none; a task reads the header, chunk by chunk, wherever the samples begin, and
-then the windows that begin in its share of the file.
+PCM has frames of a fixed size, and the frames of FLAC can be found from any byte on, so such files can be cut and their
+pieces read by different tasks; each reads its own bytes (and, for a frame that begins there, some of the next piece's).
+Rows are windows (path, channel, win, n, sum_sq, peak), of FLAC in parts that add up, and one row a piece that says what the
+file is, how many frames the piece had, or why it failed. Small files share a task. Files are opened through pyarrow's file
+systems (local paths and URIs it knows). The driver lists files and opens none; a task reads the header, chunk by chunk.
 """
 
 from __future__ import annotations
@@ -13,29 +13,52 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from crestline.operators.windows import window_frames
-from crestline.sources import wav
+from crestline.sources import bits, files, flac, wav
 from crestline.sources.registry import AudioError, AudioFormat
 
 #: Bytes of a file that are one task's share, and bytes of a format chunk that say what is needed.
 SHARE_BYTES, FORMAT_BYTES = 64 << 20, 64
-SCHEMA = wav.WINDOWS + ", sample_rate int, channels int, error string"
-_ERROR = pa.schema([*wav._WINDOW_TYPES, ("sample_rate", pa.int32()), ("channels", pa.int32()), ("error", pa.string())])
+#: Extensions of files that can be cut.
+CUT = ("wav", "flac")
 
 
 @dataclass
-class Piece(InputPartition):
-    uri: str
+class Piece:
+    path: str
     size: int
     first: int
     last: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    pieces: list[Piece]
+
+
+def system_of(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system, path within it, and what stands before such paths."""
+    if "://" in path:
+        system, base = fs.FileSystem.from_uri(path)
+        return system, base, path.split("://")[0] + "://"
+    return fs.LocalFileSystem(), path.removeprefix("file:"), "file:"
+
+
+def readable(path: str) -> bool:
+    """Whether pyarrow knows the store of a path and finds it there."""
+    try:
+        system, base, _ = system_of(path)
+        return system.get_file_info(base).type == fs.FileType.Directory
+    except (pa.ArrowException, OSError):
+        return False
+
+
 def probe(file: pa.NativeFile, size: int) -> tuple[AudioFormat, str, int]:
     """Format, encoding and start of the samples of a file of any length; of other chunks only their names are read."""
     head, at = file.read_at(12, 0), 12
@@ -54,56 +77,121 @@ def probe(file: pa.NativeFile, size: int) -> tuple[AudioFormat, str, int]:
     raise AudioError("FormatError", "no samples")
 
 
-class WavWindowsReader(DataSourceReader):
-    def __init__(self, path: str, recursive: bool, share: int):
-        self.path, self.recursive, self.share = path, recursive, share
-
-    def _system(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
+class _At:
+    """A stretch of an open file that may end early."""
+
+    def __init__(self, file: pa.NativeFile, size: int):
+        self.file, self.size = file, size
+
+    def __call__(self, length: int, at: int) -> bytes:
+        return self.file.read_at(max(0, min(length, self.size - at)), at) if at < self.size else b""
+
+
+def _wav(file: pa.NativeFile, piece: Piece, levels: files.Levels) -> tuple[AudioFormat, int]:
+    known, encoding, start = probe(file, piece.size)
+    width = known.channels * known.bits_per_sample // 8
+    step = window_frames(known.sample_rate) * width
+    end, frames = start + min(known.sample_count, max(0, piece.size - start) // width) * width, 0
+    # the first window that begins at or after the piece's first byte, counted from the samples' start
+    win = max(0, -(-(piece.first - start) // step))
+    for at in range(start + win * step, min(end, piece.last), step):
+        raw = file.read_at(min(step, end - at), at)
+        if encoding == "s16le":  # the commonest: whole numbers, scaled once
+            levels.add(win, np.frombuffer(raw, "<i2").reshape(-1, known.channels).T, 32768.0)
+        else:
+            levels.add(win, wav.to_float(raw, encoding).reshape(-1, known.channels).T)
+        frames += len(raw) // width
+        win += 1
+    return known, frames
+
+
+def _flac(file: pa.NativeFile, piece: Piece, levels: files.Levels) -> tuple[AudioFormat, int]:
+    read = _At(file, piece.size)
+    info = flac.stream_info(read, piece.size)
+    known, step = info.format(), window_frames(info.rate)
+    begin, frames = max(piece.first, info.start), 0
+    if begin >= piece.last:
+        return known, 0
+    data = bits.padded(read(piece.last + info.frame_bytes + flac.LONGEST_HEADER - begin, begin))
+    held: list[np.ndarray] = []
+
+    def flush(first: int) -> None:
+        if held:
+            joined = np.concatenate(held, axis=1)
+            if info.bits > 24:
+                levels.add_from(first, flac.to_float(joined, info.bits), step)
+            else:
+                levels.add_from(first, joined, step, float(1 << (info.bits - 1)))
+            held.clear()
+
+    first = at = 0
+    for place, samples in flac.frames_of(data, info, 0, piece.last - begin):
+        if samples is None:
+            known.skipped_packets += 1
+            continue
+        if place != at or len(held) >= 64:
+            flush(first)
+        if not held:
+            first = place
+        held.append(samples)
+        at, frames = place + samples.shape[1], frames + samples.shape[1]
+    flush(first)
+    return known, frames
+
+
+_READERS = {"wav": _wav, "flac": _flac}
+
+
+class AudioWindowsReader(DataSourceReader):
+    def __init__(self, path: str, recursive: bool, share: int, extensions: tuple[str, ...]):
+        self.path, self.recursive, self.share, self.extensions = path, recursive, share, extensions
 
     def partitions(self) -> list[InputPartition]:
-        system, base = self._system()
+        system, base, _ = system_of(self.path)
         found = system.get_file_info(fs.FileSelector(base, recursive=self.recursive))
-        out: list[InputPartition] = []
+        out: list[InputPartition] = [Pieces([])]
+        room = self.share
         for info in sorted(found, key=lambda x: x.path):
-            if info.type != fs.FileType.File or not info.path.lower().endswith(".wav"):
+            if info.type != fs.FileType.File or info.extension.lower() not in self.extensions:
                 continue
-            out += [Piece(info.path, info.size, a, min(a + self.share, info.size)) for a in range(0, max(info.size, 1), self.share)]
+            for first in range(0, max(info.size, 1), self.share):
+                piece = Piece(info.path, info.size, first, min(first + self.share, info.size))
+                if piece.last - piece.first > room and out[-1].pieces:
+                    out.append(Pieces([]))
+                    room = self.share
+                out[-1].pieces.append(piece)
+                room -= piece.last - piece.first
         return out
 
-    def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
-        system, _ = self._system()
-        with system.open_input_file(partition.uri) as file:
+    def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
+        system, _, before = system_of(self.path)
+        for piece in partition.pieces:
+            name, levels = before + piece.path, files.Levels(before + piece.path)
             try:
-                known, encoding, start = probe(file, partition.size)
-            except AudioError as e:
-                if partition.first == 0:  # said once
-                    yield pa.RecordBatch.from_pylist([dict.fromkeys(_ERROR.names) | {"path": partition.uri, "error": str(e)}], _ERROR)
-                return
-            width = known.channels * known.bits_per_sample // 8
-            step = window_frames(known.sample_rate) * width
-            end = start + min(known.sample_count, max(0, partition.size - start) // width) * width
-            # the first window that begins at or after the share's first byte, counted from the samples' start
-            win = max(0, -(-(partition.first - start) // step))
-            for at in range(start + win * step, min(end, partition.last), step):
-                block = wav.to_float(file.read_at(min(step, end - at), at), encoding).reshape(-1, known.channels)
-                rows = wav._levels(partition.uri, win, block)
-                win += 1
-                more = [pa.array([v] * rows.num_rows, t) for v, t in ((known.sample_rate, pa.int32()), (known.channels, pa.int32()), (None, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema=_ERROR)
-
-
-class WavWindows(DataSource):
+                if not piece.size:
+                    raise AudioError("FormatError", "empty file")
+                with system.open_input_file(piece.path) as file:
+                    known, frames = _READERS[piece.path.rsplit(".", 1)[-1].lower()](file, piece, levels)
+            except (AudioError, ValueError, IndexError, struct.error) as e:
+                yield files.meta_batch(name, None, 0, e)
+                continue
+            if levels.found:
+                yield levels.batch()
+            yield files.meta_batch(name, known, frames)
+
+
+class AudioWindows(DataSource):
     @classmethod
     def name(cls) -> str:
-        return "wav_windows"
+        return "audio_windows"
 
     def schema(self) -> str:
-        return SCHEMA
+        return files.BOTH
 
     def reader(self, schema: object) -> DataSourceReader:
-        return WavWindowsReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("share", SHARE_BYTES)))
+        extensions = tuple(self.options.get("extensions", ",".join(CUT)).split(","))
+        return AudioWindowsReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("share", SHARE_BYTES)), extensions)
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(WavWindows)
+    spark.dataSource.register(AudioWindows)

@@ -1,7 +1,9 @@
 """Directory scans and the decoders that files go to.
 
-A decoder turns one file's bytes into its format and blocks of samples. WAV is built in; other codecs need a decoder
-registered by the user (a library or an external program), else their files get an error row and the batch goes on.
+A decoder turns one file's bytes into its format and blocks of samples. Several formats are built in; other codecs need a
+decoder of the user's (a library or an external program), else their files get an error row and the batch goes on. What is
+registered lives on the driver: known_decoders() takes the mapping that tasks carry to the workers, so a decoder must be a
+function that can be sent there (closures can). Programs are looked for where they run, on the worker.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ import json
 import shutil
 import subprocess
 import threading
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -43,6 +45,10 @@ class AudioFormat:
     codec: str
     lfe_indices: list[int] = field(default_factory=list)
     has_channel_layout_metadata: bool = False
+    #: Packets that failed so far; known once the blocks have been read.
+    skipped_packets: int = 0
+    #: Rate after conversion, where it differs from that of the file.
+    processed_sample_rate: int | None = None
 
 
 #: (bytes, extension) -> the format and an iterator of blocks, float32 arrays of shape (frames, channels).
@@ -54,8 +60,15 @@ def register_decoder(extension: str, decoder: Decoder) -> None:
     _DECODERS[extension.lower()] = decoder
 
 
-def decoder_for(extension: str) -> Decoder:
-    found = _DECODERS.get(extension.lower())
+def known_decoders(more: dict[str, Decoder] | None = None) -> dict[str, Decoder]:
+    """By extension: those built in or registered here, and `more`, which come first."""
+    from crestline import sources  # noqa: F401  built-in ones register themselves
+
+    return _DECODERS | {extension.lower(): decoder for extension, decoder in (more or {}).items()}
+
+
+def decoder_for(extension: str, decoders: dict[str, Decoder] | None = None) -> Decoder:
+    found = (known_decoders() if decoders is None else decoders).get(extension.lower())
     if found is None:
         if extension.lower() in EXTENSIONS:
             raise AudioError("DecodingError", f"no decoder for .{extension.lower()} is registered")
@@ -129,12 +142,16 @@ def _piped(command: list[str], data: bytes, found: AudioFormat) -> Iterator[np.n
             raise AudioError("DecodingError", b"".join(errors).decode(errors="replace")[-200:])
 
 
+def extensions_glob(extensions: Iterable[str]) -> str:
+    """A pattern of file names with these extensions in any letter case."""
+    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    return "*.{" + ",".join(map(any_case, extensions)) + "}"
+
+
 def scan(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
     """path, file_name, length of the audio files of a directory, in order of their paths; no contents are read. Fails for
     a directory that does not exist."""
-    any_case = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
-    glob = "*.{" + ",".join(map(any_case, EXTENSIONS)) + "}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(directory)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", extensions_glob(EXTENSIONS)).option("recursiveFileLookup", str(recursive).lower()).load(directory)
     files = files.select("path", "length", "modificationTime").where(describe.can_decode(F.col("path")))
     return files.select("path", describe.file_name(F.col("path")).alias("file_name"), "length").orderBy("path")
 

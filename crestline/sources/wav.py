@@ -1,8 +1,4 @@
-"""WAV files and raw PCM.
-
-Files are read by Spark (so from any store it knows) as bytes; a task decodes the files of its partition block by block.
-Blocks are whole windows of frames, so a file of any length needs the memory of its bytes and one block.
-"""
+"""WAV files and raw PCM, decoded block by block; blocks are whole windows of frames."""
 
 from __future__ import annotations
 
@@ -10,13 +6,10 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crestline.constants import BIT_DEPTHS, MAX_CHANNELS
 from crestline.operators.windows import window_frames
-from crestline.sources.registry import AudioError, AudioFormat, decoder_for, register_decoder
+from crestline.sources.registry import AudioError, AudioFormat, register_decoder
 
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 LFE_BITS = (0x8, 0x800000)
@@ -86,159 +79,3 @@ def decode_wav(data: bytes, extension: str = "wav") -> tuple[AudioFormat, Iterat
 
 
 register_decoder("wav", decode_wav)
-
-META = (
-    "path string, sample_rate int, channels int, bits_per_sample int, sample_count bigint, actual_frames bigint, codec string, "
-    "lfe_indices array<int>, has_channel_layout_metadata boolean, error string, error_kind string"
-)
-WINDOWS = "path string, channel int, win bigint, n bigint, sum_sq double, peak double"
-_WINDOW_TYPES = pa.schema([("path", pa.string()), ("channel", pa.int32()), ("win", pa.int64()), ("n", pa.int64()), ("sum_sq", pa.float64()), ("peak", pa.float64())])
-_META_TYPES = pa.schema([
-    ("path", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("bits_per_sample", pa.int32()), ("sample_count", pa.int64()), ("actual_frames", pa.int64()),
-    ("codec", pa.string()), ("lfe_indices", pa.list_(pa.int32())), ("has_channel_layout_metadata", pa.bool_()), ("error", pa.string()), ("error_kind", pa.string()),
-])
-
-
-def _opened(path: str, data: bytes) -> tuple[AudioFormat, Iterator[np.ndarray]]:
-    return decoder_for(path.rsplit(".", 1)[-1])(data, path.rsplit(".", 1)[-1].lower())
-
-
-def _probe_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            row = dict.fromkeys(_META_TYPES.names) | {"path": path}
-            try:
-                found, blocks = _opened(path, data)
-                frames = sum(len(b) for b in blocks)
-                if frames < 2:
-                    raise AudioError("InvalidInput", "fewer than two frames")
-                row |= {"sample_rate": found.sample_rate, "channels": found.channels, "bits_per_sample": found.bits_per_sample, "sample_count": found.sample_count, "actual_frames": frames}
-                row |= {"codec": found.codec, "lfe_indices": found.lfe_indices, "has_channel_layout_metadata": found.has_channel_layout_metadata}
-            except AudioError as e:
-                row |= {"error": str(e), "error_kind": e.kind}
-            except Exception as e:  # a decoder of the user's may raise anything; the batch goes on
-                row |= {"error": str(e), "error_kind": "DecodingError"}
-            out.append(row)
-        yield pa.RecordBatch.from_pylist(out, _META_TYPES)
-
-
-def _windows_of(path: str, found: AudioFormat, blocks: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    step, win, rest = window_frames(found.sample_rate), 0, None
-    for block in blocks:  # decoders may cut blocks anywhere
-        rest = block if rest is None else np.concatenate((rest, block))
-        while len(rest) >= step:
-            yield _levels(path, win, rest[:step])
-            rest, win = rest[step:], win + 1
-    if rest is not None and len(rest):
-        yield _levels(path, win, rest)
-
-
-def _window_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            try:
-                yield from _windows_of(path, *_opened(path, data))
-            except Exception:  # noqa: S112  told by probe_files
-                continue
-
-
-def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of each file, then one row that says what the file is or why it failed: a file is decoded once."""
-    names = [*_META_TYPES.names, *_WINDOW_TYPES.names[1:]]
-    types = [*_META_TYPES.types, *_WINDOW_TYPES.types[1:]]
-    schema = pa.schema(list(zip(names, types, strict=True)))
-    for batch in batches:
-        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            row, frames = dict.fromkeys(names) | {"path": path}, 0
-            try:
-                found, blocks = _opened(path, data)
-                for levels in _windows_of(path, found, blocks):
-                    frames += levels.column("n")[0].as_py()
-                    empty = [pa.nulls(levels.num_rows, t) for t in _META_TYPES.types[1:]]
-                    yield pa.RecordBatch.from_arrays([levels.column("path"), *empty, *levels.columns[1:]], schema=schema)
-                if frames < 2:
-                    raise AudioError("InvalidInput", "fewer than two frames")
-                row |= {"sample_rate": found.sample_rate, "channels": found.channels, "bits_per_sample": found.bits_per_sample, "sample_count": found.sample_count, "actual_frames": frames}
-                row |= {"codec": found.codec, "lfe_indices": found.lfe_indices, "has_channel_layout_metadata": found.has_channel_layout_metadata}
-            except AudioError as e:
-                row |= {"error": str(e), "error_kind": e.kind}
-            except Exception as e:  # a decoder of the user's may raise anything; the batch goes on
-                row |= {"error": str(e), "error_kind": "DecodingError"}
-            yield pa.RecordBatch.from_pylist([row], schema)
-
-
-def _levels(path: str, win: int, block: np.ndarray) -> pa.RecordBatch:
-    wide = block.astype(np.float64)
-    level = np.abs(wide)
-    channels = block.shape[1]
-    rows = [[path] * channels, np.arange(channels), [win] * channels, [len(block)] * channels, (wide * wide).sum(axis=0), np.where(np.isnan(level), 0, level).max(axis=0)]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, _WINDOW_TYPES.types, strict=True)], schema=_WINDOW_TYPES)
-
-
-def empty_files(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    """META rows for files without a byte, which Spark's file source leaves out."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(directory)
-    found = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(top, recursive)
-    paths = []
-    while found.hasNext():
-        status = found.next()
-        if status.getLen() == 0:
-            paths.append(status.getPath().toString())
-    return spark.createDataFrame([dict.fromkeys(_META_TYPES.names) | {"path": p, "error": "empty file", "error_kind": "FormatError"} for p in paths], META)
-
-
-def contents(spark: SparkSession, directory: str, recursive: bool = False) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
-    return files.select("path", "content")
-
-
-def probe_files(files: DataFrame) -> DataFrame:
-    """Format or error of each file of (path, content)."""
-    return files.mapInArrow(_probe_files, META)
-
-
-def window_files(files: DataFrame) -> DataFrame:
-    """Raw windows of each readable file; levels are computed where the bytes are, samples never leave their task."""
-    return files.mapInArrow(_window_files, WINDOWS)
-
-
-def sample_files(files: DataFrame) -> DataFrame:
-    """path, channel, frame_idx, sample of each readable file, for operators that need the samples themselves."""
-
-    def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                try:
-                    _, blocks = _opened(path, data)
-                    start = 0
-                    for block in blocks:
-                        n, c = block.shape
-                        columns = [pa.array([path] * (n * c)), pa.array(np.tile(np.arange(c, dtype=np.int32), n)), pa.array(np.repeat(np.arange(start, start + n), c)), pa.array(block.reshape(-1).astype(np.float32))]
-                        yield pa.RecordBatch.from_arrays(columns, ["track_id", "channel", "frame_idx", "sample"])
-                        start += n
-                except Exception:  # noqa: S112  told by probe_files
-                    continue
-
-    return files.mapInArrow(samples, "track_id string, channel int, frame_idx bigint, sample float")
-
-
-def analyse(spark: SparkSession, directory: str, recursive: bool = False, silence_db: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(files, channels): format or error of every file, and level, peak and range of every channel of those readable.
-
-    Each file is read and decoded once: its windows (a row per channel and three seconds) and its format come from one
-    pass, which is kept. What a decoder gave before it failed does not count.
-    """
-    from crestline.operators import channels, windows
-
-    both = contents(spark, directory, recursive).mapInArrow(_read_files, META + WINDOWS.removeprefix("path string")).persist()
-    meta = both.where("win IS NULL").select(*_META_TYPES.names).unionByName(empty_files(spark, directory, recursive))
-    good = meta.where("error IS NULL")
-    raw = both.where("win IS NOT NULL").select(*_WINDOW_TYPES.names).join(good.select("path", "sample_rate", "channels"), "path").withColumnRenamed("path", "track_id")
-    raw = raw.withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n")))
-    full = F.floor(F.col("sample_rate") * F.lit(windows.WINDOW_SECONDS))
-    counts = windows.complete(full, F.col("channels") <= 2)
-    if silence_db is not None:
-        counts = counts & ~windows.below(silence_db)
-    return meta, channels.from_windows(raw, counts)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from crestline import cli
 from crestline.operators import channels, tracks, trim, windows
-from crestline.sources import registry, wav
+from crestline.sources import files, registry, wav
 from crestline.sources.aiff import decode_aiff
 from crestline.streaming import signals
 
@@ -48,10 +48,10 @@ def folder(tmp_path_factory):
 
 
 def test_files(spark, folder):
-    files, found = wav.analyse(spark, str(folder))
-    meta = {r["path"].rsplit("/", 1)[1]: r for r in files.collect()}
+    given, found = files.analyse(spark, str(folder))
+    meta = {r["path"].rsplit("/", 1)[1]: r for r in given.collect()}
     kinds = {name: r["error_kind"] for name, r in meta.items() if r["error_kind"]}
-    assert kinds == {"zero_length.wav": "InvalidInput", "single_sample.wav": "InvalidInput", "empty.wav": "FormatError", "fake_audio.wav": "FormatError", "other.flac": "DecodingError", "notes.txt": "FormatError"}
+    assert kinds == {"zero_length.wav": "InvalidInput", "single_sample.wav": "InvalidInput", "empty.wav": "FormatError", "fake_audio.wav": "FormatError", "other.flac": "FormatError"}
     got = {}
     for r in found.collect():
         got.setdefault(r["track_id"].rsplit("/", 1)[1], []).append((r["channel"], r["rms"], r["peak"], r["dr_value"]))
@@ -70,9 +70,9 @@ def test_files(spark, folder):
 
 
 def test_samples_give_the_same(spark, folder):
-    files = wav.contents(spark, str(folder)).where(F.col("path").rlike("edge_cases|truncated"))
-    by_samples = channels.channel_dr(wav.sample_files(files), 44100)
-    _, direct = wav.analyse(spark, str(folder))
+    given = files.contents(spark, str(folder)).where(F.col("path").rlike("edge_cases|truncated"))
+    by_samples = channels.channel_dr(files.sample_files(given), 44100)
+    _, direct = files.analyse(spark, str(folder))
     want = {(r["track_id"], r["channel"]): r["dr_value"] for r in direct.collect()}
     rows = by_samples.collect()
     assert len(rows) == 4 and all(r["dr_value"] == pytest.approx(want[r["track_id"], r["channel"]]) for r in rows)
@@ -83,13 +83,13 @@ def test_pieces_of_large_files(spark, folder):
 
     ranges.register(spark)
     key = lambda r: (r["path"].rsplit("/", 1)[1], r["channel"], r["win"])
-    want = {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in wav.window_files(wav.contents(spark, str(folder))).collect()}
+    want = {key(r): (r["n"], pytest.approx(r["sum_sq"]), r["peak"]) for r in files.window_files(files.contents(spark, str(folder))).collect()}
     for share in (100_000, 529_964, ranges.SHARE_BYTES):
-        pieces = spark.read.format("wav_windows").option("share", share).load(str(folder)).collect()
-        assert {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in pieces if r["error"] is None} == want
-        assert len([r for r in pieces if r["error"] is None]) == len(want)
-        failed = [r["path"].rsplit("/", 1)[1] for r in pieces if r["error"]]
-        assert {"empty.wav", "fake_audio.wav"} <= set(failed) and len(failed) == len(set(failed))
+        pieces = spark.read.format("audio_windows").option("share", share).load(str(folder)).collect()
+        windows_ = [r for r in pieces if r["win"] is not None]
+        assert {key(r): (r["n"], r["sum_sq"], r["peak"]) for r in windows_} == want and len(windows_) == len(want)
+        assert {r["path"].rsplit("/", 1)[1] for r in pieces if r["error"]} == {"empty.wav", "fake_audio.wav", "other.flac"}
+        assert sum(r["actual_frames"] for r in pieces if r["path"].endswith("edge_cases.wav") and r["win"] is None) == 308700
     assert want["edge_cases.wav", 0, 2][0] == 308700 - 2 * 132480
 
 
@@ -102,7 +102,7 @@ def test_pieces_after_a_long_chunk(spark, tmp_path):
     for name, at in (("before.WAV", 12), ("between.wav", 36)):  # before the format, and between it and the samples
         (tmp_path / name).write_bytes(raw[:at] + b"JUNK" + struct.pack("<I", 99_999) + b"\1" * 100_000 + raw[at:])
     got = {}
-    for r in spark.read.format("wav_windows").load(str(tmp_path)).collect():
+    for r in spark.read.format("audio_windows").load(str(tmp_path)).where("win IS NOT NULL").collect():
         got.setdefault(r["path"].rsplit("/", 1)[1], set()).add((r["channel"], r["win"], r["n"], r["sum_sq"], r["peak"]))
     assert got.keys() == {"plain.wav", "before.WAV", "between.wav"}
     assert got["plain.wav"] == got["before.WAV"] == got["between.wav"]
@@ -149,17 +149,43 @@ def test_decoder_that_fails_on_the_way(spark, tmp_path):
     registry.register_decoder("ape", fails)
     (tmp_path / "torn.ape").write_bytes(b"1")
     write(tmp_path / "good.wav", np.column_stack([np.arange(5000)] * 2))
-    both = wav._read_files(iter([pa.RecordBatch.from_pydict({"path": ["torn.ape"], "content": [b"1"]})]))
+    both = files._read_files(registry.known_decoders())(iter([pa.RecordBatch.from_pydict({"path": ["torn.ape"], "content": [b"1"]})]))
     rows = [r for b in both for r in b.to_pylist()]
     assert [r["win"] for r in rows] == [0, 1, None] and rows[-1]["error"] == "torn" and rows[-1]["error_kind"] == "DecodingError"
-    meta, found = wav.analyse(spark, str(tmp_path))
-    assert {r["track_id"].rsplit("/", 1)[1] for r in found.collect()} == {"good.wav"} and meta.where("error IS NOT NULL").count() == 1
+    meta, found = files.analyse(spark, str(tmp_path))
+    assert {r["track_id"].rsplit("/", 1)[1] for r in found.collect()} == {"good.wav"}
+    failed = meta.where("error IS NOT NULL").collect()
+    assert len(failed) == 1 and failed[0]["error"] == "torn" and failed[0]["path"].endswith("torn.ape")  # the decoder ran on the worker
+    del registry._DECODERS["ape"]
+
+
+def test_decoders_reach_the_workers(spark, tmp_path):
+    """Programs given to analyse(), and those registered, decode files in the tasks; other files of the folder do not count."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 0.1, (300_000, 2)).clip(-1, 1).astype("<f4")
+    for name in ("a.mkv", "b.dts"):
+        (tmp_path / name).write_bytes(x.tobytes())
+    (tmp_path / "c.ac3").write_bytes(b"no decoder")
+    (tmp_path / "cover.jpg").write_bytes(b"picture")
+    (tmp_path / "notes.txt").write_bytes(b"text")
+    copy = [sys.executable, "-c", "import sys, shutil; shutil.copyfileobj(sys.stdin.buffer, sys.stdout.buffer)"]
+    registry.register_decoder("dts", registry.process_decoder(copy, 44100, 2))
+    meta, found = files.analyse(spark, str(tmp_path), decoders={"mkv": registry.process_decoder(copy, 44100, 2)})
+    kinds = {r["path"].rsplit("/", 1)[1]: (r["error_kind"], r["actual_frames"]) for r in meta.collect()}
+    assert kinds == {"a.mkv": (None, 300_000), "b.dts": (None, 300_000), "c.ac3": ("DecodingError", None)}
+    write(tmp_path / "same.wav", np.trunc(x * 32768))
+    assert {r["track_id"].rsplit("/", 1)[1] for r in found.collect()} == {"a.mkv", "b.dts"}
+    rows = spark.createDataFrame([("x", c, i, float(v)) for c in range(2) for i, v in enumerate(x[:, c])], "track_id string, channel int, frame_idx long, sample float")
+    want = {r["channel"]: r["dr_value"] for r in channels.channel_dr(rows, 44100).collect()}
+    assert all(r["dr_value"] == pytest.approx(want[r["channel"]]) for r in found.collect())
+    del registry._DECODERS["dts"]
 
 
-def test_registered_decoder(spark, tmp_path):
-    (tmp_path / "x.ogg").write_bytes(b"12345678")
-    registry.register_decoder("ogg", registry.process_decoder(["no-such-program"], 44100, 2))
-    assert wav.probe_files(wav.contents(spark, str(tmp_path))).first()["error"]
+def test_missing_program(spark, tmp_path):
+    (tmp_path / "x.mkv").write_bytes(b"12345678")
+    decoders = {"mkv": registry.process_decoder(["no-such-program"], 44100, 2)}
+    row = files.probe_files(files.contents(spark, str(tmp_path), decoders=decoders), decoders).first()
+    assert "not installed" in row["error"] and row["error_kind"] == "ResourceError"
 
 
 def aiff(frames, bits=16, kind=None, rate=44100, order=">"):
@@ -184,7 +210,7 @@ def test_aiff(spark, tmp_path):
     (tmp_path / "float.aiff").write_bytes(aiff(ramp / 32768, 32, b"fl32"))
     (tmp_path / "packed.aiff").write_bytes(aiff(ramp, kind=b"ima4"))
     (tmp_path / "cut.aiff").write_bytes(aiff(ramp)[:71])
-    meta, found = wav.analyse(spark, str(tmp_path))
+    meta, found = files.analyse(spark, str(tmp_path))
     kinds = {r["path"].rsplit("/", 1)[1]: (r["error_kind"], r["sample_rate"], r["actual_frames"]) for r in meta.collect()}
     good = (None, 44100, 600)
     assert kinds == {"same.wav": good, "same.aiff": good, "little.AIFF": good, "float.aiff": good, "packed.aiff": ("DecodingError", None, None), "cut.aiff": ("InvalidInput", None, None)}
@@ -227,7 +253,9 @@ def test_piped_program():
 def test_command_line(spark, folder, tmp_path, capsys):
     code = cli.main([str(folder), "--output", str(tmp_path / "out.txt"), "--json", str(tmp_path / "json")])
     text = (tmp_path / "out.txt").read_text()
-    assert code == 3 and "processed 7, failed 6" in text and "| 2 | 2.43 | edge_cases.wav |" in text
+    assert code == 2 and "processed 7, failed 5" in text and "| 2 | 2.43 | edge_cases.wav |" in text
+    lines = [line.rsplit("| ", 1)[1].split(" ")[0] for line in text.splitlines() if line.startswith("| ") and (".wav" in line or ".flac" in line)]
+    assert lines == sorted(lines) and len(lines) == 12
     assert cli.main([str(folder), "--silence-db", "5"]) == 2
 
 
