@@ -21,6 +21,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("--exclude-lfe", action="store_true", help="leave low-frequency channels out")
     parser.add_argument("--silence-db", type=float, help="drop windows below this level")
     parser.add_argument("--json", help="a folder for one JSON report per file")
+    parser.add_argument("--reports", help="a folder for one text report per file")
     parser.add_argument("--output", help="report file; else standard output")
     given = parser.parse_args(args)
     try:
@@ -39,8 +40,11 @@ def main(args: list[str] | None = None) -> int:
         "official_dr", "precise_dr", "excluded_channels", "excluded_lfe", F.col("path").alias("idx"),
     )
     text = report.batch_report(results, batches.batch_summary(results), batches.error_groups(results), batches.ranked_warnings(whole.where("official_dr IS NOT NULL")))
+    if given.reports:
+        formats = files.where("error IS NULL").withColumn("sample_count", F.col("actual_frames"))
+        report.write_reports(report.compact_reports(channels, whole, formats, notes=report.run_notes(formats)), given.reports)
     if given.json:
-        report.json_reports(channels, whole, given.exclude_lfe).write.mode("overwrite").json(given.json)
+        report.json_reports(channels, whole, given.exclude_lfe, files.where("error IS NULL").withColumn("sample_count", F.col("actual_frames"))).write.mode("overwrite").json(given.json)
     if given.output:
         with open(given.output, "w", encoding="utf-8") as out:
             out.write(text)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crestline.functions import levels
+from crestline.storage import written
 
 
 def batch_summary(results: DataFrame) -> DataFrame:
@@ -49,6 +50,18 @@ def by_precision(tracks: DataFrame, descending: bool = True) -> DataFrame:
     return tracks.orderBy(value, "track_id")
 
 
+def placed(rows: DataFrame, name: str, *order: Column, start: int = 1) -> DataFrame:
+    """Adds each row's place in a total order. Rows are dealt by ranges of the order and numbered within each; only how many
+    each range holds is summed in one task."""
+    spark = rows.sparkSession
+    dealt = written(rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("__range", F.spark_partition_id()), "placed")
+    counts = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    out = dealt.withColumn("__own", own).join(F.broadcast(before.select("__range", "__before")), "__range")  # a row a range
+    return out.withColumn(name, (F.col("__before") + F.col("__own") + (start - 1)).cast("long")).drop("__range", "__own", "__before")
+
+
 def search(files: DataFrame, text: str) -> DataFrame:
     """Files whose name or path holds the text, in any case."""
     return files.where(F.lower("file_name").contains(text.lower()) | F.lower("path").contains(text.lower()))

@@ -40,7 +40,8 @@ def chunk_distribution(chunks: DataFrame, by: list[str], size: str = "n_frames")
 
 
 def partial_tracks(meta: DataFrame) -> DataFrame:
-    """Adds is_partial: fewer frames than the header promised, or packets skipped. After trimming, what is left is what
-    was promised."""
+    """Adds is_partial: fewer frames than the header promised, or packets skipped (where skipped_packets is known). After
+    trimming, what is left is what was promised."""
     promised = F.when(F.col("trimmed"), F.col("actual_frames")).otherwise(F.col("expected_frames"))
-    return meta.withColumn("is_partial", F.col("actual_frames") < promised)
+    skipped = F.coalesce(F.col("skipped_packets") > 0, F.lit(False)) if "skipped_packets" in meta.columns else F.lit(False)
+    return meta.withColumn("is_partial", (F.col("actual_frames") < promised) | skipped)

@@ -11,43 +11,65 @@ from pyspark.sql import functions as F
 
 from crestline.constants import DSD_RATE, REPORT_SILENT
 from crestline.functions import describe, levels
+from crestline.operators import batches
+from crestline.sources import sink
 
 TOOL, VERSION = "crestline", "0.1.0"
 
 
-def _channel_struct(json: bool) -> Column:
+def _channel_struct() -> Column:
+    return F.struct("channel", "text")
+
+
+def _json_channel(exclude_lfe: bool) -> Column:
     db = lambda x: F.when(F.col(x) > 0, F.round(20 * F.log10(x), 6))  # noqa: E731  JSON has no infinity: null
+    silent = (F.col("peak") <= REPORT_SILENT) | (F.col("rms") <= REPORT_SILENT)
     return F.struct(
-        F.col("channel").alias("channelIndex"),
-        F.round("dr_value", 6).alias("drValue"),
-        F.round("rms", 6).alias("rms"),
-        db("rms").alias("rmsDb"),
-        F.round("peak", 6).alias("peak"),
+        (F.col("channel") + 1).alias("channel"),
+        levels.rounded(F.col("dr_value")).alias("drOfficial"),
+        F.round("dr_value", 6).alias("drPrecise"),
         db("peak").alias("peakDb"),
-        (F.col("peak") <= REPORT_SILENT).alias("isSilent"),
-        F.col("is_lfe").alias("isLfe"),
-    ) if json else F.struct("channel", "text")
-
-
-def json_reports(channels: DataFrame, tracks: DataFrame, exclude_lfe: bool = False) -> DataFrame:
-    """track_id, report: one JSON object per track. channels must carry is_lfe (listed indices); no time stamp, so that
-    equal inputs give equal reports."""
-    listed = channels.groupBy("track_id").agg(F.array_sort(F.collect_list(_channel_struct(True))).alias("channels"))
-    risk = F.when(
-        F.col("risk_level").isNotNull(),
-        F.struct(F.col("risk_level").alias("level"), F.col("direction").alias("direction"), F.round("distance_db", 6).alias("distanceDb")),
+        db("rms").alias("rmsDb"),
+        silent.alias("isSilent"),
+        F.col("is_listed").alias("isLfe"),
+        (silent | (F.lit(exclude_lfe) & F.col("is_listed"))).alias("isExcluded"),
     )
+
+
+def json_reports(channels: DataFrame, tracks: DataFrame, exclude_lfe: bool = False, formats: DataFrame | None = None) -> DataFrame:
+    """track_id, report: one JSON object per track, without a time stamp, so that equal inputs give equal reports. formats
+    (track_id, sample_rate, channels, bits_per_sample, codec, sample_count, lfe_indices, a row a track) fills the format
+    block, and says which channels are low-frequency ones: here only those listed count. Without it the block is null and
+    is_lfe of the channel rows counts."""
+    if formats is None:
+        known, listed, block = channels, F.col("is_lfe"), F.lit(None).cast("struct<sampleRate: int>")
+    else:
+        known = channels.join(formats.select("track_id", "lfe_indices"), "track_id")
+        listed = F.coalesce(F.array_contains("lfe_indices", F.col("channel")), F.lit(False))
+        block = F.struct(
+            F.col("sample_rate").alias("sampleRate"),
+            F.col("format_channels").alias("channels"),
+            F.col("bits_per_sample").alias("bitsPerSample"),
+            F.coalesce("codec", F.lit("Unknown")).alias("codec"),
+            F.round(F.col("sample_count") / F.col("sample_rate"), 6).alias("durationSeconds"),
+        )
+    rows = known.withColumn("is_listed", listed).groupBy("track_id").agg(F.array_sort(F.collect_list(_json_channel(exclude_lfe))).alias("channels"))
+    rows = rows.join(tracks, "track_id")
+    if formats is not None:
+        rows = rows.join(formats.select("track_id", "sample_rate", F.col("channels").alias("format_channels"), "bits_per_sample", "codec", "sample_count"), "track_id")
+    risk = F.struct(F.lower("risk_level").alias("level"), F.lower("direction").alias("direction"), F.round("distance_db", 6).alias("distanceDb"))
     whole = F.struct(
         F.lit(TOOL).alias("tool"),
         F.lit(VERSION).alias("version"),
         F.col("track_id").alias("filePath"),
+        block.alias("format"),
         F.col("official_dr").alias("officialDr"),
         F.round("precise_dr", 6).alias("preciseDr"),
-        risk.alias("boundaryWarning"),
+        F.when(F.col("risk_level").isNotNull(), risk).alias("boundaryWarning"),
         F.lit(exclude_lfe).alias("excludeLfe"),
         F.col("channels"),
     )
-    return listed.join(tracks, "track_id").select("track_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
+    return rows.select("track_id", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def text_reports(channels: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -63,7 +85,7 @@ def text_reports(channels: DataFrame, tracks: DataFrame) -> DataFrame:
         note,
     )
     lines = channels.withColumn("text", F.concat(F.lit("| "), line, F.lit(" |")))
-    table = lines.groupBy("track_id").agg(F.array_sort(F.collect_list(_channel_struct(False))).alias("rows"))
+    table = lines.groupBy("track_id").agg(F.array_sort(F.collect_list(_channel_struct())).alias("rows"))
     head = F.array(F.lit("| Channel | DR | RMS | Peak | Note |"), F.lit("| --- | --- | --- | --- | --- |"))
     official = F.when(F.col("official_dr").isNotNull(), F.format_string("Official DR: DR%d (%.2f dB)", "official_dr", "precise_dr")).otherwise(F.lit("Official DR: -"))
     warning = levels.boundary_warning(F.col("official_dr"), F.col("precise_dr"))
@@ -75,7 +97,7 @@ def _table(channels: DataFrame, head: Column, line: Column) -> DataFrame:
     """track_id, table: a Markdown table per track, a row per channel in their order; head may depend on the number of
     channels, n."""
     lines = channels.withColumn("n", F.count("*").over(_by_track())).withColumn("text", F.concat(F.lit("| "), line, F.lit(" |"))).withColumn("head", head)
-    rows = lines.groupBy("track_id").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(_channel_struct(False))).alias("rows"))
+    rows = lines.groupBy("track_id").agg(F.first("head").alias("head"), F.array_sort(F.collect_list(_channel_struct())).alias("rows"))
     return rows.select("track_id", F.concat_ws("\n", "head", F.transform("rows", lambda r: r["text"])).alias("table"))
 
 
@@ -93,9 +115,13 @@ def diagnostics_tables(channels: DataFrame) -> DataFrame:
 
 def run_notes(formats: DataFrame, trims: DataFrame | None = None, silence: DataFrame | None = None) -> DataFrame:
     """track_id, notes: what trimming (a trim_report) and the silence filter (a silence_report) took from each track of
-    formats (track_id, sample_rate); empty where neither ran or no window was there to filter."""
-    out = formats.select("track_id", "sample_rate")
-    trim_note = silence_note = F.lit(None).cast("string")
+    formats (track_id, sample_rate), and, where formats has is_partial and skipped_packets, that a track was not read
+    whole; empty where nothing of this holds or no window was there to filter."""
+    marked = "is_partial" in formats.columns
+    out = formats.select("track_id", "sample_rate", *(["is_partial", "skipped_packets"] if marked else []))
+    trim_note = silence_note = partial_note = F.lit(None).cast("string")
+    if marked:
+        partial_note = F.when(F.col("is_partial"), F.format_string("Partial analysis: %d packets skipped", F.coalesce("skipped_packets", F.lit(0))))
     if trims is not None:
         out = out.join(trims.select("track_id", (F.col("leading_frames") + F.col("trailing_frames")).alias("cut")), "track_id", "left")
         trim_note = F.format_string("Edge trimming: %.1f s removed", F.round(F.col("cut") / F.col("sample_rate"), 1))
@@ -105,7 +131,7 @@ def run_notes(formats: DataFrame, trims: DataFrame | None = None, silence: DataF
         out = out.join(sums, "track_id", "left")
         silence_note = F.format_string("Silence filter: %d/%d windows (%.1f %%)", "filtered", "total", F.round(100.0 * F.col("filtered") / F.col("total"), 1))
         silence_note = F.when(F.col("total") > 0, silence_note)
-    return out.select("track_id", F.concat_ws("\n", trim_note, silence_note).alias("notes"))
+    return out.select("track_id", F.concat_ws("\n", trim_note, silence_note, partial_note).alias("notes"))
 
 
 def compact_reports(channels: DataFrame, tracks: DataFrame, formats: DataFrame, diagnostics: bool = False, notes: DataFrame | None = None) -> DataFrame:
@@ -157,6 +183,9 @@ def batch_report(results: DataFrame, summary: DataFrame, groups: DataFrame, warn
     s = summary.first()
     out = [f"{TOOL} {VERSION}", f"Files: {s['processed'] + s['failed']}, processed {s['processed']}, failed {s['failed']} ({s['success_rate']:.1f} % succeeded)", *([note, ""] if (note := batch_header(results).first()["dsd_note"]) else [""]), "| Official | Precise | File |", "| --- | --- | --- |"]
     out += [r["line"] for r in batch_rows(results).orderBy("idx").toLocalIterator()]
+    marks = batches.exclusion_flags(results.where("official_dr IS NOT NULL")).first()
+    legend = " / ".join(text for text, some in (("*LFE excluded", marks["any_lfe"]), ("†Silent channels excluded", marks["any_silent"])) if some)
+    out += ["", legend] if legend else []
     risky = [f"- {r['track_id']}: DR{r['official_dr']} ({r['precise_dr']:.2f} dB), {r['risk_level']} risk, may be DR{r['potential_dr']}" for r in warnings.toLocalIterator()]
     failed = [f"- {r['error_category']}: {r['failures']} ({r['file_names']}" + (f", +{r['more']} more)" if r["more"] else ")") for r in groups.toLocalIterator()]
     for title, lines in (("Boundary warnings", risky), ("Errors", failed)):
@@ -174,9 +203,15 @@ def batch_path(directory: str, now: datetime | None = None) -> str:
     return f"{directory.rstrip('/')}_BatchDR_{(now or datetime.now(UTC)).strftime('%Y%m%d_%H%M%S')}.txt"
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """A folder per track, written by the executors."""
-    reports.repartition("track_id").write.mode("overwrite").partitionBy("track_id").text(path)
+def write_reports(reports: DataFrame, folder: str) -> None:
+    """One `<stem>_DR_Analysis.txt` for each (track_id, report) in a folder, written by the tasks, all or none. Tracks of one
+    stem from several places keep apart by their own folder's name."""
+    stem, parent = describe.file_stem(F.col("track_id")), describe.parent_dir(F.col("track_id"))
+    named = reports.withColumn("stem", stem).withColumn("parent", parent)
+    shared = named.groupBy("stem").agg(F.count("*").alias("alike"))  # a row a stem; the join keeps reports where they are if it is small
+    own = F.concat(F.regexp_replace(F.coalesce("parent", F.lit("")), "[^A-Za-z0-9._-]+", "_"), F.lit("/"))
+    name = F.concat(F.when(F.col("alike") > 1, own).otherwise(""), F.col("stem"), F.lit("_DR_Analysis.txt"))
+    sink.write_files(named.join(shared, "stem").select(name.alias("name"), F.col("report").cast("binary").alias("content")), folder)
 
 
 def display_width(text: str) -> int:

@@ -45,8 +45,8 @@ def windows(samples: DataFrame, sample_rate: int, flush_tail: bool | Column = Tr
 
 
 def below(threshold_db: float) -> Column:
-    """Windows that the silence filter drops."""
-    return 20 * F.log10(F.greatest(F.col("rms"), F.lit(1e-12))) < threshold_db
+    """Windows that the silence filter drops; one whose level is no number counts as silent."""
+    return 20 * F.log10(F.greatest(F.nanvl(F.col("rms"), F.lit(0.0)), F.lit(1e-12))) < threshold_db
 
 
 def silence_report(found: DataFrame, threshold_db: float) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from crestline.functions import describe, levels, pcm
 from crestline.operators import batches, channels, export, layouts, packets, report, tracks, trim, windows
 from crestline.schema import format_error
-from crestline.sources import adapters, files, flac, ranges, sink
+from crestline.sources import adapters, dsd, files, flac, mp4, ranges, sink
 from crestline.storage import fresh
 from crestline.streaming import signals
 
@@ -285,42 +285,47 @@ def boundary_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT track_id, official_dr, {_R('precise_dr')}, risk_level, direction, {_R('distance_db')}, CASE direction WHEN 'Upper' THEN official_dr + 1 ELSE greatest(official_dr - 1, 0) END AS potential_dr,
     row_number() OVER (ORDER BY risk_level = 'High' DESC, round(distance_db, 9), track_id) AS place FROM r WHERE risk_level IS NOT NULL""")
 def warnings_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     found = batches.ranked_warnings(_precise(spark, sf_dir))
-    place = F.row_number().over(Window.orderBy((F.col("risk_level") == "High").desc(), F.round("distance_db", 9), "track_id")).cast("long")
-    return found.withColumn("place", place).select("track_id", "official_dr", "risk_level", "direction", "potential_dr", "place", *rounded("precise_dr", "distance_db"))
+    found = batches.placed(found, "place", (F.col("risk_level") == "High").desc(), F.round("distance_db", 9).asc(), F.col("track_id").asc())
+    return found.select("track_id", "official_dr", "risk_level", "direction", "potential_dr", "place", *rounded("precise_dr", "distance_db"))
 
 
 @query(f"""{_windows(EVENTS, silence=True)}, {_tracks(False)}, n AS (SELECT track_id, CASE WHEN track_id > 'm' THEN precise_dr END AS precise_dr FROM t)
     SELECT track_id, {_R('precise_dr')}, row_number() OVER (ORDER BY precise_dr DESC NULLS LAST, track_id) AS place_down, row_number() OVER (ORDER BY precise_dr ASC NULLS LAST, track_id) AS place_up FROM n""")
 def sorted_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     found = tracks.track_dr(tracks.with_exclusions(channels.channel_dr(adapters.samples_of_events(spark, sf_dir), RATE, silence_db=SILENCE_DB)))
     found = found.select("track_id", F.when(F.col("track_id") > "m", F.col("precise_dr")).alias("precise_dr"))
-    down = F.row_number().over(Window.orderBy(F.col("precise_dr").desc_nulls_last(), "track_id")).cast("long")
-    up = F.row_number().over(Window.orderBy(F.col("precise_dr").asc_nulls_last(), "track_id")).cast("long")
-    return batches.by_precision(found.withColumn("place_down", down).withColumn("place_up", up)).select("track_id", *rounded("precise_dr"), "place_down", "place_up")
+    down = batches.placed(found, "place_down", F.col("precise_dr").desc_nulls_last(), F.col("track_id").asc())
+    return batches.placed(down, "place_up", F.col("precise_dr").asc_nulls_last(), F.col("track_id").asc()).select("track_id", *rounded("precise_dr"), "place_down", "place_up")
+
+
+_LISTED = "(channel = 1 AND track_id::INT % 2 = 0)"
+_JSON_SILENT = "(peak <= 1e-6 OR rms <= 1e-6)"
 
 
-@query(f"""{_windows(EMBEDDINGS)}, {_tracks(False)} SELECT track_id, official_dr, round(precise_dr, 6) + 0.0 AS precise_dr, (SELECT count(*) FROM dr WHERE dr.track_id = t.track_id) AS n_channels,
-    (SELECT round(max(round(rms, 6)), 6) FROM dr WHERE dr.track_id = t.track_id) AS loudest, (SELECT count(*) FROM dr WHERE dr.track_id = t.track_id AND peak <= 1e-6) AS silent_channels, coalesce(risk_level, 'none') AS risk FROM t""")
+@query(f"""{_windows(EMBEDDINGS)}, {_tracks(True).replace("channel = 3", _LISTED)}
+    SELECT track_id, {RATE}::INT AS sample_rate, (count(*) OVER (PARTITION BY track_id))::INT AS n_channels, 16::INT AS bits, 'WAV/PCM' AS codec, round((max(sample_count) OVER (PARTITION BY track_id)) / {RATE}::DOUBLE, 6) AS seconds,
+    official_dr, round(precise_dr, 6) + 0.0 AS precise_dr, lower(risk_level) AS risk_level, lower(direction) AS direction, round(distance_db, 6) + 0.0 AS distance_db, true AS exclude_lfe,
+    (channel + 1)::INT AS channel, round(dr_value)::INT AS dr_official, round(dr_value, 6) + 0.0 AS dr_precise, CASE WHEN peak > 0 THEN round(20 * log10(peak), 6) + 0.0 END AS peak_db, CASE WHEN rms > 0 THEN round(20 * log10(rms), 6) + 0.0 END AS rms_db,
+    {_JSON_SILENT} AS is_silent, {_LISTED} AS is_lfe, {_JSON_SILENT} OR {_LISTED} AS is_excluded FROM dr JOIN t USING (track_id)""")
 def json_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Renders JSON reports and reads them back."""
-    found = tracks.with_exclusions(channels.channel_dr(adapters.samples_of_embeddings(spark, sf_dir), RATE))
-    reports = report.json_reports(found, tracks.track_dr(found))
-    shape = "filePath string, officialDr int, preciseDr double, boundaryWarning struct<level: string>, channels array<struct<rms: double, isSilent: boolean>>"
-    r = reports.select(F.from_json("report", shape).alias("r"))
-    return r.select(
-        F.col("r.filePath").alias("track_id"),
-        F.col("r.officialDr").alias("official_dr"),
-        F.col("r.preciseDr").alias("precise_dr"),
-        F.size("r.channels").cast("long").alias("n_channels"),
-        F.array_max("r.channels.rms").alias("loudest"),
-        F.size(F.filter("r.channels", lambda c: c["isSilent"])).cast("long").alias("silent_channels"),
-        F.coalesce("r.boundaryWarning.level", F.lit("none")).alias("risk"),
-    )
+    """Renders JSON reports and reads all of them back, a row a channel. Even tracks list their second channel as a
+    low-frequency one."""
+    found = channels.channel_dr(adapters.samples_of_embeddings(spark, sf_dir), RATE)
+    lfe = F.when(F.col("track_id").cast("int") % 2 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    formats = _formats(found).select("*", F.lit(16).alias("bits_per_sample"), lfe.alias("lfe_indices"), F.lit(True).alias("has_channel_layout_metadata"))
+    found = tracks.with_exclusions(found, formats)
+    reports = report.json_reports(found, tracks.track_dr(found, True), True, formats)
+    shape = """tool string, version string, filePath string, format struct<sampleRate: int, channels: int, bitsPerSample: int, codec: string, durationSeconds: double>, officialDr int, preciseDr double,
+        boundaryWarning struct<level: string, direction: string, distanceDb: double>, excludeLfe boolean,
+        channels array<struct<channel: int, drOfficial: int, drPrecise: double, peakDb: double, rmsDb: double, isSilent: boolean, isLfe: boolean, isExcluded: boolean>>"""
+    r = reports.select(F.from_json("report", shape).alias("r")).select("r.*", F.explode("r.channels").alias("c"))
+    named = {
+        "track_id": "filePath", "sample_rate": "format.sampleRate", "n_channels": "format.channels", "bits": "format.bitsPerSample", "codec": "format.codec", "seconds": "format.durationSeconds",
+        "official_dr": "officialDr", "precise_dr": "preciseDr", "risk_level": "boundaryWarning.level", "direction": "boundaryWarning.direction", "distance_db": "boundaryWarning.distanceDb", "exclude_lfe": "excludeLfe",
+        "channel": "c.channel", "dr_official": "c.drOfficial", "dr_precise": "c.drPrecise", "peak_db": "c.peakDb", "rms_db": "c.rmsDb", "is_silent": "c.isSilent", "is_lfe": "c.isLfe", "is_excluded": "c.isExcluded",
+    }
+    return r.select(*[F.col(of).alias(name) for name, of in named.items()])
 
 
 @query(f"""{_windows(EMBEDDINGS)}, {_tracks(False)}, l AS (SELECT track_id, channel, '| ' || CASE channel WHEN 0 THEN 'Left' ELSE 'Right' END || ' | ' || printf('%.2f', dr_value) || ' dB | ' || printf('%.2f', 20 * log10(rms)) || ' | ' || printf('%.2f', 20 * log10(peak)) || ' |  |' AS line FROM dr)
@@ -637,11 +642,9 @@ def search_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_BATCH} SELECT idx, error_category, row_number() OVER (ORDER BY idx) AS place FROM c")
 def append_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = _batch_rows(spark, sf_dir)
     good, bad = rows.where("error_category IS NULL").select("idx", "precise_dr"), rows.where("error_category IS NOT NULL").select("idx", "error_category")
-    return batches.appended(good, bad).select("idx", "error_category", F.row_number().over(Window.orderBy("idx")).cast("long").alias("place"))
+    return batches.placed(batches.appended(good, bad), "place", F.col("idx").asc()).select("idx", "error_category", "place")
 
 
 @query("""SELECT o_orderpriority, count(*) AS runs, round(avg(o_totalprice), 4) AS mean, round(coalesce(stddev_samp(o_totalprice), 0), 4) AS stddev, round(median(o_totalprice), 4) AS median, round(min(o_totalprice), 4) AS least,
@@ -768,9 +771,8 @@ def _files(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _audio_folder(spark: SparkSession, sf_dir: str) -> str:
     """Vectors written as audio files, FILE_VECTORS ids a label and file, by the sink of named files."""
-    vectors = table(spark, sf_dir, "embeddings").select(F.concat_ws("-", "label", F.expr(f"vec_id div {FILE_VECTORS}")).alias("name"), "vec_id", "embedding")
     folder = fresh(spark, "audio-files")
-    sink.write_files(vectors.groupBy("name").applyInPandas(_files, "name string, content binary"), folder)
+    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_files, "name string, content binary"), folder)
     return folder
 
 
@@ -830,13 +832,68 @@ def audio_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count")
 
 
+def _grouped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.concat_ws("-", "label", F.expr(f"vec_id div {FILE_VECTORS}")).alias("name"), "vec_id", "embedding")
+
+
+def _one_bit(rows: pd.DataFrame) -> pd.DataFrame:
+    """The signs of a track's vectors, one after the other, as a one-bit file of one channel; a rest of fewer than eight is
+    not kept."""
+    flat = np.concatenate(rows.sort_values("vec_id")["embedding"].to_list())
+    signs = (flat[: len(flat) // 8 * 8] >= 0).astype(np.uint8)[None]
+    name = rows["name"].iloc[0]
+    return pd.DataFrame({"name": [f"{name}.dsf", f"{name}.dff"], "content": [dsd.write_dsf(signs, 8 * RATE, block=64), dsd.write_dff(signs, 8 * RATE)]})
+
+
+#: At this clock a sample is a byte's, and the low-pass that of the rate.
+_PLAN = dsd.Plan(rate=RATE)
+_TAPS = [float(x) for x in dsd.taps(0.45 / 8, 8 * dsd.SPAN, _PLAN.gain_db)]
+
+
+@query(f"""WITH g AS (SELECT label || '-' || vec_id // {FILE_VECTORS} AS name, vec_id, embedding FROM embeddings),
+    b AS MATERIALIZED (SELECT name, row_number() OVER (PARTITION BY name ORDER BY vec_id, pos) - 1 AS k, CASE WHEN x >= 0 THEN 1.0::DOUBLE ELSE -1.0 END AS bit
+        FROM (SELECT name, vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM g)),
+    h AS (SELECT unnest({_TAPS}) AS weight, generate_subscripts({_TAPS}, 1) - 1 AS j),
+    f AS (SELECT name, (k - j + {4 * (dsd.SPAN - 1) // 8 * 8}) // 8 AS frame, sum(bit * weight) AS sample FROM b, h WHERE (k - j + {4 * (dsd.SPAN - 1) // 8 * 8}) % 8 = 0 AND k - j + {4 * (dsd.SPAN - 1) // 8 * 8} >= 0 GROUP BY ALL),
+    w AS (SELECT name, frame // {FRAMES} AS win, count(*) AS n, sum(sample * sample) AS sum_sq, max(abs(sample)) AS peak FROM f WHERE frame < (SELECT count(*) // 8 FROM b WHERE b.name = f.name) GROUP BY ALL)
+    SELECT name || ending AS path, 0::INT AS channel, win, n, round(sqrt(2 * sum_sq / n), 4) + 0.0 AS rms, round(peak, 4) + 0.0 AS peak FROM w, (VALUES ('.dsf'), ('.dff')) k(ending)""")
+def dsd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One-bit files read by ranges of a few hundred bytes, with the bytes around them that the filter needs."""
+    ranges.register(spark)
+    folder = fresh(spark, "one-bit-files")
+    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_one_bit, "name string, content binary"), folder)
+    found = spark.read.format("audio_windows").option("share", "300").option("dsd_rate", str(RATE)).load(folder).where("win IS NOT NULL")
+    rms = F.round(F.sqrt(2 * F.col("sum_sq") / F.col("n")), 4).alias("rms")
+    return found.select(describe.file_name(F.col("path")).alias("path"), "channel", "win", "n", rms, F.round("peak", 4).alias("peak"))
+
+
+def _packed(rows: pd.DataFrame) -> pd.DataFrame:
+    """A track's vectors as packets of an MP4 file: of each the first 8 to 32 pairs of samples, as 16 bits."""
+    rows = rows.sort_values("vec_id")
+    frames = [int(8 + v % 25) for v in rows["vec_id"]]
+    payload = [np.trunc(np.clip(np.asarray(x, np.float64)[: 2 * n], -1, 1) * 32767).astype("<i2").tobytes() for x, n in zip(rows["embedding"], frames, strict=True)]
+    return pd.DataFrame({"name": [f"{rows['name'].iloc[0]}.m4a"], "content": [mp4.write_mp4(b"sowt", payload, frames, RATE, 2, 16, front=len(rows) % 2 == 0)]})
+
+
+@query(f"""WITH g AS (SELECT label || '-' || vec_id // {FILE_VECTORS} AS name, vec_id, 8 + vec_id % 25 AS n_frames, list_transform(embedding[1:2 * (8 + vec_id % 25)], lambda x: trunc(least(greatest(x::DOUBLE, -1), 1) * 32767)::INT) AS codes FROM embeddings)
+    SELECT name || '.m4a' AS path, 'WAV/PCM' AS codec, {RATE}::INT AS sample_rate, 2::INT AS channels, row_number() OVER o - 1 AS seq, ((sum(n_frames) OVER o) - n_frames)::BIGINT AS first_frame, n_frames, 4 * n_frames AS length,
+    array_to_string(list_transform(codes, lambda c: printf('%02x%02x', c & 255, (c >> 8) & 255)), '') AS payload FROM g WINDOW o AS (PARTITION BY name ORDER BY vec_id)""")
+def mp4_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of written MP4 files: their places from the files' tables, then the bytes there."""
+    folder = fresh(spark, "mp4-files")
+    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_packed, "name string, content binary"), folder)
+    found = mp4.payloads(mp4.packet_table(spark, folder))
+    return found.select(describe.file_name(F.col("path")).alias("path"), "codec", "sample_rate", "channels", "seq", "first_frame", "n_frames", "length", F.lower(F.hex("payload")).alias("payload"))
+
+
 def _streamed(packets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Writes packets as two files, streams them, one a batch, and reads what the stream wrote; numbers arrive out of order."""
+    """Writes packets in two halves, each by track, streams the files, some a batch, and reads what the stream wrote; numbers
+    arrive out of order."""
     spark = packets.sparkSession
     place = fresh(spark, "stream")
     for half in (1, 0):
-        packets.where(F.col("seq") % 2 == half).coalesce(1).write.mode("append").parquet(f"{place}/in")
-    source = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 1).parquet(f"{place}/in")
+        packets.where(F.col("seq") % 2 == half).repartition("track_id").write.mode("append").parquet(f"{place}/in")
+    source = spark.readStream.schema(packets.schema).option("maxFilesPerTrigger", 8).parquet(f"{place}/in")
     running = make(source).writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.parquet(f"{place}/out")

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from crestline.constants import EXTENSIONS
 from crestline.functions import describe
 from crestline.operators.windows import WINDOW_SECONDS, below, complete, window_frames
-from crestline.sources.registry import AudioError, AudioFormat, Decoder, decoder_for, extensions_glob, known_decoders
+from crestline.sources import dsd
+from crestline.sources.registry import AudioError, AudioFormat, Decoder, Routed, decoder_for, extensions_glob, known_decoders
 from crestline.storage import written
 
 #: What a file is, or why it failed; frames and failed packets as decoded.
@@ -39,7 +40,12 @@ LONGEST = (1 << 31) - 16
 
 def _opened(path: str, data: bytes, decoders: dict[str, Decoder]) -> tuple[AudioFormat, Iterator[np.ndarray]]:
     extension = path.rsplit(".", 1)[-1].lower()
-    return decoder_for(extension, decoders)(data, extension)
+    try:
+        return decoder_for(extension, decoders)(data, extension)
+    except Routed as e:
+        if e.extension not in decoders or e.extension == extension:
+            raise
+        return decoders[e.extension](data, extension)
 
 
 def level_row(channels: np.ndarray, scale: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -202,23 +208,27 @@ def _one_path(path: Column) -> Column:
 
 
 def analyse(
-    spark: SparkSession, directory: str, recursive: bool = False, silence_db: float | None = None, decoders: dict[str, Decoder] | None = None, share: int | None = None
+    spark: SparkSession, directory: str, recursive: bool = False, silence_db: float | None = None, decoders: dict[str, Decoder] | None = None, share: int | None = None, plan: dsd.Plan | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(files, channels): format or error of every audio file, and level, peak and range of every channel of those readable.
 
     Formats that can be cut are read by ranges of `share` bytes, where pyarrow knows the store; the rest are one task a file.
     Each file is decoded once: windows (a row per channel and three seconds) and formats are written to the shared folder.
-    What a decoder gave before it failed does not count. is_partial: packets failed, or fewer frames than the file promises.
+    `plan` is that of one-bit files. What a
+    decoder gave before it failed does not count. is_partial: packets failed, or fewer frames than the file promises.
     """
     from crestline.operators import channels
     from crestline.sources import ranges
 
-    known = known_decoders(decoders)
+    one_bit = {e: dsd.decoder(plan) for e in ("dsf", "dff")} if plan else {}
+    known = known_decoders(one_bit | (decoders or {}))
     cut = tuple(e for e in ranges.CUT if e not in (decoders or {})) if ranges.readable(directory) else ()
     rows = contents(spark, directory, recursive, decoders, cut).mapInArrow(_read_files(known), BOTH)
     if cut:
         ranges.register(spark)
         reader = spark.read.format("audio_windows").option("recursive", str(recursive).lower()).option("extensions", ",".join(cut))
+        if plan:
+            reader = reader.option("dsd_rate", str(plan.rate)).option("dsd_filter", plan.mode).option("dsd_gain_db", str(plan.gain_db))
         rows = rows.unionByName(reader.option("share", str(share or ranges.SHARE_BYTES)).load(directory))
     both = written(rows.withColumn("path", _one_path(F.col("path"))), "audio")
     failed = failed_files(spark, directory, recursive, known, cut).withColumn("path", _one_path(F.col("path")))

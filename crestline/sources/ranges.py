@@ -1,7 +1,8 @@
 """Large files in pieces: spark.read.format("audio_windows").load(directory).
 
-PCM has frames of a fixed size, and the frames of FLAC can be found from any byte on, so such files can be cut and their
-pieces read by different tasks; each reads its own bytes (and, for a frame that begins there, some of the next piece's).
+PCM has frames of a fixed size, one-bit files bytes of a fixed order, and the frames of FLAC can be found from any byte on,
+so such files can be cut and their pieces read by different tasks; each reads its own bytes (and, for what begins there,
+some of its neighbours').
 Rows are windows (path, channel, win, n, sum_sq, peak), of FLAC in parts that add up, and one row a piece that says what the
 file is, how many frames the piece had, or why it failed. Small files share a task. Files are opened through pyarrow's file
 systems (local paths and URIs it knows). The driver lists files and opens none; a task reads the header, chunk by chunk.
@@ -20,13 +21,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from crestline.operators.windows import window_frames
-from crestline.sources import bits, files, flac, wav
+from crestline.sources import bits, dsd, files, flac, wav
 from crestline.sources.registry import AudioError, AudioFormat
 
 #: Bytes of a file that are one task's share, and bytes of a format chunk that say what is needed.
 SHARE_BYTES, FORMAT_BYTES = 64 << 20, 64
 #: Extensions of files that can be cut.
-CUT = ("wav", "flac")
+CUT = ("wav", "flac", "dsf", "dff")
 
 
 @dataclass
@@ -87,7 +88,7 @@ class _At:
         return self.file.read_at(max(0, min(length, self.size - at)), at) if at < self.size else b""
 
 
-def _wav(file: pa.NativeFile, piece: Piece, levels: files.Levels) -> tuple[AudioFormat, int]:
+def _wav(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan) -> tuple[AudioFormat, int]:
     known, encoding, start = probe(file, piece.size)
     width = known.channels * known.bits_per_sample // 8
     step = window_frames(known.sample_rate) * width
@@ -105,7 +106,7 @@ def _wav(file: pa.NativeFile, piece: Piece, levels: files.Levels) -> tuple[Audio
     return known, frames
 
 
-def _flac(file: pa.NativeFile, piece: Piece, levels: files.Levels) -> tuple[AudioFormat, int]:
+def _flac(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan) -> tuple[AudioFormat, int]:
     read = _At(file, piece.size)
     info = flac.stream_info(read, piece.size)
     known, step = info.format(), window_frames(info.rate)
@@ -139,12 +140,30 @@ def _flac(file: pa.NativeFile, piece: Piece, levels: files.Levels) -> tuple[Audi
     return known, frames
 
 
-_READERS = {"wav": _wav, "flac": _flac}
+def _dsd(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan) -> tuple[AudioFormat, int]:
+    read = _At(file, piece.size)
+    info = dsd.probe(read, piece.size)
+    known, step = info.format(plan), dsd.step_bytes(info, plan)
+    width, frames = window_frames(known.sample_rate), 0
+    # windows whose first byte lies in the piece; all channels of a byte lie in one group
+    first = max(0, piece.first - info.start) // info.channels // (width * step)
+    for win in range(max(0, first - 1), -(-known.sample_count // width)):
+        place = info.place(win * width * step)
+        if place >= piece.last:
+            break
+        if place >= piece.first:
+            found = dsd.samples(info, plan, read, win * width, min((win + 1) * width, known.sample_count))
+            levels.add(win, found.astype(np.float32))
+            frames += found.shape[1]
+    return known, frames
+
+
+_READERS = {"wav": _wav, "flac": _flac, "dsf": _dsd, "dff": _dsd}
 
 
 class AudioWindowsReader(DataSourceReader):
-    def __init__(self, path: str, recursive: bool, share: int, extensions: tuple[str, ...]):
-        self.path, self.recursive, self.share, self.extensions = path, recursive, share, extensions
+    def __init__(self, path: str, recursive: bool, share: int, extensions: tuple[str, ...], plan: dsd.Plan):
+        self.path, self.recursive, self.share, self.extensions, self.plan = path, recursive, share, extensions, plan
 
     def partitions(self) -> list[InputPartition]:
         system, base, _ = system_of(self.path)
@@ -171,7 +190,7 @@ class AudioWindowsReader(DataSourceReader):
                 if not piece.size:
                     raise AudioError("FormatError", "empty file")
                 with system.open_input_file(piece.path) as file:
-                    known, frames = _READERS[piece.path.rsplit(".", 1)[-1].lower()](file, piece, levels)
+                    known, frames = _READERS[piece.path.rsplit(".", 1)[-1].lower()](file, piece, levels, self.plan)
             except (AudioError, ValueError, IndexError, struct.error) as e:
                 yield files.meta_batch(name, None, 0, e)
                 continue
@@ -190,7 +209,8 @@ class AudioWindows(DataSource):
 
     def reader(self, schema: object) -> DataSourceReader:
         extensions = tuple(self.options.get("extensions", ",".join(CUT)).split(","))
-        return AudioWindowsReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("share", SHARE_BYTES)), extensions)
+        plan = dsd.Plan(int(self.options.get("dsd_rate", dsd.DSD_RATE)), self.options.get("dsd_filter", "teac"), float(self.options.get("dsd_gain_db", dsd.DSD_GAIN_DB)))
+        return AudioWindowsReader(self.options["path"], self.options.get("recursive", "false").lower() == "true", int(self.options.get("share", SHARE_BYTES)), extensions, plan)
 
 
 def register(spark: SparkSession) -> None:

@@ -36,6 +36,14 @@ class AudioError(Exception):
         self.kind = kind
 
 
+class Routed(AudioError):
+    """A container holds a codec that another decoder takes, by its extension."""
+
+    def __init__(self, extension: str, codec: str):
+        super().__init__("DecodingError", f"no decoder for {codec} in a container is given")
+        self.extension = extension
+
+
 @dataclass
 class AudioFormat:
     sample_rate: int

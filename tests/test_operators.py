@@ -248,12 +248,55 @@ def test_reports(spark):
     import json
 
     r = json.loads(report.json_reports(found, whole).first()["report"])
-    assert r["officialDr"] == 10 and r["boundaryWarning"]["level"] == "High" and r["channels"][1]["rmsDb"] is None and r["channels"][1]["isSilent"]
+    assert r["officialDr"] == 10 and r["boundaryWarning"]["level"] == "high" and r["channels"][1]["rmsDb"] is None and r["channels"][1]["isSilent"]
+    assert r["format"] is None and [c["drOfficial"] for c in r["channels"]] == [10, 10] and [c["isExcluded"] for c in r["channels"]] == [False, True]
+    formats = spark.createDataFrame([("a", 44100, 2, 24, "FLAC", 88200, [0])], "track_id string, sample_rate int, channels int, bits_per_sample int, codec string, sample_count long, lfe_indices array<int>")
+    r = json.loads(report.json_reports(found, whole, True, formats).first()["report"])
+    assert r["format"] == {"sampleRate": 44100, "channels": 2, "bitsPerSample": 24, "codec": "FLAC", "durationSeconds": 2.0} and r["channels"][0]["isLfe"] and r["channels"][0]["isExcluded"]
     text = report.text_reports(found, whole).first()["report"]
     assert "| Left | 10.48 dB | -20.00 | -6.02 |  |" in text and "-1.#J" in text and "Silent" in text and "High risk" in text
     assert report.padded("日本", 6) == "日本  " and report.output_path("/a/b.wav") == "/a/b_DR_Analysis.txt"
 
 
+def test_report_files(spark, tmp_path):
+    """A file per track by its stem; a failing task leaves nothing."""
+    rows = [("/a/x.wav", "one"), ("/b/x.flac", "two"), ("/b/y.wav", "drei ä")]
+    report.write_reports(spark.createDataFrame(rows, "track_id string, report string").repartition(3), str(tmp_path / "out"))
+    assert {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {
+        "_a/x_DR_Analysis.txt": "one", "_b/x_DR_Analysis.txt": "two", "y_DR_Analysis.txt": "drei ä"
+    }
+    from crestline.sources import sink
+
+    bad = spark.range(40).repartition(8).select(F.when(F.col("id") == 33, F.lit("../out")).otherwise(F.concat(F.lit("f"), "id")).alias("name"), F.lit(b"x").alias("content"))
+    with pytest.raises(Exception, match="no name"):
+        sink.write_files(bad, str(tmp_path / "none"))
+    assert not [p for p in (tmp_path / "none").rglob("*")] and not (tmp_path / "out").parent.joinpath("out", "_staging").exists()
+
+
+def test_places(spark):
+    rows = spark.createDataFrame([(i, float(i % 37) if i % 5 else None) for i in range(500)], "i int, v double").repartition(7)
+    got = batches.placed(rows, "place", F.col("v").desc_nulls_last(), F.col("i").asc()).collect()
+    want = sorted(((i, float(i % 37) if i % 5 else None) for i in range(500)), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {r["i"]: r["place"] for r in got} == {i: n for n, (i, _) in enumerate(want, 1)}
+    assert batches.placed(rows.where("i < 0"), "place", F.col("i").asc()).collect() == []
+
+
+def test_legend_and_partial_note(spark):
+    schema = "idx int, path string, file_name string, error_category string, official_dr int, precise_dr double, excluded_channels int, excluded_lfe int"
+    text = lambda lfe, all_: report.batch_report(f := spark.createDataFrame([(0, "/p", "f", None, 9, 9.1, all_, lfe)], schema), batches.batch_summary(f), batches.error_groups(f), spark.createDataFrame([], "track_id string"))
+    assert "\n\n*LFE excluded / †Silent channels excluded\n" in text(1, 2) and "\n\n*LFE excluded\n" in text(1, 1) and "\n\n†Silent channels excluded\n" in text(0, 1) and "xcluded" not in text(0, 0)
+    formats = spark.createDataFrame([("a", 100, True, 3), ("b", 100, False, 0)], "track_id string, sample_rate int, is_partial boolean, skipped_packets long")
+    assert {r["track_id"]: r["notes"] for r in report.run_notes(formats).collect()} == {"a": "Partial analysis: 3 packets skipped", "b": ""}
+
+
+def test_silence_filter_drops_windows_without_a_level(spark):
+    nan = float("nan")
+    rows = [("t", 0, i, v) for i, v in enumerate([0.9, nan] + [0.1] * 298 + [0.5] * 300)]
+    frame = spark.createDataFrame(rows, "track_id string, channel int, frame_idx long, sample double")
+    assert channels.channel_dr(frame, 100, silence_db=-60.0).first()["primary_peak"] == 0.5
+    assert channels.channel_dr(frame, 100).first()["primary_peak"] == 0.9
+
+
 def test_deinterleave_and_plugged_function(spark):
     rows = spark.createDataFrame([("a", 0, [1.0, 2.0, 3.0]), ("a", 1, [4.0, 5.0])], "track_id string, seq long, samples array<float>")
     got = {(r["channel"], r["frame_idx"]): r["sample"] for r in channels.deinterleave(rows, 2).collect()}
