@@ -343,3 +343,59 @@ def test_stream_trim_of_frames(spark, tmp_path, channels_):
     got = streamed(spark, tmp_path, f"trimmed_{channels_}", rows, lambda f: signals.stream_trimmed(f, 0.05, 7, 4, channels_))
     assert sorted((r["track_id"], r["channel"], r["frame_idx"], r["sample"]) for r in got) == want
     assert 0 < len(want) < 3 * 700 * channels_
+
+
+def test_late_repeats_emit_nothing(spark, tmp_path):
+    """Packets that come again, within a batch, in later ones, and after the end of their channel."""
+    x = np.arange(700, dtype=np.float32) / 700
+    rows = [("one", 0, 0, x[:5].tolist(), True)] + [("t", 0, k, x[100 * k : 100 * k + 100].tolist(), k == 6) for k in range(7)]
+    again = rows + rows[::-1] + rows  # four files: every packet is in several batches
+    got = streamed(spark, tmp_path, "again", again, signals.stream_ordered)
+    assert sorted((r["track_id"], r["seq"]) for r in got) == [("one", 0), *[("t", k) for k in range(7)]]
+    assert all(r["samples"] == pytest.approx(x[100 * r["seq"] : 100 * r["seq"] + 100].tolist()) for r in got if r["track_id"] == "t")
+    windows_ = streamed(spark, tmp_path, "again_windows", again, lambda f: signals.stream_windows(f, 100))
+    assert sorted((r["track_id"], r["win"], r["n"]) for r in windows_) == [("one", 0, 5), ("t", 0, 300), ("t", 1, 300), ("t", 2, 100)]
+
+
+def test_silent_channel_closes_and_its_state_goes(spark, tmp_path):
+    """A channel without a last packet and with a gap ends by its timer; what is left of its state is the tombstone."""
+    import time
+
+    schema = "track_id string, channel int, seq long, samples array<float>, last boolean"
+    source = tmp_path / "idle-in"
+    feed = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    feed([("t", 0, k, [0.5] * 200, False) for k in (0, 1, 3)])
+    frame = spark.readStream.schema(schema).parquet(str(source))
+    query = signals.stream_windows(frame, 100, idle_ms=3000).writeStream.format("memory").queryName("idle").outputMode("append").option("checkpointLocation", str(tmp_path / "idle-state")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            assert query.exception() is None
+            if spark.table("idle").count() >= 2:
+                break
+        assert sorted((r["win"], r["n"]) for r in spark.table("idle").collect()) == [(0, 300), (1, 100)]
+        feed([("t", 0, 2, [0.5] * 200, False), ("t", 0, 4, [0.5] * 200, True)])  # too late
+        for _ in range(60):  # batches for timers never end, so the query is never idle
+            time.sleep(0.5)
+            if sum(p["numInputRows"] for p in query.recentProgress) >= 5:
+                break
+        assert sum(p["numInputRows"] for p in query.recentProgress) == 5 and spark.table("idle").count() == 2
+    finally:
+        query.stop()
+    held = {name: spark.read.format("statestore").option("path", str(tmp_path / "idle-state")).option("stateVarName", name).load().count() for name in ("head", "done", "closed")}
+    assert held == {"head": 0, "done": 0, "closed": 1}
+
+
+def test_restarted_stream_gives_each_window_once(spark, tmp_path):
+    """A query that is stopped and started again goes on where it was, over state in the checkpoint."""
+    rows = sorted(packet_rows(7), key=lambda r: r[2])
+    schema = "track_id string, channel int, seq long, samples array<float>, last boolean"
+    source, out, state = (str(tmp_path / n) for n in ("restart-in", "restart-out", "restart-state"))
+    for half in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        spark.createDataFrame(half, schema).write.mode("append").parquet(source)
+        frame = spark.readStream.schema(schema).parquet(source)
+        query = signals.stream_windows(frame, 100).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        assert query.exception() is None
+    got = [(r["track_id"], r["channel"], r["win"], r["n"]) for r in spark.read.parquet(out).collect()]
+    assert len(got) == len(set(got)) and len(got) == 4 * 7 and sum(n for *_, n in got) == 4 * 2003
