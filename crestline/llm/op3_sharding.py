@@ -64,10 +64,10 @@ def shuffle_into_shards(records: DataFrame, shards: int = 16, seed: int = 1, tex
     columns = records.columns
     short = [c for c, kind in records.dtypes if kind != "void" and not kind.startswith(("map", "variant"))]
     row = F.xxhash64(F.lit(seed), *short)
-    same = cut(records.select(row.alias("row")).groupBy("row").count(), "shuffle-rows")
-    most = same.agg(F.max("count")).first()[0] or 0
-    if most > BUCKET_ROWS:
-        # rows alike in everything would fill one bucket: written with numbers, which then have a part in the scatter
+    same = cut(records.select(row.alias("row"), text_bytes(text).alias("bytes")).groupBy("row").agg(F.count("*").alias("count"), F.sum("bytes").alias("bytes")), "shuffle-rows")
+    most, heaviest = same.agg(F.coalesce(F.max("count"), F.lit(0)), F.coalesce(F.max(F.when(F.col("count") > 1, F.col("bytes"))), F.lit(0))).first()
+    if most > BUCKET_ROWS or heaviest > BUCKET_BYTES:
+        # rows alike in everything would fill one bucket, by their number or their size: written with numbers, which then have a part in the scatter
         records = cut(records.withColumn("__number", F.monotonically_increasing_id()), "shuffle-numbered")
         deal = F.xxhash64(F.lit(seed), *short, "__number")
         counts = records.select(F.pmod(deal, F.lit(buckets)).cast("int").alias("bucket")).groupBy("bucket").count()

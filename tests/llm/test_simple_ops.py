@@ -159,6 +159,20 @@ def test_sharding(spark, rows):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_sharding_scatters_large_equal_rows(spark, monkeypatch):
+    """Few equal rows of large texts are no single bucket; results are whole and the law holds."""
+    monkeypatch.setattr(op3_sharding, "BUCKET_BYTES", 200_000)
+    records = spark.createDataFrame([(1, "a" * 50_000)] * 40 + [(2, None), (3, "")], "doc_id long, text string").repartition(4)
+    out = op3_sharding.shuffle_into_shards(records, 4)
+    buckets = out.select(F.spark_partition_id().alias("p"), "shard", "slot", "record.*").collect()
+    assert Counter((r["doc_id"], len(r["text"] or "")) for r in buckets) == {(1, 50_000): 40, (2, 0): 1, (3, 0): 1}
+    counts = Counter(r["shard"] for r in buckets)
+    assert sorted(counts.values()) == [10, 10, 11, 11]
+    assert all(sorted(r["slot"] for r in buckets if r["shard"] == k) == list(range(n)) for k, n in counts.items())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__number" in plan
+
+
 def test_sharding_many_buckets(spark, monkeypatch):
     """Rows alike but for the text, and rows alike in everything, over several buckets: none is crowded, slots are gapless,
     and neighbours in the input are none in a shard."""
