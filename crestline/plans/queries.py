@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from crestline.functions import describe, levels, pcm
 from crestline.operators import batches, channels, export, layouts, packets, report, tracks, trim, windows
 from crestline.schema import format_error
-from crestline.sources import adapters, dsd, files, flac, mp4, ranges, sink
+from crestline.sources import adapters, alac, dsd, files, flac, mp4, ranges, sink
 from crestline.storage import fresh
 from crestline.streaming import signals
 
@@ -886,6 +886,28 @@ def mp4_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(describe.file_name(F.col("path")).alias("path"), "codec", "sample_rate", "channels", "seq", "first_frame", "n_frames", "length", F.lower(F.hex("payload")).alias("payload"))
 
 
+_ALAC = alac.Config(FLAC_BLOCK, 16, 40, 10, 14, 2, RATE)
+
+
+def _lossless(rows: pd.DataFrame) -> pd.DataFrame:
+    """A track's vectors as ALAC packets of an MP4 file; the samples are those of the other audio files."""
+    flat = np.concatenate(rows.sort_values("vec_id")["embedding"].to_list()).astype(np.float64)
+    codes = np.trunc(np.clip(flat, -1, 1) * 32767).astype(np.int64).reshape(-1, 2).T
+    payload = alac.encode(codes, _ALAC)
+    ticks = [min(FLAC_BLOCK, codes.shape[1] - a) for a in range(0, codes.shape[1], FLAC_BLOCK)]
+    return pd.DataFrame({"name": [f"{rows['name'].iloc[0]}.m4a"], "content": [mp4.write_mp4(b"alac", payload, ticks, RATE, 2, 16, mp4.box(b"alac", bytes(4), _ALAC.packed()))]})
+
+
+@query(f"""{_windows(_FILES)} SELECT track_id || '.m4a' AS path, channel, {_R('dr_value')}, {_R('rms')}, {_R('peak')}, sample_count, {RATE}::INT AS sample_rate, 'ALAC' AS codec, 0::BIGINT AS skipped_packets FROM dr""")
+def alac_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From ALAC in MP4 files to ranges of channels, with what the files say of themselves."""
+    folder = fresh(spark, "alac-files")
+    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_lossless, "name string, content binary"), folder)
+    known, found = files.analyse(spark, folder)
+    found = found.join(known.select(F.col("path").alias("track_id"), "sample_rate", "codec", "skipped_packets"), "track_id")
+    return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count", "sample_rate", "codec", "skipped_packets")
+
+
 def _streamed(packets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes packets in two halves, each by track, streams the files, some a batch, and reads what the stream wrote; numbers
     arrive out of order."""

@@ -4,8 +4,8 @@ A file is boxes within boxes, each with its length in front, so a walk reads a f
 lies. A track's packets follow from four tables: how many packets each chunk has (stsc, in runs), where chunks begin (stco,
 co64), how long each packet is (stsz, stz2), and how many ticks it lasts (stts, in runs). They are joined by sums over runs.
 
-Plain samples and FLAC are decoded here. For other codecs the decoder given for the codec itself takes the whole file (`ac3`
-and `eac3` for those found in an MP4, `aac`, `alac`, `opus`, `mp3`); without one the file is an error row.
+Plain samples, FLAC and ALAC are decoded here. For other codecs the decoder given for the codec itself takes the whole file (`ac3`
+and `eac3` for those found in an MP4, `aac`, `opus`, `mp3`); without one the file is an error row.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from crestline.sources import bits, flac
+from crestline.sources import alac, bits, flac
 from crestline.sources.registry import AudioError, AudioFormat, Routed, register_decoder, scan
 from crestline.sources.wav import to_float
 
@@ -206,6 +206,21 @@ def decode_mp4(data: bytes, extension: str = "m4a") -> tuple[AudioFormat, Iterat
                         yield flac.to_float(samples.T, info.bits)
 
         return known, coded()
+    if track.codec == b"alac" and b"alac" in track.setup:
+        told = alac.config(track.setup[b"alac"][4:])
+        known = told.format(total)
+
+        def lossless() -> Iterator[np.ndarray]:
+            for a in range(0, len(at), alac.GROUP):
+                part = [data[int(o) : int(o + n)] for o, n in zip(at[a : a + alac.GROUP], length[a : a + alac.GROUP], strict=True)]
+                ends = np.cumsum([len(x) for x in part])
+                for samples in alac.decode_packets(bits.padded(b"".join(part)), ends - [len(x) for x in part], ends, told):
+                    if samples is None:
+                        known.skipped_packets += 1
+                    else:
+                        yield flac.to_float(samples.T, told.bits)
+
+        return known, lossless()
     raise Routed(to, name)
 
 
