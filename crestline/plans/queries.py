@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from crestline.functions import describe, levels, pcm
 from crestline.operators import batches, channels, export, layouts, packets, report, tracks, trim, windows
 from crestline.schema import format_error
-from crestline.sources import adapters, alac, dsd, files, flac, mp4, ranges, sink
-from crestline.storage import fresh
+from crestline.sources import adapters, alac, dsd, files, flac, mp4, ogg, ranges, sink
+from crestline.storage import fresh, written
 from crestline.streaming import signals
 
 RATE = adapters.SAMPLE_RATE
@@ -908,6 +908,46 @@ def alac_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count", "sample_rate", "codec", "skipped_packets")
 
 
+def _paged(rows: pd.DataFrame) -> pd.DataFrame:
+    """A track's vectors as packets of 224 to 256 bytes on Ogg pages of at most seven segments, and its samples as FLAC in Ogg."""
+    rows = rows.sort_values("vec_id")
+    vectors = [np.trunc(np.clip(np.asarray(x, np.float64), -1, 1) * 32767).astype(np.int64) for x in rows["embedding"]]
+    payload = [x.astype("<i4").tobytes()[: int(224 + 4 * (v % 9))] for x, v in zip(vectors, rows["vec_id"], strict=True)]
+    head = b"OpusHead" + struct.pack("<BBHIhB", 1, 2, 312, RATE, 0, 0)
+    codes, name = np.concatenate(vectors).reshape(-1, 2).T, rows["name"].iloc[0]
+    whole = ogg.write_ogg([head, *payload], [0, *(312 + 960 * (k + 1) for k in range(len(payload)))], int(rows["vec_id"].iloc[0]), segments=7)
+    return pd.DataFrame({"name": [f"{name}.opus", f"{name}.ogg"], "content": [whole, ogg.write_flac(codes, RATE, 16, FLAC_BLOCK, segments=9)]})
+
+
+def _ogg_folder(spark: SparkSession, sf_dir: str) -> str:
+    folder = fresh(spark, "ogg-files")
+    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_paged, "name string, content binary"), folder)
+    return folder
+
+
+@query(f"""WITH g AS (SELECT label || '-' || vec_id // {FILE_VECTORS} AS name, vec_id, 224 + 4 * (vec_id % 9) AS length, list_transform(embedding, lambda x: trunc(least(greatest(x::DOUBLE, -1), 1) * 32767)::INT) AS codes FROM embeddings),
+    h AS (SELECT *, codes[1] & 255 AS toc, (codes[1] >> 8) & 255 AS second FROM g)
+    SELECT name || '.opus' AS path, row_number() OVER o AS seq, length, false AS failed,
+    (CASE WHEN toc >> 3 < 12 THEN [480, 960, 1920, 2880][(toc >> 3) % 4 + 1] WHEN toc >> 3 < 16 THEN [480, 960][(toc >> 3) % 2 + 1] ELSE [120, 240, 480, 960][(toc >> 3) % 4 + 1] END * CASE toc & 3 WHEN 0 THEN 1 WHEN 3 THEN second & 63 ELSE 2 END)::INT AS samples,
+    array_to_string(list_transform(codes[1:length // 4], lambda c: printf('%02x%02x%02x%02x', c & 255, (c >> 8) & 255, (c >> 16) & 255, (c >> 24) & 255)), '') AS payload,
+    (960 * count(*) OVER (PARTITION BY name))::BIGINT AS sample_count FROM h WINDOW o AS (PARTITION BY name ORDER BY vec_id)""")
+def ogg_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of written Ogg files: pages found by ranges of 3,000 bytes, packets put together over page borders, lengths of
+    streams from their last pages."""
+    pages = written(ogg.page_table(spark, _ogg_folder(spark, sf_dir), share=3000, extensions=("opus",)), "ogg-pages")
+    found = ogg.payloads(ogg.packets(pages)).where("seq > 0").join(ogg.stream_table(pages).select("path", "sample_count"), "path")
+    return found.select(describe.file_name(F.col("path")).alias("path"), "seq", "length", "failed", ogg.opus_samples(F.col("payload")).alias("samples"), F.lower(F.hex("payload")).alias("payload"), "sample_count")
+
+
+@query(f"""{_windows(_FILES)} SELECT track_id || '.ogg' AS path, channel, {_R('dr_value')}, {_R('rms')}, {_R('peak')}, sample_count, {RATE}::INT AS sample_rate, 'FLAC' AS codec FROM dr
+    UNION ALL BY NAME SELECT DISTINCT label || '-' || vec_id // {FILE_VECTORS} || '.opus' AS path, 'DecodingError' AS error_kind FROM embeddings""")
+def ogg_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From FLAC in Ogg to ranges of channels; files of a codec without a decoder are rows with an error."""
+    known, found = files.analyse(spark, _ogg_folder(spark, sf_dir))
+    found = known.select(F.col("path").alias("track_id"), "sample_rate", "codec", "error_kind").join(found, "track_id", "left")
+    return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count", "sample_rate", "codec", "error_kind")
+
+
 def _streamed(packets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Writes packets in two halves, each by track, streams the files, some a batch, and reads what the stream wrote; numbers
     arrive out of order."""
