@@ -19,7 +19,7 @@ from crestline.operators import batches, channels, export, layouts, packets, rep
 from crestline.schema import format_error
 from crestline.sources import adapters, alac, dsd, files, flac, mp4, ogg, ranges, sink
 from crestline.storage import fresh, written
-from crestline.streaming import signals
+from crestline.streaming import audio, signals
 
 RATE = adapters.SAMPLE_RATE
 FRAMES = windows.window_frames(RATE)
@@ -969,6 +969,32 @@ def _stream_packets(rows: DataFrame, *by: str) -> DataFrame:
     return numbered.withColumn("last", F.col("seq") == F.max("seq").over(track)).select("track_id", "channel", "seq", F.col("embedding").alias("samples"), "last")
 
 
+def _growing(spark: SparkSession, sf_dir: str, read: Callable[[DataFrame, str], object]) -> str:
+    """Audio files that are streamed twice: when the WAV files have half their bytes, and when all are there and closed."""
+    place = fresh(spark, "audio-stream")
+    made = written(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_files, "name string, content binary"), "audio-bytes")
+    halves = made.where("name LIKE '%.wav'").select("name", F.expr("substring(content, 1, length(content) div 2)").alias("content"))
+    for rows, settle in ((halves, 86400.0), (made, 0.0)):
+        sink.write_files(rows, f"{place}/in")
+        read(audio.audio_stream(spark, f"{place}/in", f"{place}/log", settle=settle, share=3000), place).awaitTermination()
+    return place
+
+
+@query(" UNION ALL BY NAME ".join(f"SELECT * FROM ({_window_sql(ending)})" for ending in ("wav", "flac")))
+def streamed_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of files that grow while they are streamed: each comes once."""
+    place = _growing(spark, sf_dir, lambda f, p: f.writeStream.format("parquet").option("path", f"{p}/out").option("checkpointLocation", f"{p}/state").trigger(availableNow=True).start())
+    found = spark.read.parquet(f"{place}/out").where("win IS NOT NULL").withColumn("rms", F.sqrt(2 * F.col("sum_sq") / F.col("n")))
+    return found.select(describe.file_name(F.col("path")).alias("path"), "channel", "win", "n", *rounded("rms", "peak"))
+
+
+@query(ORACLES["audio_analysis"])
+def followed_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of channels, each reported once, as files close."""
+    found = spark.read.parquet(f"{_growing(spark, sf_dir, audio.follow)}/channels")
+    return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count")
+
+
 @query(f"{_windows(EMBEDDINGS)} SELECT track_id, channel, win, n, {_R('rms')}, {_R('peak')} FROM w")
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").withColumn("track_id", F.col("label").cast("string")).withColumn("channel", F.pmod("vec_id", F.lit(2)).cast("int"))

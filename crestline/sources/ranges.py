@@ -158,7 +158,7 @@ def _dsd(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan
     return known, frames
 
 
-_READERS = {"wav": _wav, "flac": _flac, "dsf": _dsd, "dff": _dsd}
+READERS = {"wav": _wav, "flac": _flac, "dsf": _dsd, "dff": _dsd}
 
 
 class AudioWindowsReader(DataSourceReader):
@@ -190,7 +190,7 @@ class AudioWindowsReader(DataSourceReader):
                 if not piece.size:
                     raise AudioError("FormatError", "empty file")
                 with system.open_input_file(piece.path) as file:
-                    known, frames = _READERS[piece.path.rsplit(".", 1)[-1].lower()](file, piece, levels, self.plan)
+                    known, frames = READERS[piece.path.rsplit(".", 1)[-1].lower()](file, piece, levels, self.plan)
             except (AudioError, ValueError, IndexError, struct.error) as e:
                 yield files.meta_batch(name, None, 0, e)
                 continue
