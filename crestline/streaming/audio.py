@@ -18,6 +18,7 @@ import json
 import struct
 import time
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
@@ -33,13 +34,24 @@ from crestline.sources.registry import AudioError, AudioFormat
 
 #: Seconds without a change after which a file is closed, and plans between two lists of the files seen.
 SETTLE, KEEP = 10.0, 64
+#: Most shares of a task.
+TOGETHER = 64
 
 
-class Share(InputPartition):
+@dataclass
+class Share:
     """Bytes first to last of a file that had `size` bytes; the last share of a closed file is `closing`."""
 
-    def __init__(self, path: str, size: int, first: int, last: int, closing: bool):
-        self.path, self.size, self.first, self.last, self.closing = path, size, first, last, closing
+    path: str
+    size: int
+    first: int
+    last: int
+    closing: bool
+
+
+@dataclass
+class Shares(InputPartition):
+    parts: list[Share]
 
 
 class AudioStreamReader(DataSourceStreamReader):
@@ -108,34 +120,46 @@ class AudioStreamReader(DataSourceStreamReader):
         return {"plan": self.number}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        out: list[InputPartition] = []
+        found: list[Share] = []
         for n in range(start["plan"] + 1, end["plan"] + 1):
             for path, size, first, closing in self._get(f"plan-{n}"):
                 step = self.share if not path.lower().endswith(".flac") else max(size, 1)
                 cuts = [*range(first, max(size, first + 1), step), size]
-                out += [Share(path, size, a, b, closing and k == len(cuts) - 2) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+                found += [Share(path, size, a, b, closing and k == len(cuts) - 2) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        out, room = [], 0  # small shares share a task
+        for part in found:
+            cost = max(part.last - part.first, self.share // TOGETHER)
+            if cost > room:
+                out.append(Shares([]))
+                room = max(self.share, cost)
+            out[-1].parts.append(part)
+            room -= cost
         return out
 
     # ---- ranges, in tasks ----
 
-    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
+        for part in partition.parts:
+            yield from self._share(part)
+
+    def _share(self, part: Share) -> Iterator[pa.RecordBatch]:
         system, _, before = ranges.system_of(self.path)
-        name, kind = before + partition.path, partition.path.rsplit(".", 1)[-1].lower()
+        name, kind = before + part.path, part.path.rsplit(".", 1)[-1].lower()
         levels = files.Levels(name)
         known, frames, error = None, 0, None
         try:
-            with system.open_input_file(partition.path) as file:
+            with system.open_input_file(part.path) as file:
                 if kind == "wav":
-                    known, frames = _grown(file, partition, levels)
-                elif not partition.size:
+                    known, frames = _grown(file, part, levels)
+                elif not part.size:
                     raise AudioError("FormatError", "empty file")
                 else:
-                    known, frames = ranges.READERS[kind](file, ranges.Piece(partition.path, partition.size, partition.first, partition.last), levels, self.plan)
+                    known, frames = ranges.READERS[kind](file, ranges.Piece(part.path, part.size, part.first, part.last), levels, self.plan)
         except (AudioError, ValueError, IndexError, struct.error) as e:
             error = e
         if levels.found and error is None:
             yield levels.batch()
-        if partition.closing:
+        if part.closing:
             yield files.meta_batch(name, known if error is None else None, frames, error)
 
     def commit(self, end: dict) -> None:
