@@ -156,15 +156,33 @@ def contents(spark: SparkSession, directory: str, recursive: bool = False, decod
     return _files(spark, directory, recursive, known_decoders(decoders), without).where(F.col("length") <= LONGEST).select("path", "content")
 
 
+def listed(spark: SparkSession, directory: str, recursive: bool) -> Iterator[tuple[str, int]]:
+    """Path and length of every file of a directory: one call where pyarrow knows the store, else a walk by Hadoop that asks for
+    no places of blocks, which on some stores costs a process a file."""
+    from pyarrow import fs
+
+    from crestline.sources import ranges
+
+    if ranges.readable(directory):
+        system, base, before = ranges.system_of(directory)
+        yield from ((before + x.path, x.size) for x in system.get_file_info(fs.FileSelector(base, recursive=recursive)) if x.type == fs.FileType.File)
+        return
+    top = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    system, folders = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), [top]
+    while folders:
+        found = system.listStatusIterator(folders.pop())
+        while found.hasNext():
+            status = found.next()
+            if not status.isDirectory():
+                yield status.getPath().toString(), status.getLen()
+            elif recursive:
+                folders.append(status.getPath())
+
+
 def failed_files(spark: SparkSession, directory: str, recursive: bool, decoders: dict[str, Decoder], without: tuple[str, ...] = ()) -> DataFrame:
     """META rows for audio files that Spark's file source cannot hand over: those without a byte and those too long."""
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(directory)
-    found = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listFiles(top, recursive)
     wanted, rows = {e for e in (*EXTENSIONS, *decoders) if e not in without}, []
-    while found.hasNext():
-        status = found.next()
-        path, length = status.getPath().toString(), status.getLen()
+    for path, length in listed(spark, directory, recursive):
         if path.rsplit("/", 1)[-1].rpartition(".")[2].lower() in wanted and (length == 0 or length > LONGEST):
             told = {"error": "empty file", "error_kind": "FormatError"} if not length else {"error": "too long for a format that cannot be cut", "error_kind": "ResourceError"}
             rows.append(dict.fromkeys(_META_TYPES.names) | {"path": path} | told)

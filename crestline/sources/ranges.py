@@ -4,15 +4,17 @@ PCM has frames of a fixed size, one-bit files bytes of a fixed order, and the fr
 so such files can be cut and their pieces read by different tasks; each reads its own bytes (and, for what begins there,
 some of its neighbours').
 Rows are windows (path, channel, win, n, sum_sq, peak), of FLAC in parts that add up, and one row a piece that says what the
-file is, how many frames the piece had, or why it failed. Small files share a task. Files are opened through pyarrow's file
+file is, how many frames the piece had, or why it failed. Small files share a task, by their number as well as by their bytes:
+opening and decoding a file of a few bytes takes its time too. Files are opened through pyarrow's file
 systems (local paths and URIs it knows). The driver lists files and opens none; a task reads the header, chunk by chunk.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ from crestline.sources.registry import AudioError, AudioFormat
 
 #: Bytes of a file that are one task's share, and bytes of a format chunk that say what is needed.
 SHARE_BYTES, FORMAT_BYTES = 64 << 20, 64
+#: Most ranges of a task, and bytes that a task has room for however short the ranges are.
+TOGETHER, LEAST_BYTES = 64, 4 << 20
 #: Extensions of files that can be cut.
 CUT = ("wav", "flac", "dsf", "dff")
 
@@ -43,6 +47,28 @@ class Pieces(InputPartition):
     pieces: list[Piece]
 
 
+class Range(Protocol):
+    first: int
+    last: int
+
+
+AnyRange = TypeVar("AnyRange", bound=Range)
+
+
+def dealt(found: Iterable[AnyRange], share: int) -> list[list[AnyRange]]:
+    """Ranges, in order, by task: each counts as a TOGETHERth of a task's room at least, so neither long nor many ranges meet
+    in one task, and neither bytes nor tasks are as many as short ranges."""
+    room, left, out = max(share, LEAST_BYTES), 0, []
+    for part in found:
+        cost = max(part.last - part.first, room // TOGETHER)
+        if cost > left:
+            out.append([])
+            left = max(room, cost)
+        out[-1].append(part)
+        left -= cost
+    return out
+
+
 def system_of(path: str) -> tuple[fs.FileSystem, str, str]:
     """File system, path within it, and what stands before such paths."""
     if "://" in path:
@@ -168,19 +194,12 @@ class AudioWindowsReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         system, base, _ = system_of(self.path)
         found = system.get_file_info(fs.FileSelector(base, recursive=self.recursive))
-        out: list[InputPartition] = [Pieces([])]
-        room = self.share
+        pieces: list[Piece] = []
         for info in sorted(found, key=lambda x: x.path):
             if info.type != fs.FileType.File or info.extension.lower() not in self.extensions:
                 continue
-            for first in range(0, max(info.size, 1), self.share):
-                piece = Piece(info.path, info.size, first, min(first + self.share, info.size))
-                if piece.last - piece.first > room and out[-1].pieces:
-                    out.append(Pieces([]))
-                    room = self.share
-                out[-1].pieces.append(piece)
-                room -= piece.last - piece.first
-        return out
+            pieces += [Piece(info.path, info.size, first, min(first + self.share, info.size)) for first in range(0, max(info.size, 1), self.share)]
+        return [Pieces(found) for found in dealt(pieces, self.share)] or [Pieces([])]
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _, before = system_of(self.path)

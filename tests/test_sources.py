@@ -108,6 +108,40 @@ def test_pieces_after_a_long_chunk(spark, tmp_path):
     assert got["plain.wav"] == got["before.WAV"] == got["between.wav"]
 
 
+def test_many_short_files_are_dealt_by_number(tmp_path):
+    """Files of some bytes are neither one task all together nor one task each, whatever a range's bytes."""
+    from crestline.sources import ranges
+
+    for k in range(200):
+        (tmp_path / f"{k:03}.wav").write_bytes(b"RIFF" * 100)
+    for share, pieces in ((300, 400), (ranges.SHARE_BYTES, 200)):
+        found = [p.pieces for p in ranges.AudioWindowsReader(str(tmp_path), False, share, ("wav",), None).partitions()]
+        assert [(p.path, p.first) for x in found for p in x] == [(str(tmp_path / f"{k:03}.wav"), a) for k in range(200) for a in range(0, 400, share)]
+        assert len(found) == -(-pieces // 64) and max(map(len, found)) == 64
+    long = [ranges.Piece("a", 10**9, a, a + 10**8) for a in range(0, 10**9, 10**8)]
+    assert ranges.dealt(long, 10**8) == [[x] for x in long]
+
+
+@pytest.mark.parametrize("recursive", [False, True])
+def test_listing_without_a_process_a_file(spark, tmp_path, monkeypatch, recursive):
+    """Files without a byte are found by pyarrow alone, and the same by Hadoop where pyarrow does not know the store; neither asks
+    for the places of blocks, which costs a process a file on a local disk."""
+    from types import SimpleNamespace
+
+    from crestline.sources import ranges
+
+    (tmp_path / "in a").mkdir()
+    for name in ("a.mp3", "b +%20.M4A", "c.txt", "in a/d.mp3"):
+        (tmp_path / name).write_bytes(b"")
+    (tmp_path / "full.mp3").write_bytes(b"x")
+    given = registry.known_decoders()
+    told = lambda rows: sorted(r["path"].removeprefix("file:").lstrip("/") for r in rows.collect())
+    want = sorted(str(tmp_path / n).lstrip("/") for n in ("a.mp3", "b +%20.M4A", *(["in a/d.mp3"] if recursive else [])))
+    assert told(files.failed_files(SimpleNamespace(createDataFrame=spark.createDataFrame), str(tmp_path), recursive, given)) == want
+    monkeypatch.setattr(ranges, "readable", lambda path: False)
+    assert told(files.failed_files(spark, str(tmp_path), recursive, given)) == want
+
+
 def test_extensible_mask_and_encodings():
     fmt = struct.pack("<HHIIHHHHIH14s", wav.EXTENSIBLE, 6, 48000, 48000 * 12, 12, 16, 22, 16, 0x3F, 1, b"\0" * 14)
     data = b"RIFF" + struct.pack("<I", 0) + b"WAVE" + b"junk" + struct.pack("<I", 3) + b"abc\0" + b"fmt " + struct.pack("<I", 40) + fmt + b"data" + struct.pack("<I", 24) + b"\0" * 24
