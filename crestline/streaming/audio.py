@@ -34,9 +34,6 @@ from crestline.sources.registry import AudioError, AudioFormat
 
 #: Seconds without a change after which a file is closed, and plans between two lists of the files seen.
 SETTLE, KEEP = 10.0, 64
-#: Most shares of a task.
-TOGETHER = 64
-
 
 @dataclass
 class Share:
@@ -126,15 +123,7 @@ class AudioStreamReader(DataSourceStreamReader):
                 step = self.share if not path.lower().endswith(".flac") else max(size, 1)
                 cuts = [*range(first, max(size, first + 1), step), size]
                 found += [Share(path, size, a, b, closing and k == len(cuts) - 2) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        out, room = [], 0  # small shares share a task
-        for part in found:
-            cost = max(part.last - part.first, self.share // TOGETHER)
-            if cost > room:
-                out.append(Shares([]))
-                room = max(self.share, cost)
-            out[-1].parts.append(part)
-            room -= cost
-        return out
+        return [Shares(parts) for parts in ranges.dealt(found, self.share)]  # small shares share a task
 
     # ---- ranges, in tasks ----
 

@@ -107,6 +107,15 @@ def test_plan_written_before_its_offset_is_used(tmp_path):
     assert third.latestOffset() == {"plan": audio.KEEP + 2} and third.seen == second.seen == json.loads(json.dumps(second.seen))
 
 
+def test_short_shares_share_a_task(tmp_path):
+    """Also where a share has fewer bytes than the files."""
+    for k in range(150):
+        (tmp_path / f"{k}.wav").write_bytes(wav_bytes(signal(100, k)))
+    reader = audio.AudioStreamReader(str(tmp_path), str(tmp_path / "log"), False, 3600.0, 300, None)
+    found = [shares.parts for shares in reader.partitions(reader.initialOffset(), reader.latestOffset())]
+    assert sum(map(len, found)) == 300 and len(found) == 5 and max(map(len, found)) == 64
+
+
 def test_results_as_files_close(spark, tmp_path):
     folder, place = tmp_path / "in", str(tmp_path / "work")
     folder.mkdir()
