@@ -7,7 +7,8 @@ decoded gives an error row and the batch goes on.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import contextlib
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from crestline.constants import EXTENSIONS
 from crestline.functions import describe
 from crestline.operators.windows import WINDOW_SECONDS, below, complete, window_frames
 from crestline.sources import dsd
-from crestline.sources.registry import AudioError, AudioFormat, Decoder, Routed, decoder_for, extensions_glob, known_decoders
+from crestline.sources.registry import AudioError, AudioFormat, Decoder, Packets, Routed, decoder_for, extensions_glob, known_decoders
 from crestline.storage import written
 
 #: What a file is, or why it failed; frames and failed packets as decoded.
@@ -36,9 +37,11 @@ BOTH = META + WINDOWS.removeprefix("path string")
 BOTH_TYPES = pa.schema([*_META_TYPES, *list(_WINDOW_TYPES)[1:]])
 #: Bytes beyond which Spark hands no file over whole.
 LONGEST = (1 << 31) - 16
+#: Rows of a batch that tasks hand over.
+JOINED = 256
 
 
-def _opened(path: str, data: bytes, decoders: dict[str, Decoder]) -> tuple[AudioFormat, Iterator[np.ndarray]]:
+def _opened(path: str, data: bytes, decoders: dict[str, Decoder]) -> tuple[AudioFormat, Iterable[np.ndarray]]:
     extension = path.rsplit(".", 1)[-1].lower()
     try:
         return decoder_for(extension, decoders)(data, extension)
@@ -105,25 +108,77 @@ def meta_batch(path: str, found: AudioFormat | None, frames: int, error: Excepti
     return pa.RecordBatch.from_pylist([row], BOTH_TYPES)
 
 
+def batches(levels: Levels, found: AudioFormat | None, frames: int, error: Exception | None = None) -> Iterator[pa.RecordBatch]:
+    """Windows and format of a file or a range, or only why it failed."""
+    if error is not None:
+        yield meta_batch(levels.path, None, 0, error)
+        return
+    if levels.found:
+        yield levels.batch()
+    yield meta_batch(levels.path, found, frames)
+
+
+def joined(some: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of JOINED rows or somewhat more: a batch of a row or two takes its time to hand over."""
+    held: list[pa.RecordBatch] = []
+    for batch in some:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= JOINED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _read_files(decoders: dict[str, Decoder], windows: bool = True) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The windows of each file, then one row that says what the file is or why it failed: a file is decoded once."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(path: str, found: AudioFormat | None, blocks: Iterable[np.ndarray], error: Exception | None) -> Iterator[pa.RecordBatch]:
+        frames, levels = 0, Levels(path)
+        try:
+            if error is not None:
+                raise error
+            step = window_frames(found.sample_rate)
+            for block in blocks:  # decoders may cut blocks anywhere
+                if windows and len(block):
+                    levels.add_from(frames, block.T, step)
+                frames += len(block)
+        except Exception as e:  # a decoder of the user's may raise anything; the batch goes on
+            error = e
+        if windows and levels.found:
+            yield levels.batch()
+        yield meta_batch(path, found if error is None else None, frames, error)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[Hashable, list[tuple[str, AudioFormat, Packets]]] = {}
+
+        def taken(key: Hashable) -> Iterator[pa.RecordBatch]:
+            some = held.pop(key)
+            if len(some) > 1:
+                with contextlib.suppress(Exception):  # then each is decoded by itself, and the one at fault told
+                    some[0][2].together([blocks for *_, blocks in some])
+            for path, found, blocks in some:
+                yield from told(path, found, blocks, None)
+
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                found, frames, levels, error = None, 0, Levels(path), None
+                found, blocks, error = None, (), None
                 try:
                     found, blocks = _opened(path, data, decoders)
-                    step = window_frames(found.sample_rate)
-                    for block in blocks:  # decoders may cut blocks anywhere
-                        if windows and len(block):
-                            levels.add_from(frames, block.T, step)
-                        frames += len(block)
-                except Exception as e:  # a decoder of the user's may raise anything; the batch goes on
+                except Exception as e:
                     error = e
-                if windows and levels.found:
-                    yield levels.batch()
-                yield meta_batch(path, found if error is None else None, frames, error)
+                if not isinstance(blocks, Packets) or blocks.count >= Packets.GROUP:
+                    yield from told(path, found, blocks, error)
+                    continue
+                key = type(blocks), blocks.alike()
+                if sum(b.count for *_, b in held.get(key, ())) + blocks.count > Packets.GROUP:
+                    yield from taken(key)
+                held.setdefault(key, []).append((path, found, blocks))
+            for key in list(held):  # the batch's bytes are let go
+                yield from taken(key)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from joined(rows(batches))
 
     return read
 

@@ -12,6 +12,7 @@ systems (local paths and URIs it knows). The driver lists files and opens none;
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Protocol, TypeVar
@@ -132,14 +133,18 @@ def _wav(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan
     return known, frames
 
 
-def _flac(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan) -> tuple[AudioFormat, int]:
+def _flac_part(file: pa.NativeFile, piece: Piece) -> tuple[np.ndarray, flac.StreamInfo, int]:
+    """The bytes in which frames of the piece lie, the file's format, and how many of them are the piece's own."""
     read = _At(file, piece.size)
     info = flac.stream_info(read, piece.size)
-    known, step = info.format(), window_frames(info.rate)
-    begin, frames = max(piece.first, info.start), 0
+    begin = max(piece.first, info.start)
     if begin >= piece.last:
-        return known, 0
-    data = bits.padded(read(piece.last + info.frame_bytes + flac.LONGEST_HEADER - begin, begin))
+        return bits.padded(b""), info, 0
+    return bits.padded(read(piece.last + info.frame_bytes + flac.LONGEST_HEADER - begin, begin)), info, piece.last - begin
+
+
+def _flac(info: flac.StreamInfo, found: Iterable[tuple[int, np.ndarray | None]], levels: files.Levels) -> tuple[AudioFormat, int]:
+    known, step, frames = info.format(), window_frames(info.rate), 0
     held: list[np.ndarray] = []
 
     def flush(first: int) -> None:
@@ -152,7 +157,7 @@ def _flac(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Pla
             held.clear()
 
     first = at = 0
-    for place, samples in flac.frames_of(data, info, 0, piece.last - begin):
+    for place, samples in found:
         if samples is None:
             known.skipped_packets += 1
             continue
@@ -184,7 +189,61 @@ def _dsd(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan
     return known, frames
 
 
-READERS = {"wav": _wav, "flac": _flac, "dsf": _dsd, "dff": _dsd}
+READERS = {"wav": _wav, "dsf": _dsd, "dff": _dsd}
+FAILURES = (AudioError, ValueError, IndexError, struct.error)
+
+
+@dataclass
+class Read:
+    """What a piece gave: its windows, the file's format and the piece's frames, or why it failed."""
+
+    piece: Piece
+    levels: files.Levels
+    known: AudioFormat | None = None
+    frames: int = 0
+    error: Exception | None = None
+
+
+def read_pieces(pieces: Iterable[Piece], system: fs.FileSystem, before: str, plan: dsd.Plan) -> Iterator[Read]:
+    """Pieces read one after the other, those of FLAC files last: their frames are decoded side by side over short files."""
+    coded: list[Piece] = []
+    for piece in pieces:
+        kind = piece.path.rsplit(".", 1)[-1].lower()
+        if kind == "flac" and piece.size:
+            coded.append(piece)
+            continue
+        out = Read(piece, files.Levels(before + piece.path))
+        try:
+            if not piece.size:
+                raise AudioError("FormatError", "empty file")
+            with system.open_input_file(piece.path) as file:
+                out.known, out.frames = READERS[kind](file, piece, out.levels, plan)
+        except FAILURES as e:
+            out.error = e
+        yield out
+    opened, failed = deque(), deque()
+
+    def parts() -> Iterator[tuple[np.ndarray, flac.StreamInfo, int, int]]:
+        for piece in coded:
+            out = Read(piece, files.Levels(before + piece.path))
+            try:
+                with system.open_input_file(piece.path) as file:
+                    data, info, own = _flac_part(file, piece)
+            except FAILURES as e:
+                out.error = e
+                failed.append(out)
+                continue
+            opened.append((out, info))
+            yield data, info, 0, own
+
+    for found in flac.frames_of_each(parts()):
+        out, info = opened.popleft()
+        try:
+            out.known, out.frames = _flac(info, found, out.levels)
+        except FAILURES as e:
+            out.error = e
+        yield out
+    yield from failed
 
 
 class AudioWindowsReader(DataSourceReader):
@@ -203,19 +262,7 @@ class AudioWindowsReader(DataSourceReader):
 
     def read(self, partition: Pieces) -> Iterator[pa.RecordBatch]:
         system, _, before = system_of(self.path)
-        for piece in partition.pieces:
-            name, levels = before + piece.path, files.Levels(before + piece.path)
-            try:
-                if not piece.size:
-                    raise AudioError("FormatError", "empty file")
-                with system.open_input_file(piece.path) as file:
-                    known, frames = READERS[piece.path.rsplit(".", 1)[-1].lower()](file, piece, levels, self.plan)
-            except (AudioError, ValueError, IndexError, struct.error) as e:
-                yield files.meta_batch(name, None, 0, e)
-                continue
-            if levels.found:
-                yield levels.batch()
-            yield files.meta_batch(name, known, frames)
+        yield from files.joined(batch for found in read_pieces(partition.pieces, system, before, self.plan) for batch in files.batches(found.levels, found.known, found.frames, found.error))
 
 
 class AudioWindows(DataSource):

@@ -128,33 +128,36 @@ class AudioStreamReader(DataSourceStreamReader):
     # ---- ranges, in tasks ----
 
     def read(self, partition: Shares) -> Iterator[pa.RecordBatch]:
-        for part in partition.parts:
-            yield from self._share(part)
+        yield from files.joined(self._rows(partition.parts))
 
-    def _share(self, part: Share) -> Iterator[pa.RecordBatch]:
+    def _rows(self, parts: list[Share]) -> Iterator[pa.RecordBatch]:
         system, _, before = ranges.system_of(self.path)
-        name, kind = before + part.path, part.path.rsplit(".", 1)[-1].lower()
-        levels = files.Levels(name)
-        known, frames, error = None, 0, None
-        try:
-            with system.open_input_file(part.path) as file:
-                if kind == "wav":
+        growing = [part for part in parts if part.path.lower().endswith(".wav")]
+        for part in growing:
+            levels, known, frames, error = files.Levels(before + part.path), None, 0, None
+            try:
+                with system.open_input_file(part.path) as file:
                     known, frames = _grown(file, part, levels)
-                elif not part.size:
-                    raise AudioError("FormatError", "empty file")
-                else:
-                    known, frames = ranges.READERS[kind](file, ranges.Piece(part.path, part.size, part.first, part.last), levels, self.plan)
-        except (AudioError, ValueError, IndexError, struct.error) as e:
-            error = e
-        if levels.found and error is None:
-            yield levels.batch()
-        if part.closing:
-            yield files.meta_batch(name, known if error is None else None, frames, error)
+            except ranges.FAILURES as e:
+                error = e
+            yield from _told(part, levels, known, frames, error)
+        closed = [part for part in parts if not part.path.lower().endswith(".wav")]
+        shares = {(part.path, part.first): part for part in closed}
+        for found in ranges.read_pieces([ranges.Piece(part.path, part.size, part.first, part.last) for part in closed], system, before, self.plan):
+            yield from _told(shares[found.piece.path, found.piece.first], found.levels, found.known, found.frames, found.error)
 
     def commit(self, end: dict) -> None:
         """Nothing to let go: plans stay, so that a new query can read all from the start."""
 
 
+def _told(part: Share, levels: files.Levels, known: AudioFormat | None, frames: int, error: Exception | None) -> Iterator[pa.RecordBatch]:
+    """Windows of a share that did not fail; of a file's last share also what the file is."""
+    if levels.found and error is None:
+        yield levels.batch()
+    if part.closing:
+        yield files.meta_batch(levels.path, known if error is None else None, frames, error)
+
+
 def _grown(file: pa.NativeFile, share: Share, levels: files.Levels) -> tuple[AudioFormat | None, int]:
     """The windows that end within the share. A header that does not tell the length, as that of a file being written, means
     all that is there. Frames: all of the file."""

@@ -151,3 +151,54 @@ def test_digest_is_that_of_the_samples():
     data = flac.encode(x, 96000, 24)
     raw = b"".join(int(v).to_bytes(3, "little", signed=True) for v in x.T.reshape(-1))
     assert flac.md5(data) == (hashlib.md5(raw, usedforsecurity=False).digest(),) * 2
+
+
+def test_short_files_are_decoded_side_by_side(tmp_path, monkeypatch):
+    """As many decoding steps as there are block sizes, not as there are files; broken files fail alone."""
+    from crestline.sources import dsd, ranges
+
+    tracks = {f"{k:02d}.flac": signal(192 * 4 + 50 * (k % 3), 2, 16, seed=k) for k in range(60)}
+    for name, x in tracks.items():
+        (tmp_path / name).write_bytes(flac.encode(x, 300, 16, block=192))
+    broken = bytearray((tmp_path / "07.flac").read_bytes())
+    broken[len(broken) // 2] ^= 0x10
+    (tmp_path / "07.flac").write_bytes(bytes(broken))
+    (tmp_path / "20a.flac").write_bytes(b"no such file")
+    (tmp_path / "20b.flac").write_bytes(b"")
+    calls, own = [], flac._decode
+    monkeypatch.setattr(flac, "_decode", lambda data, frames, room: calls.append(len(frames)) or own(data, frames, room))
+    reader = ranges.AudioWindowsReader(str(tmp_path), False, 64 << 20, ("flac",), dsd.Plan())
+    rows = [row for part in reader.partitions() for batch in reader.read(part) for row in batch.to_pylist()]
+    assert len(calls) <= 3 + 3  # three block sizes; the broken frame alone
+    told = {row["path"].rsplit("/", 1)[-1]: row for row in rows if row["win"] is None}
+    assert len(told) == len(tracks) + 2 and {k for k, v in told.items() if v["error"]} == {"20a.flac", "20b.flac"}
+    assert {k: v["skipped_packets"] for k, v in told.items() if v["skipped_packets"]} == {"07.flac": 1}
+    for name, x in tracks.items():
+        found = sorted((row["channel"], row["win"], row["n"], row["sum_sq"]) for row in rows if row["win"] is not None and row["path"].endswith(name))
+        if name == "07.flac":
+            assert sum(n for c, _, n, _ in found if c == 0) == told[name]["actual_frames"] == x.shape[1] - 192
+            continue
+        assert told[name]["actual_frames"] == x.shape[1]
+        wanted = [(c, w, x[c, 900 * w : 900 * (w + 1)]) for c in range(2) for w in range(-(-x.shape[1] // 900))]
+        assert [(c, w, n) for c, w, n, _ in found] == [(c, w, len(part)) for c, w, part in wanted]
+        assert np.allclose([s for *_, s in found], [((part / 32768) ** 2).sum() for *_, part in wanted])
+
+
+def test_one_bad_frame_among_many_is_found_by_halves(monkeypatch):
+    """A frame whose checksum is right but that cannot be decoded costs some calls, and only itself."""
+    x = signal(192 * 64, 2, 16)
+    data = flac.encode(x, 44100, block=192)
+    info = flac.stream_info(lambda n, at: data[at : at + n], len(data))
+    calls, own = [], flac._decode
+    bad = [h.at for h in flac._part(bits.padded(data), info, info.start, None).heads][37]
+
+    def decode(data, frames, room):
+        calls.append(len(frames))
+        if any(h.at == bad for h in frames):
+            raise ValueError("bad")
+        return own(data, frames, room)
+
+    monkeypatch.setattr(flac, "_decode", decode)
+    found = list(flac.frames_of(bits.padded(data), info, info.start))
+    assert [k for k, (_, samples) in enumerate(found) if samples is None] == [37] and len(calls) <= 2 * 6 + 2
+    assert all((samples == x[:, place : place + 192]).all() for place, samples in found if samples is not None)
