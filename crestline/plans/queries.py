@@ -756,6 +756,8 @@ def batch_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Vectors of a file, and samples of a FLAC frame: small, so that the tables make several files of several frames.
 FILE_VECTORS, FLAC_BLOCK = 200, 192
+#: So many times these ids are made into files together.
+TRACKS_IDS = 4
 
 
 def _files(rows: pd.DataFrame) -> pd.DataFrame:
@@ -772,7 +774,7 @@ def _files(rows: pd.DataFrame) -> pd.DataFrame:
 def _audio_folder(spark: SparkSession, sf_dir: str) -> str:
     """Vectors written as audio files, FILE_VECTORS ids a label and file, by the sink of named files."""
     folder = fresh(spark, "audio-files")
-    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_files, "name string, content binary"), folder)
+    sink.write_files(_track_files(spark, sf_dir, _files), folder)
     return folder
 
 
@@ -832,8 +834,15 @@ def audio_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count")
 
 
-def _grouped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.concat_ws("-", "label", F.expr(f"vec_id div {FILE_VECTORS}")).alias("name"), "vec_id", "embedding")
+def _tracks_files(spark: SparkSession, sf_dir: str, make: Callable[[list[pd.DataFrame]], pd.DataFrame]) -> DataFrame:
+    """name, content of files made of tracks, those of FILE_VECTORS * TRACKS_IDS ids at a time: each has its name and vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.concat_ws("-", "label", F.expr(f"vec_id div {FILE_VECTORS}")).alias("name"), "vec_id", "embedding")
+    made = lambda some: make([track.sort_values("vec_id") for _, track in some.groupby("name")])
+    return rows.groupBy(F.expr(f"vec_id div {FILE_VECTORS * TRACKS_IDS}")).applyInPandas(made, "name string, content binary")
+
+
+def _track_files(spark: SparkSession, sf_dir: str, make: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    return _tracks_files(spark, sf_dir, lambda some: pd.concat([make(track) for track in some]))
 
 
 def _one_bit(rows: pd.DataFrame) -> pd.DataFrame:
@@ -861,7 +870,7 @@ def dsd_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-bit files read by ranges of a few hundred bytes, with the bytes around them that the filter needs."""
     ranges.register(spark)
     folder = fresh(spark, "one-bit-files")
-    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_one_bit, "name string, content binary"), folder)
+    sink.write_files(_track_files(spark, sf_dir, _one_bit), folder)
     found = spark.read.format("audio_windows").option("share", "300").option("dsd_rate", str(RATE)).load(folder).where("win IS NOT NULL")
     rms = F.round(F.sqrt(2 * F.col("sum_sq") / F.col("n")), 4).alias("rms")
     return found.select(describe.file_name(F.col("path")).alias("path"), "channel", "win", "n", rms, F.round("peak", 4).alias("peak"))
@@ -881,7 +890,7 @@ def _packed(rows: pd.DataFrame) -> pd.DataFrame:
 def mp4_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of written MP4 files: their places from the files' tables, then the bytes there."""
     folder = fresh(spark, "mp4-files")
-    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_packed, "name string, content binary"), folder)
+    sink.write_files(_track_files(spark, sf_dir, _packed), folder)
     found = mp4.payloads(mp4.packet_table(spark, folder))
     return found.select(describe.file_name(F.col("path")).alias("path"), "codec", "sample_rate", "channels", "seq", "first_frame", "n_frames", "length", F.lower(F.hex("payload")).alias("payload"))
 
@@ -889,20 +898,22 @@ def mp4_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALAC = alac.Config(FLAC_BLOCK, 16, 40, 10, 14, 2, RATE)
 
 
-def _lossless(rows: pd.DataFrame) -> pd.DataFrame:
-    """A track's vectors as ALAC packets of an MP4 file; the samples are those of the other audio files."""
-    flat = np.concatenate(rows.sort_values("vec_id")["embedding"].to_list()).astype(np.float64)
-    codes = np.trunc(np.clip(flat, -1, 1) * 32767).astype(np.int64).reshape(-1, 2).T
-    payload = alac.encode(codes, _ALAC)
-    ticks = [min(FLAC_BLOCK, codes.shape[1] - a) for a in range(0, codes.shape[1], FLAC_BLOCK)]
-    return pd.DataFrame({"name": [f"{rows['name'].iloc[0]}.m4a"], "content": [mp4.write_mp4(b"alac", payload, ticks, RATE, 2, 16, mp4.box(b"alac", bytes(4), _ALAC.packed()))]})
+def _lossless(some: list[pd.DataFrame]) -> pd.DataFrame:
+    """Tracks' vectors as ALAC packets of MP4 files; the samples are those of the other audio files."""
+    flat = [np.concatenate(rows["embedding"].to_list()).astype(np.float64) for rows in some]
+    codes = [np.trunc(np.clip(x, -1, 1) * 32767).astype(np.int64).reshape(-1, 2).T for x in flat]
+    content = []
+    for x, payload in zip(codes, alac.encode_each(codes, _ALAC), strict=True):
+        ticks = [min(FLAC_BLOCK, x.shape[1] - a) for a in range(0, x.shape[1], FLAC_BLOCK)]
+        content.append(mp4.write_mp4(b"alac", payload, ticks, RATE, 2, 16, mp4.box(b"alac", bytes(4), _ALAC.packed())))
+    return pd.DataFrame({"name": [f"{rows['name'].iloc[0]}.m4a" for rows in some], "content": content})
 
 
 @query(f"""{_windows(_FILES)} SELECT track_id || '.m4a' AS path, channel, {_R('dr_value')}, {_R('rms')}, {_R('peak')}, sample_count, {RATE}::INT AS sample_rate, 'ALAC' AS codec, 0::BIGINT AS skipped_packets FROM dr""")
 def alac_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From ALAC in MP4 files to ranges of channels, with what the files say of themselves."""
     folder = fresh(spark, "alac-files")
-    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_lossless, "name string, content binary"), folder)
+    sink.write_files(_tracks_files(spark, sf_dir, _lossless), folder)
     known, found = files.analyse(spark, folder)
     found = found.join(known.select(F.col("path").alias("track_id"), "sample_rate", "codec", "skipped_packets"), "track_id")
     return found.select(describe.file_name(F.col("track_id")).alias("path"), "channel", *rounded("dr_value", "rms", "peak"), "sample_count", "sample_rate", "codec", "skipped_packets")
@@ -921,7 +932,7 @@ def _paged(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _ogg_folder(spark: SparkSession, sf_dir: str) -> str:
     folder = fresh(spark, "ogg-files")
-    sink.write_files(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_paged, "name string, content binary"), folder)
+    sink.write_files(_track_files(spark, sf_dir, _paged), folder)
     return folder
 
 
@@ -972,7 +983,7 @@ def _stream_packets(rows: DataFrame, *by: str) -> DataFrame:
 def _growing(spark: SparkSession, sf_dir: str, read: Callable[[DataFrame, str], object]) -> str:
     """Audio files that are streamed twice: when the WAV files have half their bytes, and when all are there and closed."""
     place = fresh(spark, "audio-stream")
-    made = written(_grouped_vectors(spark, sf_dir).groupBy("name").applyInPandas(_files, "name string, content binary"), "audio-bytes")
+    made = written(_track_files(spark, sf_dir, _files), "audio-bytes")
     halves = made.where("name LIKE '%.wav'").select("name", F.expr("substring(content, 1, length(content) div 2)").alias("content"))
     for rows, settle in ((halves, 86400.0), (made, 0.0)):
         sink.write_files(rows, f"{place}/in")

@@ -175,3 +175,33 @@ def test_files_through_spark(spark, tmp_path):
     assert got == {"a.m4a": ("ALAC", 3000, 0, False, [5], None), "a.flac": ("FLAC", 3000, 0, False, [3], None), "broken.m4a": ("ALAC", 2744, 1, True, [5], None), "odd.m4a": (None, None, None, None, None, "FormatError")}
     values = {(r["track_id"].rsplit("/", 1)[1], r["channel"]): (r["dr_value"], r["rms"], r["peak"]) for r in found.collect()}
     assert all(values["a.m4a", k] == pytest.approx(values["a.flac", k]) for k in range(6))
+
+
+def test_short_files_are_decoded_and_made_side_by_side(monkeypatch):
+    """Packets of 50 files in one call, with the results of each file by itself; a broken file fails alone."""
+    import pyarrow as pa
+
+    from crestline.sources import files, mp4, registry
+
+    rng, c = np.random.default_rng(3), alac.Config(192, 16, 40, 10, 14, 2, 300)
+    tracks = [rng.integers(-9000, 9000, (2, 192 * 3 + 40 * (k % 3))) for k in range(50)]
+    each = alac.encode_each(tracks, c)
+    assert each == [alac.encode(x, c) for x in tracks]
+    made = []
+    for x, payload in zip(tracks, each, strict=True):
+        ticks = [min(192, x.shape[1] - a) for a in range(0, x.shape[1], 192)]
+        made.append(mp4.write_mp4(b"alac", payload, ticks, 300, 2, 16, mp4.box(b"alac", bytes(4), c.packed())))
+    made[11] = made[11].replace(each[11][1], b"\xff" * len(each[11][1]))  # a packet that fails
+    made[30] = made[30][:40]
+    batch = pa.RecordBatch.from_pydict({"path": [f"file:/{k:02d}.m4a" for k in range(50)], "content": made})
+    calls, own = [], alac.decode_packets
+    monkeypatch.setattr(alac, "decode_packets", lambda data, starts, *rest: calls.append(len(starts)) or own(data, starts, *rest))
+    read = files._read_files(registry.known_decoders())
+    together = [row for out in read(iter([batch])) for row in out.to_pylist()]
+    assert len(calls) == 1
+    alone = [row for k in range(50) for out in read(iter([batch.slice(k, 1)])) for row in out.to_pylist()]
+    order = lambda rows: sorted(map(str, rows))
+    assert order(together) == order(alone) and len(calls) == 50
+    told = {row["path"]: row for row in together if row["win"] is None}
+    assert [p for p, row in told.items() if row["error"]] == ["file:/30.m4a"] and told["file:/11.m4a"]["skipped_packets"] == 1
+    assert all(told[f"file:/{k:02d}.m4a"]["actual_frames"] == x.shape[1] for k, x in enumerate(tracks) if k not in (11, 30))
