@@ -151,7 +151,7 @@ def _flac_info(head: bytes) -> flac.StreamInfo:
     return flac.stream_info(lambda n, at: own[at : at + n], len(own))
 
 
-def decode_ogg(data: bytes, extension: str = "ogg") -> tuple[AudioFormat, Iterator[np.ndarray]]:
+def decode_ogg(data: bytes, extension: str = "ogg") -> tuple[AudioFormat, flac.Frames]:
     for s in streams(data):
         if s.packets and s.packets[0] is not None and (told := identified(s.packets[0])):
             break
@@ -167,15 +167,7 @@ def decode_ogg(data: bytes, extension: str = "ogg") -> tuple[AudioFormat, Iterat
     # header packets begin with anything but the sync code of a frame
     coded = [p for p in s.packets[1:] if p is not None and p[:1] == b"\xff"]
 
-    def blocks() -> Iterator[np.ndarray]:
-        for a in range(0, len(coded), flac.GROUP):
-            for _, samples in flac.frames_of(bits.padded(b"".join(coded[a : a + flac.GROUP])), info):
-                if samples is None:
-                    known.skipped_packets += 1
-                else:
-                    yield flac.to_float(samples.T, info.bits)
-
-    return known, blocks()
+    return known, flac.Frames(known, info, coded)
 
 
 # ---- Pages, packets and streams as DataFrames -----------------------------------------------------------------------
@@ -294,11 +286,16 @@ def stream_table(table: DataFrame) -> DataFrame:
 # ---- Writer ---------------------------------------------------------------------------------------------------------
 
 
+def write_pages(some: list[tuple[int, int, int, list[int], bytes]], serial: int) -> bytes:
+    """Pages (flags, granule, number, table, body) one after the other, with their checksums."""
+    made = [struct.pack("<4sBBqIIIB", PATTERN, 0, flags, granule, serial, number, 0, len(table)) + bytes(table) + body for flags, granule, number, table, body in some]
+    ends = np.cumsum([len(page) for page in made])
+    crcs = CRC.many(bits.padded(b"".join(made)), ends - [len(page) for page in made], ends)
+    return b"".join(page[:22] + struct.pack("<I", crc) + page[26:] for page, crc in zip(made, crcs.tolist(), strict=True))
+
+
 def write_page(flags: int, granule: int, serial: int, number: int, table: list[int], body: bytes) -> bytes:
-    head = struct.pack("<4sBBqIIIB", PATTERN, 0, flags, granule, serial, number, 0, len(table)) + bytes(table)
-    raw = bits.padded(head + body)
-    crc = int(CRC.many(raw, np.array([0]), np.array([len(head) + len(body)]))[0])
-    return head[:22] + struct.pack("<I", crc) + head[26:] + body
+    return write_pages([(flags, granule, number, table, body)], serial)
 
 
 def write_ogg(payload: list[bytes], ends: list[int], serial: int = 1, segments: int = 255, headers: int = 1) -> bytes:
@@ -322,8 +319,7 @@ def write_ogg(payload: list[bytes], ends: list[int], serial: int = 1, segments:
         granule = end
         if k < headers or k == len(payload) - 1:
             flush(False)
-    made = [write_page(f | (LAST if k == len(out) - 1 else 0), g, serial, n, t, b) for k, (f, g, n, t, b) in enumerate(out)]
-    return b"".join(made)
+    return write_pages([(f | (LAST if k == len(out) - 1 else 0), *rest) for k, (f, *rest) in enumerate(out)], serial)
 
 
 def write_flac(x: np.ndarray, rate: int, width: int = 16, block: int = 4096, **how: object) -> bytes:

@@ -118,3 +118,29 @@ def test_flac_in_ogg(spark, tmp_path):
         assert got["a.ogg"]["actual_frames"] == 5000 and got["a.ogg"]["codec"] == "FLAC" and not got["a.ogg"]["is_partial"]
         assert 3000 < got["torn.ogg"]["actual_frames"] < 5000 and got["torn.ogg"]["skipped_packets"] >= 1 and got["torn.ogg"]["is_partial"]
         assert got["lossy.ogg"]["error_kind"] == got["b.opus"]["error_kind"] == lossy
+
+
+def test_short_flac_streams_are_decoded_side_by_side(monkeypatch):
+    """Frames of 40 files in as many steps as there are block sizes, with the results of each file by itself."""
+    import pyarrow as pa
+
+    from crestline.sources import files, flac, registry
+
+    rng = np.random.default_rng(5)
+    tracks = [rng.integers(-9000, 9000, (2, 192 * 2 + 30 * (k % 2))) for k in range(40)]
+    made = [ogg.write_flac(x, 300, 16, 192, segments=3) for x in tracks]
+    torn = bytearray(made[9])
+    torn[len(torn) // 2] ^= 1
+    made[9], made[21] = bytes(torn), b"OggS"
+    batch = pa.RecordBatch.from_pydict({"path": [f"file:/{k:02d}.ogg" for k in range(40)], "content": made})
+    calls, own = [], flac._decode
+    monkeypatch.setattr(flac, "_decode", lambda data, frames, room: calls.append(len(frames)) or own(data, frames, room))
+    read = files._read_files(registry.known_decoders())
+    together = [row for out in read(iter([batch])) for row in out.to_pylist()]
+    assert len(calls) <= 2 + 2
+    alone = [row for k in range(40) for out in read(iter([batch.slice(k, 1)])) for row in out.to_pylist()]
+    order = lambda rows: sorted(map(str, rows))
+    assert order(together) == order(alone)
+    told = {row["path"]: row for row in together if row["win"] is None}
+    assert [p for p, row in told.items() if row["error"]] == ["file:/21.ogg"] and told["file:/09.ogg"]["skipped_packets"] > 0
+    assert all(told[f"file:/{k:02d}.ogg"]["actual_frames"] == x.shape[1] for k, x in enumerate(tracks) if k not in (9, 21))
