@@ -184,7 +184,7 @@ def _dsd(file: pa.NativeFile, piece: Piece, levels: files.Levels, plan: dsd.Plan
             break
         if place >= piece.first:
             found = dsd.samples(info, plan, read, win * width, min((win + 1) * width, known.sample_count))
-            levels.add(win, found.astype(np.float32))
+            levels.add(win, found)
             frames += found.shape[1]
     return known, frames
 

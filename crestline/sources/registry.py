@@ -92,7 +92,7 @@ class Packets:
                 yield (found.T / scale).astype(np.float32)
 
 
-#: (bytes, extension) -> the format and an iterator of blocks, float32 arrays of shape (frames, channels).
+#: (bytes, extension) -> the format and an iterator of blocks, float32 (of one-bit files float64) arrays of shape (frames, channels).
 Decoder = Callable[[bytes, str], tuple[AudioFormat, Iterable[np.ndarray]]]
 _DECODERS: dict[str, Decoder] = {}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from crestline.functions import describe
 from crestline.operators.windows import window_frames
-from crestline.sources import dsd, files
+from crestline.sources import dsd, files, ranges
 from crestline.sources.registry import AudioError
 
 
@@ -115,3 +115,20 @@ def test_ranges_equal_whole_files(spark, tmp_path, share):
     assert {(r["path"].rsplit("/", 1)[1], r["channel"], r["win"]): (r["n"], pytest.approx(r["sum_sq"]), r["peak"]) for r in rows} == want and len(rows) == len(want)
     values = {(r["track_id"].rsplit("/", 1)[1], r["channel"]): r["dr_value"] for r in found.collect()}
     assert values["a.dsf", 1] == values["b.DFF", 1]
+
+
+def test_levels_are_those_of_the_sums_in_doubles(tmp_path):
+    """Samples once became float32 before they were squared, and some levels were rounded another way than by SQL."""
+    plan, rng = dsd.Plan(rate=100), np.random.default_rng(5)
+    wanted = {}
+    for k in range(20):
+        data = dsd.write_dff(rng.integers(0, 2, (1, 1280)).astype(np.uint8), 800)
+        (tmp_path / f"{k}.dff").write_bytes(data)
+        wanted[f"{k}.dff"] = dsd.samples(dsd.probe(reader(data), len(data)), plan, reader(data), 0, 160)[0]
+        assert np.array_equal(whole(data, plan)[1][:, 0], wanted[f"{k}.dff"])
+    source = ranges.AudioWindowsReader(str(tmp_path), False, 300, ranges.CUT, plan)
+    rows = [r for part in source.partitions() for batch in source.read(part) for r in batch.to_pylist() if r["win"] is not None]
+    assert len(rows) == len(wanted)
+    for r in rows:
+        x = wanted[r["path"].rsplit("/", 1)[1]]
+        assert (r["n"], r["peak"]) == (160, np.abs(x).max()) and r["sum_sq"] == pytest.approx(x @ x, rel=1e-14)
