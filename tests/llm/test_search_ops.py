@@ -226,6 +226,19 @@ def test_repeats_empty_and_long(spark):
     repeats(spark, [(1, long, "x"), (2, long[20_000:21_000] + "q" + long[500:1500], "x")])
 
 
+def test_repeats_passages_of_words(spark):
+    """A passage of over 50 words that two texts share goes at 400 bytes and stays at 399; shorter strings must be asked for."""
+    rng = random.Random(10)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    passages = [" ".join(word(6) for _ in range(60))[: n - 5] + word(5) for n in (399, 400)]
+    assert [(len(p), len(p.split()) > 50) for p in passages] == [(399, True), (400, True)]
+    rows = [(2 * k + i, f"{word(300)}{end}{p}{end}{word(300)}", "x") for k, p in enumerate(passages) for i, end in enumerate("<>")]
+    got = {r["doc_id"]: r["n_removed"] for r in op7_suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, sha string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 400, 3: 400}
+    repeats(spark, rows, 400)
+    repeats(spark, rows, 399)
+
+
 def test_repeats_query(spark, sf_dir):
     given = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = Counter((r[0], *w) for r, w in zip(given, brute_repeats([r[1] for r in given], 400), strict=True))
